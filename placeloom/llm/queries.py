@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, secret_scan, sharding, url_filter
-from .common import table
+from . import decontaminate, fingerprint, packing, quality, secret_scan, sharding, toxicity, url_filter
+from .common import remainder, table
+
+
+def _judged(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +33,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", *[count(k[0]) for k in secret_scan.KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
