@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, near_dedup, packing, quality, secret_scan, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, near_dedup, packing, quality, secret_scan, sharding, suffix_lm, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -53,6 +53,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(url_filter.labelled_urls(spark)))
 
 
+def op9_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.run(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.grouped(table(spark, sf_dir, "documents"))
 
