@@ -1,18 +1,69 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, secrets, packing. Each stage works on what the last kept."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of documents; the
+last returns the packed pieces. Null texts count as empty; rows with a null id pass the near-duplicate stage, as they cannot be
+linked. Columns beside doc_id and text are carried along whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from placeloom.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
+from placeloom.llm.common import stored, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from the labelled ones among docs."""
+    return toxicity.ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id, one."""
+    gone = near_dedup.grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return left
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
-STAGES: list = []
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret in their texts replaced by a mark; n_chars follows the text."""
+    found = secret_scan.scan(docs, keep_rest=True)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.when(F.size("spans") > 0, secret_scan.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    cols = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_rest{i}") for i, c in enumerate(rest)}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return found.select(*[cols[c].alias(c) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can express neither the models nor the tokenizer; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    from placeloom.llm.common import stored, table
-
+    """All stages over documents; each but the last is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
