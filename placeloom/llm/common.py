@@ -70,40 +70,32 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-class WordIds:
-    """Stable 64-bit numbers of words (bytes), cached; the cache starts anew when it has grown to `most` words."""
+class Numbers(dict):
+    """Whole numbers of words from a function, remembered; it starts anew when it has grown to `most` words."""
 
-    def __init__(self, most: int = 400_000):
-        import xxhash
+    def __init__(self, f, most: int = 400_000, fixed: dict | None = None):
+        super().__init__(fixed or {})
+        self.f, self.most, self.fixed = f, most, fixed or {}
 
-        self.hash, self.most, self.seen = xxhash.xxh64_intdigest, most, {}
+    def __missing__(self, word):
+        self[word] = n = self.f(word)
+        return n
 
-    def __call__(self, words: list[bytes]):
+    def of(self, words: list[bytes], dtype=None):
+        """The numbers of words as a numpy array (int64 unless said otherwise)."""
         import numpy as np
 
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        seen = self.seen
-        out = np.fromiter(map(seen.get, words, _zeros), np.uint64, len(words))
-        if not out.all():
-            digest = self.hash
-            for i in np.flatnonzero(out == 0).tolist():
-                w = words[i]
-                out[i] = seen[w] = digest(w) or 1
-        return out
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.fixed)
+        return np.fromiter(map(self.__getitem__, words), dtype or np.int64, len(words))
 
 
-class _Zeros:
-    """An endless run of zeros for map()."""
+def word_ids() -> Numbers:
+    """Stable 64-bit numbers of words (bytes)."""
+    import xxhash
 
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return 0
-
-
-_zeros = _Zeros()
+    return Numbers(xxhash.xxh64_intdigest)
 
 
 def mixed(x):

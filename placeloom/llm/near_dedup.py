@@ -6,9 +6,13 @@ root of what as many separate tables would need. A document enters a table only
 some other document, which a count of the small collections tells first. Candidates are confirmed on their full shingle sets.
 
 Documents of one shingle set are one class, represented by its smallest id, before anything is paired. In each bucket all
-members are first compared with the smallest one; then, for buckets whose members are not all connected yet, every pair of
-members in different components is compared too. Pairs inside a component are never needed, so a large group of copies costs
-its size, not its square, and no link between different components is lost.
+members are first compared with the smallest one; then, for buckets whose members are not all connected yet, pairs of members
+in different components are compared too, one of the two outside the bucket's largest component. Pairs inside a component are
+never needed, so a large group of copies costs its size, not its square, and no link between different components is lost.
+
+A parity sketch (for each of 1024 parts of the hash space, whether an odd number of shingles lies in it) bounds the difference
+of two sets from below: they differ in at least as many shingles as their sketches have different bits. Pairs that this bound
+rules out, or that share an earlier bucket, never leave the join.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, documents, shingle_hashes, small_batches, stored, texts_of
+from .common import documents, shingle_hashes, small_batches, stored, texts_of, word_ids
 
 COLLECTIONS, ROWS = 14, 4
 #: Words are parted by these; A-Z count as a-z. (bytes.split() and bytes.lower() do just that.)
-PROFILE = "doc_id long, n_shingles long, content binary, small array<long>, signature binary"
+PROFILE = "doc_id long, n_shingles long, content binary, small array<long>, parity array<long>"
+PARITY_BITS = 1024
 
 
 def seeds(n: int):
@@ -43,7 +48,7 @@ def minhashes(h, a, b, piece: int = 4096):
 
 
 def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, content (a digest of the shingle set), small (hashes of the small collections), signature (all minhashes)."""
+    """doc_id, n_shingles, content (a digest of the shingle set), small (hashes of the small collections), parity (the parity sketch)."""
 
     def run(batches):
         import hashlib
@@ -53,22 +58,22 @@ def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS)
         import xxhash
 
         a, b = seeds(collections * rows)
-        number = WordIds()
+        number = word_ids()
         for batch in batches:
-            n, content, small, signature = [], [], [], []
+            n, content, small, parity = [], [], [], []
             for text in texts_of(batch):
-                h = shingle_hashes(number(text.lower().split()))
+                h = shingle_hashes(number.of(text.lower().split(), np.uint64))
                 n.append(len(h))
                 if len(h):
                     m = minhashes(h, a, b)
                     content.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     small.append([xxhash.xxh64_intdigest(m[i * rows : (i + 1) * rows].tobytes(), i) - 2**63 for i in range(collections)])
-                    signature.append(m.tobytes())
+                    parity.append(np.packbits(np.bincount((h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64))
                 else:
                     content.append(None)
                     small.append([])
-                    signature.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(small, pa.list_(pa.int64())), pa.array(signature, pa.binary())], ["doc_id", "n_shingles", "content", "small", "signature"])
+                    parity.append([])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "content", "small", "parity"])
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -77,11 +82,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id, set: the whole shingle sets, sorted, as bytes of 64-bit hashes."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        number = WordIds()
+        number = word_ids()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_hashes(number(t.lower().split())).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_hashes(number.of(t.lower().split(), np.uint64)).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "set"])
 
     return docs.mapInArrow(run, "doc_id long, set binary")
 
@@ -142,35 +148,43 @@ def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS,
     small_batches(spark, 500)
     all_docs = stored(profiles(t, collections, rows), "dedup-profiles")
     live = all_docs.where("content is not null and doc_id is not null")
-    classes = stored(live.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("small").alias("small"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "dedup-classes")
+    classes = stored(live.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("small").alias("small"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n")), "dedup-classes")
     spread = classes.select("rep", F.posexplode("small").alias("i", "h"))
     met = spread.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h")
     mine = spread.join(met, ["i", "h"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s")).where(F.size("s") > 1)
-    pairs_of = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["i"] > x["i"]), lambda y: F.xxhash64(x["i"], x["h"], y["i"], y["h"]))))
-    keyed = mine.select("rep", F.explode(pairs_of).alias("key"))
+    pairs_of = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["i"] > x["i"]), lambda y: F.struct(F.xxhash64(x["i"], x["h"], y["i"], y["h"]).alias("key"), x["i"].alias("i"), y["i"].alias("j")))))
+    keyed = mine.select("rep", F.explode(pairs_of).alias("p")).select("rep", "p.key", "p.i", "p.j")
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
-    buckets = stored(keyed.join(leaders, "key").select("key", "rep", "leader"), "dedup-buckets")
+    buckets = stored(keyed.join(leaders, "key").select("key", "i", "j", "rep", "leader"), "dedup-buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(shingle_sets(t.where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "dedup-sets")
-    sizes = classes.select("rep", "n", "signature")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the likeness."""
-        p = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        return p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-
-    first = stored(likely(buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()), "dedup-pairs")
+    sketched = classes.select("rep", "n", "parity")
+
+    def possible(na, nb, pa, pb):
+        """Whether sizes and sketches allow the likeness: it needs at most (100 - percent) / (100 + percent) of both sizes as difference."""
+        differ = F.lit(0)
+        for k in range(PARITY_BITS // 64):
+            differ = differ + F.bit_count(pa[k].bitwiseXOR(pb[k]))
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+
+    star = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    star = star.join(sketched.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a").join(sketched.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
+    first = stored(star.where(possible(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("a", "b"), "dedup-pairs")
     links = stored(confirmed(first, sets, percent), "dedup-links")
     part = components(links)
-    # Buckets that hold several components: all pairs across them, one side outside the bucket's largest component.
-    own = buckets.join(part, buckets.rep == part.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("g"))
+    # Buckets that hold several components: pairs across them, one side outside the bucket's largest component. A pair counts in
+    # the first bucket it shares alone: the one of the first two collections in which both agree.
+    own = buckets.join(part, buckets.rep == part.id, "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("g"))
     groups = own.groupBy("key", "g").agg(F.count("*").alias("c"))
     open_ = groups.groupBy("key").agg(F.count("*").alias("k"), F.max_by("g", F.struct("c", "g")).alias("largest")).where("k > 1").select("key", "largest")
-    rest = stored(own.join(open_, "key"), "dedup-open")
-    x = rest.where("g <> largest").select("key", F.col("rep").alias("x"), F.col("g").alias("gx"))
-    y = rest.select(F.col("key"), F.col("rep").alias("y"), F.col("g").alias("gy"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("gx") != F.col("gy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = likely(across.join(first, ["a", "b"], "left_anti"))
+    rest = stored(own.join(open_, "key").join(classes.select("rep", "n", "small", "parity"), "rep"), "dedup-open")
+    named = lambda d, p: d.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "g", "n", "small", "parity")], *(["i", "j"] if p == "x" else []))
+    x, y = named(rest.where("g <> largest"), "x"), named(rest, "y")
+    agree = F.filter(F.zip_with(F.sequence(F.lit(0), F.lit(collections - 1)), F.zip_with("x_small", "y_small", lambda p, q: p == q), lambda k, same: F.when(same, k)), lambda k: k.isNotNull())
+    once = (F.get(agree, F.lit(0)) == F.col("i")) & (F.get(agree, F.lit(1)) == F.col("j"))
+    may = possible(F.col("x_n"), F.col("y_n"), F.col("x_parity"), F.col("y_parity"))
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("x_g") != F.col("y_g")) & may & once).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    second = across.join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(second, sets, percent), "dedup-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else part
     reps = live.select("doc_id", "content").join(classes.select("content", "rep"), "content").select("doc_id", "rep").distinct()
