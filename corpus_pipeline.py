@@ -21,11 +21,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id, one."""
-    gone = near_dedup.grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return left
+    gone = near_dedup.grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    names, key = docs.columns, f"c{docs.columns.index('doc_id')}"
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may differ from doc_id and text in case alone
+    left = flat.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    if flat.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        left = left.where(F.col(key).isNull()).unionByName(left.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    return left.toDF(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
