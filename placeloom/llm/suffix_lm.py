@@ -16,42 +16,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, small_batches, stored, texts_of
+from .common import documents, remainder, small_batches, stored
 
 #: The end of a text, counted as a word of its own.
 END = b""
 
 
 def word_hash(word: bytes) -> int:
+    """62 bits, not negative."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word) - 2**63
+    return xxhash.xxh64_intdigest(word) >> 2
 
 
-class Numbered:
-    """Words as whole numbers from a function, cached; the cache starts anew when it has grown to `most` words."""
+def word_hashes(words):
+    """word_hash of each of an Arrow array of distinct strings (not a slice), out of its buffer."""
+    import numpy as np
+    import xxhash
 
-    def __init__(self, f, most: int = 400_000):
-        self.f, self.most, self.seen = f, most, {}
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(words) + 1].tolist()
+    raw, digest = data.to_pybytes() if data else b"", xxhash.xxh64_intdigest
+    return (np.fromiter((digest(raw[i:j]) for i, j in zip(at, at[1:], strict=False)), np.uint64, len(words)) >> np.uint64(2)).astype(np.int64)
 
-    def __call__(self, words: list[bytes]):
-        import numpy as np
 
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        try:
-            return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            f = self.f
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = f(w)
-            return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-
-
-def _summed(batches, keys_of, names, most: int = 4_000_000):
-    """Arrow batches of distinct keys and their counts, over runs of about `most` keys."""
+def lined_up(texts, number=None):
+    """The numbers of all texts' words in one array, a -1 before each text and its end after it, and where each text starts.
+
+    texts: an Arrow array of large strings. Words are split and told apart in Arrow, and each distinct one is hashed once;
+    number: from an array of hashes to numbers, by default the hashes themselves."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    index, h = coded.indices.to_numpy(), word_hashes(coded.dictionary)
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    blank = np.flatnonzero(h == word_hash(END))
+    if len(blank):  # what leading or trailing blanks leave
+        real = index != blank[0]
+        index, doc = index[real], doc[real]
+    h = np.append(h, word_hash(END))
+    ids = number(h) if number else h
+    size = np.bincount(doc, minlength=len(texts)) + 2
+    starts = np.cumsum(size) - size
+    out = np.full(int(size.sum()), -1, np.int64)
+    out[np.arange(len(doc)) + 2 * doc + 1] = ids[index]
+    out[starts + size - 1] = ids[-1]
+    return out, starts
+
+
+def pieces(batches, most: int = 8_000_000):
+    """(batch, from, to, texts): runs of texts of a batch with about `most` bytes, as Arrow strings; null: empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        texts = pc.take(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), np.arange(batch.num_rows))
+        total = np.cumsum(pc.binary_length(texts).to_numpy())
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+            # a copy: Arrow splits slices of an array at wrong places
+            yield batch, begin, end, pc.take(texts, np.arange(begin, end))
+            begin = end
+
+
+def _summed(batches, number, keys_of, names, most: int = 4_000_000):
+    """Arrow batches of distinct keys and their counts, over runs of about `most` keys; keys_of: from lined-up texts."""
     import numpy as np
     import pyarrow as pa
 
@@ -62,12 +95,11 @@ def _summed(batches, keys_of, names, most: int = 4_000_000):
         for i in range(0, len(k), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000], pa.int64()), pa.array(c[i : i + 200_000], pa.int64())], names)
 
-    for batch in batches:
-        for text in texts_of(batch):
-            k = keys_of(text)
-            if len(k):
-                held.append(k)
-                n += len(k)
+    for _, _, _, texts in pieces(batches):
+        k = keys_of(lined_up(texts, number)[0])
+        if len(k):
+            held.append(k)
+            n += len(k)
         if n >= most:
             yield from flush()
             held, n = [], 0
@@ -79,8 +111,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """h (hash of a word), c (its count) over docs' texts, ends included."""
 
     def run(batches):
-        number = Numbered(word_hash)
-        yield from _summed(batches, lambda t: number([*t.lower().split(), END]), ["h", "c"])
+        yield from _summed(batches, None, lambda a: a[a >= 0], ["h", "c"])
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -93,21 +124,18 @@ class Tree:
         self.words, self.firsts = max(words, 1), firsts
         self.levels: list[dict] = []
 
-    def numbered(self) -> Numbered:
+    def numbered(self):
+        """A function from hashes to places of frequent words; a rarer word is -2 less its hash."""
         import numpy as np
 
         order = np.argsort(self.hashes)
-        ranked = dict(zip(self.hashes[order].tolist(), order.tolist(), strict=True)) if len(order) < 200_000 else None
         own = self.hashes[order]
 
-        def place(word: bytes) -> int:
-            h = word_hash(word)
-            if ranked is not None:
-                return ranked.get(h, -1)
-            i = int(np.searchsorted(own, h))
-            return int(order[i]) if i < len(own) and own[i] == h else -1
+        def places(h):
+            at = found(own, h)
+            return np.where(at >= 0, order[np.maximum(at, 0)], -2 - h) if len(own) else -2 - h
 
-        return Numbered(place)
+        return places
 
     def contexts(self, a):
         """By level: the number of the context that ends before each place of a (word numbers), -1 where there is none."""
@@ -119,7 +147,7 @@ class Tree:
             if len(a) > k + 1:
                 if k == 0:
                     w = a[:-1]
-                    now[1:] = np.where(w < self.firsts, w, -1)
+                    now[1:] = np.where((w >= 0) & (w < self.firsts), w, -1)
                 else:
                     w, c = a[: -k - 1], before[k + 1 :]
                     good = np.flatnonzero((c >= 0) & (w >= 0) & (w < self.words))
@@ -128,8 +156,8 @@ class Tree:
             before = now
         return out
 
-    def gain(self, a) -> float:
-        """log10 of the text's probability under the tree, less that under the root alone."""
+    def gains(self, a):
+        """log10 of each word's probability under the tree, less that under the root alone."""
         import numpy as np
 
         log = np.zeros(len(a))
@@ -138,12 +166,10 @@ class Tree:
                 break
             on = np.flatnonzero(c >= 0)
             on = on[level["state"][c[on]]]
-            if not len(on):
-                continue
             w = a[on]
             hit = np.where((w >= 0) & (w < self.words), found(level["keys"], c[on] * self.words + np.clip(w, 0, self.words - 1)), -1)
             log[on] = np.where(hit >= 0, level["over_root"][np.maximum(hit, 0)] if len(level["keys"]) else 0.0, log[on] + level["share"][c[on]])
-        return float(log.sum() / np.log(10))
+        return log / np.log(10)
 
 
 def found(keys, wanted):
@@ -210,15 +236,13 @@ def learnt(docs: DataFrame, depth: int = 2, part: float = 2e-6, context_part: fl
 
         def run(batches, shared=shared):
             t = shared.value
-            number = t.numbered()
 
-            def keys_of(text):
-                a = number([*text.lower().split(), END])
+            def keys_of(a):
                 ctx = t.contexts(a)[-1]
                 on = np.flatnonzero((ctx >= 0) & (a >= 0) & (a < t.words))
                 return ctx[on] * t.words + a[on]
 
-            yield from _summed(batches, keys_of, ["k", "c"])
+            yield from _summed(batches, t.numbered(), keys_of, ["k", "c"])
 
         got = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
         keys, n = got.column("k").to_numpy(), got.column("c").to_numpy().astype(float)
@@ -253,7 +277,7 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     spot; each text's rarer ones, counted once a text, are joined to all counts, so that nothing that grows is broadcast.
     """
     t = documents(docs)
-    small_batches(t.sparkSession)
+    small_batches(t.sparkSession, 2000)
     shared = t.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
@@ -265,21 +289,24 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
         number = tree.numbered()
         logs = np.log10(tree.counts + 1.0)
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for text in texts_of(batch):
-                words = [*text.lower().split(), END]
-                a = number(words)
-                on = a >= 0
-                rare = [words[i] for i in np.flatnonzero(~on).tolist()]
-                times: dict[bytes, int] = {}
-                for w in rare:
-                    times[w] = times.get(w, 0) + 1
-                for column, v in zip(out, (row, len(a), int(on.sum()), float(logs[a[on]].sum()), tree.gain(a), [word_hash(w) for w in times], list(times.values())), strict=True):
-                    column.append(v)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["doc_id", "row", "n", "known", "base", "gain", "rare", "times"])
+        for batch, begin, end, texts in pieces(batches):
+            a, starts = lined_up(texts, number)
+            on = a >= 0
+            log = np.zeros(len(a))
+            log[on] = logs[a[on]]
+            size = np.diff(np.concatenate([starts, [len(a)]])) - 1
+            far = np.flatnonzero(a < -1)
+            doc, h = np.searchsorted(starts, far, "right") - 1, -2 - a[far]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(doc)]
+            at = np.flatnonzero(new)
+            times = np.diff(np.concatenate([at, [len(doc)]])) if len(at) else at
+            offsets = pa.array(np.searchsorted(doc[at], np.arange(len(texts) + 1), "left"), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[at], times)]
+            number_of = lambda x: np.add.reduceat(x, starts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.arange(row, row + len(texts)), pa.int64()), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(tree.gains(a))), *lists], ["doc_id", "row", "n", "known", "base", "gain", "rare", "times"])
+            row += len(texts)
 
     rows = stored(t.mapInArrow(run, "doc_id long, row long, n long, known long, base double, gain double, rare array<long>, times array<long>"), "lm-scores")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
@@ -292,7 +319,7 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 def run(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """Learns from the documents whose crc32(doc_id) mod folds is not `held`, and scores all."""
     t = documents(docs)
-    small_batches(t.sparkSession)
+    small_batches(t.sparkSession, 2000)
     tree, counts = learnt(t.where(remainder(F.col("doc_id"), folds) != held))
     s = scored(docs, tree, counts)
     return s.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
