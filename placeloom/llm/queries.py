@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, near_dedup, packing, quality, secret_scan, sharding, suffix_lm, toxicity, url_filter
+from . import decontaminate, fingerprint, near_dedup, packing, quality, secret_scan, sharding, sql, suffix_lm, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": sql.secrets(), "op10_near_dedup": sql.near_dedup()}
