@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,8 @@ from placeloom.config import City
 from placeloom.functions import text
 from placeloom.functions.spatial import rounded_distance
 
-#: A degree of latitude is at least this many metres in both distance functions.
-DEGREE = 6371000.0 * math.pi / 180
+from .areas import cells
+from .components import placed, settled
 
 
 def prepared(pois: DataFrame, city: City) -> DataFrame:
@@ -42,39 +40,49 @@ def filtered(pairs: DataFrame, city: City) -> DataFrame:
     return p.withColumn("sim", F.when(within, 1.0).otherwise(measure)).where(F.col("sim") >= city.likeness).select("l_id", "r_id", "sim", "dist_m")
 
 
-def candidates(pois: DataFrame, block: DataFrame, city: City) -> DataFrame:
+def sharing_a_block(pairs: DataFrame, leaf_of: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs whose records share a block, without writing out any block. A record's blocks are its own leaf and, below the root,
+    the leaves that hold a point of one of its areas; so two records share one if their leaves are equal, if one's leaf is reached
+    by an area of the other, or if an area of each reaches the same leaf. All four are joins on keys, linear in the pairs."""
+    own = settled(leaf_of.select("belong", "poi_id", "leaf", "level"))
+    reach = settled(own.where("level > 0").join(members, ["belong", "poi_id"]).select("aoi_id", "leaf").distinct())
+    met = reach.select(F.col("aoi_id").alias("_la"), "leaf").join(reach.select(F.col("aoi_id").alias("_ra"), "leaf"), "leaf").select("_la", "_ra").distinct()
+    side = lambda d, k, p, c, n: d.where(F.col("belong") == k).select(F.col("poi_id").alias(f"{p}_id"), F.col(c).alias(n))
+    placed_ = pairs.select("l_id", "r_id").join(side(own, 0, "l", "leaf", "_l"), "l_id").join(side(own, 1, "r", "leaf", "_r"), "r_id")
+    drawn = pairs.select("l_id", "r_id")
+    left, right = side(members, 0, "l", "aoi_id", "_la"), side(members, 1, "r", "aoi_id", "_ra")
+    by = lambda a, leaf: reach.select(F.col("aoi_id").alias(a), F.col("leaf").alias(leaf))
+    shared = [
+        placed_.where("_l = _r"),
+        placed_.join(right, "r_id").join(by("_ra", "_l"), ["_ra", "_l"], "left_semi"),
+        placed_.join(left, "l_id").join(by("_la", "_r"), ["_la", "_r"], "left_semi"),
+        drawn.join(left, "l_id").join(right, "r_id").join(met, ["_la", "_ra"], "left_semi"),
+    ]
+    keys = shared[0].select("l_id", "r_id")
+    for s in shared[1:]:
+        keys = keys.unionByName(s.select("l_id", "r_id"))
+    return pairs.join(keys, ["l_id", "r_id"], "left_semi")
+
+
+def candidates(pois: DataFrame, leaf_of: DataFrame, members: DataFrame, city: City) -> DataFrame:
     """l_id, r_id, sim, dist_m of every pair that shares a block and passes the city's filter, once.
 
-    Inside a block the join also runs on bands of latitude as high as the distance limit (with the half metre that rounding
-    forgives), each right record probing three, so a block that never split does not pair everything with everything.
+    Distance prunes most, so pairs come from an equi-join on grid cells as wide as the distance limit (each right record probes
+    3 x 3 of them), then the names are compared, and only for pairs that are left the blocks are.
     """
-    band = (city.distance + 0.5) / DEGREE * 1.001
-    records = prepared(pois, city)
-    placed = block.select("leaf", "belong", F.col("poi_id").alias("id")).join(records.select("id", "belong", F.floor(F.col("latitude") / band).alias("band")), ["id", "belong"])
-    left = placed.where("belong = 0").select("leaf", F.col("id").alias("l_id"), "band")
-    right = placed.where("belong = 1").select("leaf", F.col("id").alias("r_id"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = left.join(right, ["leaf", "band"]).select("l_id", "r_id").distinct()
-    side = lambda b, p: records.where(F.col("belong") == b).select(*[F.col(c).alias(f"{p}_{c}") for c in records.columns if c != "belong"])
-    return filtered(pairs.join(side(0, "l"), "l_id").join(side(1, "r"), "r_id"), city)
+    records = prepared(pois.where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()), city)
+    cx, cy = cells(F.col("longitude"), F.col("latitude"), city.distance + 0.5, max(abs(city.north), abs(city.south)))
+    around = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((cx + i).alias("cx"), (cy + j).alias("cy")))))
+    named = lambda d, p: d.select("cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in records.columns if c != "belong"])
+    left = named(records.where("belong = 0").withColumns({"cx": cx, "cy": cy}), "l")
+    right = named(records.where("belong = 1").withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy"), "r")
+    near = filtered(left.join(right, ["cx", "cy"]), city)
+    return sharing_a_block(settled(near), leaf_of, members)
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
-    """pair_id (from 0 by l_id, r_id) before the other columns, without gathering rows in one task: places inside ranges of the
-    sorted pairs, plus the sizes of the ranges before (one number a range comes to the driver)."""
-    from pyspark.sql import Window as W
-
-    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    from .components import settled
-
-    ranged = settled(pairs.repartitionByRange(n, "l_id", "r_id").withColumn("_part", F.spark_partition_id()))
-    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    start, at = [], 0
-    for part, size in sizes:
-        start.append((part, at))
-        at += size
-    offsets = F.create_map(*[F.lit(x) for pair in start for x in pair]) if start else F.create_map(F.lit(0), F.lit(0))
-    place = F.row_number().over(W.partitionBy("_part").orderBy("l_id", "r_id")) - 1
-    return ranged.withColumn("pair_id", (place + F.element_at(offsets, F.col("_part"))).cast("bigint")).select("pair_id", *pairs.columns)
+    """pair_id (the place by l_id, r_id, from 0) before the other columns."""
+    return placed(pairs, [F.col("l_id"), F.col("r_id")], "pair_id").select("pair_id", *pairs.columns)
 
 
 def blocking_quality(pairs: DataFrame, truth: DataFrame, n_left: Column, n_right: Column, sizes: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def blocks(spark, sf_dir, city="nj"):
 
 
 def candidate_pairs(spark, sf_dir, city="nj"):
-    return candidates.candidates(inputs.pois(spark, sf_dir, city), blocks(spark, sf_dir, city), CITIES[city])
+    p, m = inputs.pois(spark, sf_dir, city), inputs.members(spark, sf_dir, city)
+    return candidates.candidates(p, quadtree.leaves(p, m, projected_box(CITIES[city])), m, CITIES[city])
 
 
 @query("quadtree_leaves", _tree_sql("nj") + " SELECT belong, poi_id, leaf, level FROM leaves")

@@ -220,22 +220,51 @@ def test_vote_tie_takes_the_smallest_label(spark):
     assert got == {0: 3, 1: 7, 2: 3, 3: 7, 4: 3, 5: 9}
 
 
-@settings(max_examples=60)
-@given(st.lists(st.integers(1, 9), min_size=1, max_size=40), st.integers(2, 16))
+def planned(sizes, size):
+    """(label, nth, batch, place) of every pair, as diverse_batches reads a schedule."""
+    clusters = list(enumerate(sizes))
+    rounds, whole, runs = batching.schedule(clusters, size)
+    stream = sorted((n, a) for a, k in clusters for n in range(min(k, rounds)))[: whole * size]
+    out = [(a, n, i // size, i % size) for i, (n, a) in enumerate(stream)]
+    for label, start, take, times, batch, place, width in runs:
+        out += [(label, start + k, batch + k // take, place + width * (k % take)) for k in range(take * times)]
+    return sorted(out, key=lambda x: x[2:])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 9) | st.integers(1, 90), min_size=1, max_size=40), st.integers(2, 16))
 def test_diverse_schedule(sizes, size):
-    plan = batching.schedule(list(enumerate(sizes)), size, 3)
+    plan = planned(sizes, size)
     assert sorted((a, n) for a, n, _, _ in plan) == sorted((a, n) for a, k in enumerate(sizes) for n in range(k))
-    left = dict(enumerate(sizes))
+    left, batches = dict(enumerate(sizes)), 0
     for batch, own in itertools.groupby(plan, key=lambda x: x[2]):
         own = list(own)
         live = sum(v > 0 for v in left.values())
-        assert [p for *_, p in own] == list(range(len(own)))
+        assert batch == batches and [p for *_, p in own] == list(range(len(own)))
         if live >= size:
             assert len({a for a, *_ in own}) == len(own) == size
-        for a, n, _, _ in own:
+        for a, n, _, _ in sorted(own, key=lambda x: x[1]):
             assert n == sizes[a] - left[a]
             left[a] -= 1
         assert len(own) == size or not any(left.values())
+        batches += 1
+
+
+def test_diverse_schedule_is_short_for_long_clusters():
+    assert len(batching.schedule([(k, 10**9 + k) for k in range(9)], 16)[2]) < 300
+
+
+def test_diverse_batches(spark):
+    sizes = [7, 1, 30, 4, 4, 9, 12]
+    rows = [(i, label) for i, label in enumerate(x for label, n in enumerate(sizes) for x in [label] * n)]
+    got = batching.diverse_batches(spark.createDataFrame(rows, "pair_id long, label int"), 4).collect()
+    label = dict(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.batch_id, []).append((r.pos, r.pair_id))
+    assert sorted(p for r in by.values() for _, p in r) == list(range(len(rows))) and sorted(by) == list(range(len(by)))
+    assert all([p for p, _ in sorted(v)] == list(range(len(v))) for v in by.values())
+    assert len({label[p] for _, p in by[0]}) == 4 and sum(len(v) < 4 for v in by.values()) <= 1
 
 
 @pytest.mark.parametrize("response,want", [
@@ -307,6 +336,29 @@ def test_assignment_is_optimal(n, m, rng):
     assert sum(w[a, b] for a, b in got) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    from placeloom.operators.components import components
+
+    rng = random.Random(seed)
+    ids = list(range(500))
+    rng.shuffle(ids)
+    edges = list(zip(ids[:299], ids[1:300], strict=True)) if seed else [(i, i + 1) for i in range(299)]  # a long path, in and out of order
+    edges += [(ids[300], i) for i in ids[301:350]] + [(5, 5)]
+    up = list(range(500))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    got = components(spark.range(500), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == {i: top(i) for i in range(500)}
+
+
 def test_refining(spark):
     rel = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "d", 1), ("a", "c", 0), ("a", "d", 0), ("b", "d", 0)], "a string, b string, label int")
     assert {(r.a, r.b): r.label for r in refining.extended(rel).collect()} == {("a", "b"): 2, ("b", "c"): 1, ("c", "d"): 1, ("a", "c"): 2, ("a", "d"): 2, ("b", "d"): 1}
@@ -387,7 +439,8 @@ def test_resolution_end_to_end(spark):
 
 
 def test_plans_have_no_nested_loops(spark):
-    plan = candidates.candidates(inputs.pois(spark, SF), quadtree.blocks(quadtree.leaves(inputs.pois(spark, SF), inputs.members(spark, SF), projected_box(CITIES["nj"])), inputs.members(spark, SF)), CITIES["nj"])._jdf.queryExecution().toString()
+    p, m = inputs.pois(spark, SF), inputs.members(spark, SF)
+    plan = candidates.candidates(p, quadtree.leaves(p, m, projected_box(CITIES["nj"])), m, CITIES["nj"])._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
