@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.operators.components import components as connected
+
 from .common import documents, shingle_hashes, small_batches, stored, texts_of, word_ids
 
 COLLECTIONS, ROWS = 14, 4
@@ -117,24 +119,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, component (the smallest id that can be reached) of every id in links (a, b).
-
-    Each round, every id takes the smallest label among its neighbours' and its own, then its label's label (two hops at a
-    time), until nothing changes; labels are written to the shared folder each round.
-    """
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dedup-edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("id"), "l"), "dedup-labels")
-    for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, labels.id == near.a).select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        up = labels.select(F.col("id").alias("i2"), F.col("l").alias("l2"))
-        step = stored(step.join(up, F.col("l") == F.col("i2")).select("id", "old", F.least("l", "l2").alias("l")), "dedup-labels")
-        changed = step.where("l <> old").limit(1).count()
-        labels = step.select("id", "l")
-        if not changed:
-            return labels.withColumnRenamed("l", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(links: DataFrame) -> DataFrame:
+    """id, component (the smallest id that can be reached) of every id in links (a, b)."""
+    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    return stored(connected(nodes, links), "dedup-components")
 
 
 def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
