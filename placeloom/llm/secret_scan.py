@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import stored
 
 #: Base kinds: (name, pattern, least length of group 2). Fixed values. A run of 24+ or 20+ characters is a leftmost maximal
 #: run, so asking for the length in the pattern finds the same spans as dropping short runs; for assign it would not be.
@@ -54,27 +54,17 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     apart. Only spans are shuffled, never texts without one; values held by a third of all rows are counted by owner first.
     With keep_rest, text and the other columns follow as text, _rest0, ...
     """
-    t = pick(docs, "doc_id", "text", keep_rest=True)
-    rest = [c for c in t.columns if c.startswith("_rest")]
-    named = pick(docs, "doc_id", "text", owner, *[c for c in repository if c != owner], keep_rest=True)
-    own = [owner, *[c for c in repository if c != owner]]
-    base = named.toDF("doc_id", "text", *[f"_own{i}" for i in range(len(own))], *[c for c in named.columns if c.startswith("_rest")])
-    slots = {c: f"_own{i}" for i, c in enumerate(own)}
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    everything = F.concat(*[_found(text, *k) for k in (*KINDS, ADDED)])
-    cols = ["doc_id", F.coalesce(F.col(slots[owner]).cast("string"), F.lit("")).alias("_owner"), F.concat_ws("\x01", *[F.coalesce(F.col(slots[c]).cast("string"), F.lit("")) for c in repository]).alias("_repository"), everything.alias("_spans")]
-    if keep_rest:
-        named_rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-        at = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
-        base = flat.select(F.col(f"_c{at['doc_id']}").alias("doc_id"), F.col(f"_c{at['text']}").alias("text"), *[F.col(f"_c{at[c]}").alias(slots[c]) for c in own], *[F.col(f"_c{i}").alias(f"_rest{k}") for k, i in enumerate(i for i, c in enumerate(docs.columns) if i not in (at["doc_id"], at["text"]))])
-        rest = [f"_rest{k}" for k in range(len(named_rest))]
-        cols += ["text", *rest]
-    else:
-        rest = []
-    rows = stored(base.select(*cols), "secret-spans").withColumn("_row", F.concat_ws(":", F.input_file_name(), F.col("_metadata.row_index").cast("string")))
+    place = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # other columns may differ in case alone
+    own = lambda c: F.col(f"_c{place[c]}")
+    filled = lambda c: F.coalesce(own(c).cast("string"), F.lit(""))
+    others = [i for i in range(len(docs.columns)) if i not in (place["doc_id"], place["text"])]
+    carried = [own("text").alias("text"), *[F.col(f"_c{i}").alias(f"_rest{k}") for k, i in enumerate(others)]] if keep_rest else []
+    spans_of = F.concat(*[_found(filled("text"), *k) for k in (*KINDS, ADDED)])
+    found = flat.select(own("doc_id").alias("doc_id"), filled(owner).alias("_owner"), F.concat_ws("\x01", *map(filled, repository)).alias("_repository"), spans_of.alias("_spans"), *carried)
+    rows = stored(found, "secret-spans").withColumn("_row", F.concat_ws(":", F.input_file_name(), F.col("_metadata.row_index").cast("string")))
+    keep = [c for c in found.columns if c not in ("_owner", "_repository", "_spans")]
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string,owners:bigint,repositories:bigint,live:boolean>>")
-    keep = ["doc_id", *(["text", *rest] if keep_rest else [])]
     without = rows.where(F.size("_spans") == 0).select(*keep, none.alias("spans"))
     spans = rows.where(F.size("_spans") > 0).select("_row", "_owner", "_repository", F.explode("_spans").alias("s")).withColumn("_hash", F.xxhash64("s.value"))
     by_owner = spans.groupBy("_hash", "_owner", "_repository").agg(F.lit(1).alias("x")).groupBy("_hash", "_owner").agg(F.count("*").alias("r"))
