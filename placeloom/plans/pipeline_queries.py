@@ -262,10 +262,10 @@ def parse_plain(spark, sf_dir):
     return _responses(spark, sf_dir).select("event_id", F.array_join(F.transform(prompting.parsed_plain(F.col("r"), F.lit(2)), lambda x: x.cast("string")), ",").alias("answers"))
 
 
-@query("parse_index", "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 10 IN (1, 4, 7) THEN event_id % 10 END AS choice FROM events")
+@query("parse_index", "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 10 IN (1, 4, 7) THEN (event_id % 10)::varchar END AS choice FROM events")
 def parse_index(spark, sf_dir):
     r = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), (F.col("event_id") % 10).cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("Index: "), (F.col("event_id") % 10).cast("string")))
-    return table(spark, sf_dir, "events").select("event_id", prompting.parsed_choice(r, F.array(*[F.lit(x).cast("bigint") for x in (1, 4, 7)])).alias("choice"))
+    return table(spark, sf_dir, "events").select("event_id", prompting.parsed_choice(r, F.array(*[F.lit(x).cast("bigint") for x in (1, 4, 7)])).cast("string").alias("choice"))
 
 
 @query("parse_list", "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (event_id % 2)::varchar || ',1' END AS answers FROM events")
