@@ -17,18 +17,23 @@ def prepared(pois: DataFrame, city: City) -> DataFrame:
     """What a pair's filter reads of one record, computed once a record: names, both character sets, the distance grid."""
     name = F.coalesce("name", F.lit("nan"))
     clean = text.without_brackets(name)
-    return pois.select("id", "belong", name.alias("name"), clean.alias("clean"), text.characters(name).alias("chars"), text.characters(clean).alias("clean_chars"), "longitude", "latitude")
+    codes = lambda c: F.transform(text.characters(c), F.ascii)  # noqa: E731  numbers compare faster than texts
+    return pois.select("id", "belong", name.alias("name"), clean.alias("clean"), codes(name).alias("chars"), codes(clean).alias("clean_chars"), "longitude", "latitude")
 
 
 def name_measure(city: City) -> tuple[Column, Column]:
     """(likeness, contained) of the l_ and r_ columns of a pair, as the city defines them."""
-    left_chars = F.col("l_clean_chars" if city.clean_side == "left" else "l_chars")
+    left, right = F.col("l_clean_chars" if city.clean_side == "left" else "l_chars"), F.col("r_chars")
+    shared = F.size(F.array_intersect(left, right))
     if city.clean_side == "left":
-        within = text.subset(F.col("r_chars"), left_chars) | text.subset(left_chars, F.col("r_chars"))
-    else:
-        within = text.subset(F.col("r_clean_chars"), left_chars) | text.subset(left_chars, F.col("r_chars"))
+        within = (shared == F.size(left)) | (shared == F.size(right))
+        compared, met = right, shared
+    else:  # the cleaned right name inside the left one, or the left inside the whole right one
+        compared = F.col("r_clean_chars")
+        met = F.size(F.array_intersect(left, compared))
+        within = (met == F.size(compared)) | (shared == F.size(left))
     if city.measure == "jaccard":
-        return F.coalesce(text.set_likeness(left_chars, F.col("r_chars" if city.clean_side == "left" else "r_clean_chars")), F.lit(1.0)), within
+        return F.coalesce(F.try_divide(met, F.size(left) + F.size(compared) - met), F.lit(1.0)), within
     return text.edit_likeness(F.col("l_clean" if city.clean_side == "left" else "l_name"), F.col("r_name")), within
 
 
@@ -76,7 +81,10 @@ def candidates(pois: DataFrame, leaf_of: DataFrame, members: DataFrame, city: Ci
     named = lambda d, p: d.select("cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in records.columns if c != "belong"])
     left = named(records.where("belong = 0").withColumns({"cx": cx, "cy": cy}), "l")
     right = named(records.where("belong = 1").withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy"), "r")
-    near = filtered(left.join(right, ["cx", "cy"]), city)
+    # A record meets many others here, so even a table of one small file is spread over all cores before that.
+    spark = pois.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    near = filtered(left.repartition(spread, "l_id").join(right.repartition(spread, "r_id", "cx", "cy"), ["cx", "cy"]), city)
     return sharing_a_block(settled(near), leaf_of, members)
 
 

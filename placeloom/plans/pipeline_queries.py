@@ -10,6 +10,7 @@ from placeloom.functions import vectors
 from placeloom.functions.spatial import projected_box
 from placeloom.operators import areas as area_ops
 from placeloom.operators import balancing, batching, candidates, classifying, clustering, evaluating, features, prompting, quadtree, refining, resolving, responding
+from placeloom.operators.components import settled
 
 from . import inputs
 from .inputs import sql_chars, sql_clean, sql_haversine, sql_rounded, table
@@ -97,7 +98,7 @@ for _city in CITIES:
 def blocking_metrics(spark, sf_dir):
     p = inputs.pois(spark, sf_dir)
     sizes = p.agg(F.sum((F.col("belong") == 0).cast("double")).alias("n_left"), F.sum((F.col("belong") == 1).cast("double")).alias("n_right"))
-    q = candidates.blocking_quality(candidate_pairs(spark, sf_dir), inputs.truth(spark, sf_dir), F.col("n_left"), F.col("n_right"), sizes)
+    q = candidates.blocking_quality(settled(candidate_pairs(spark, sf_dir)), inputs.truth(spark, sf_dir), F.col("n_left"), F.col("n_right"), sizes)
     return q.select("pairs", "hits", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "reduction")])
 
 
