@@ -6,9 +6,11 @@ probabilities of the next words that are frequent in it and differ; all others s
 proportions, so every state's distribution sums to one. A word is scored in the longest suffix of what precedes it that is a
 state.
 
-All counts are of the whole corpus. Thresholds are parts of the corpus' words, so the tree has at most 1 / part states and
-transitions a level at any corpus size, while the word counts behind the root grow with the vocabulary and are only ever
-joined, never broadcast whole.
+All counts are of the whole corpus, and what a context or a next word needs is a fixed count, so the tree grows with the input.
+A level longer is counted as long as the last one has a state. Each level is a written table, made by joins on hashes of word
+sequences. A score is a sum: each sequence of words that is a state or a kept transition adds one value for each place it ends
+at. The values of the most frequent sequences (a bounded number a level) are broadcast, all others are joined; a bitmap of fixed
+size tells which sequences can have a value at all, and where it errs the join says so.
 """
 
 from __future__ import annotations
@@ -117,12 +119,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """hashes and counts of the frequent words, most frequent first; by level: contexts' keys, next words' keys and probabilities, and shares."""
+    """hashes and counts of the frequent words, most frequent first; by level that has a state: how many contexts and how many states.
 
-    def __init__(self, hashes, counts, total: int, distinct: int, words: int, firsts: int):
+    values: all sequences g (hash), their value v and count c, a table; keys, gain: those broadcast. contexts and rest: bitmaps of
+    the frequent contexts, and of the sequences of values that are joined."""
+
+    def __init__(self, hashes, counts, total: int, distinct: int):
         self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
-        self.words, self.firsts = max(words, 1), firsts
         self.levels: list[dict] = []
+        self.values = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"values": None}
 
     def numbered(self):
         """A function from hashes to places of frequent words; a rarer word is -2 less its hash."""
@@ -137,39 +145,78 @@ class Tree:
 
         return places
 
-    def contexts(self, a):
-        """By level: the number of the context that ends before each place of a (word numbers), -1 where there is none."""
+    def looked_up(self, a):
+        """For a (word numbers): each word's sum of broadcast values as a natural logarithm, and place and hash of every sequence to be joined.
+
+        A value of a sequence as a state belongs to the word after it, but only the sum over a text is of use."""
         import numpy as np
 
-        out, before = [], None
-        for k, level in enumerate(self.levels):
-            now = np.full(len(a), -1, np.int64)
-            if len(a) > k + 1:
-                if k == 0:
-                    w = a[:-1]
-                    now[1:] = np.where((w >= 0) & (w < self.firsts), w, -1)
-                else:
-                    w, c = a[: -k - 1], before[k + 1 :]
-                    good = np.flatnonzero((c >= 0) & (w >= 0) & (w < self.words))
-                    now[k + 1 + good] = found(level["contexts"], c[good] * self.words + w[good])
-            out.append(now)
-            before = now
-        return out
+        h = np.where(a >= 0, self.hashes[np.maximum(a, 0)] if len(self.hashes) else 0, -2 - a)
+        log, places, wanted = np.zeros(len(a)), [], []
+        for at, g, _, _ in sequences(np.where(a == -1, -1, h), self.contexts, len(self.levels) + 1):
+            hit = found(self.keys, g)
+            on = hit >= 0
+            log += np.bincount(at[on], self.gain[hit[on]], len(a))
+            far = ~on & marked(self.rest, g)
+            places.append(at[far])
+            wanted.append(g[far])
+        return log, np.concatenate(places), np.concatenate(wanted)
 
     def gains(self, a):
-        """log10 of each word's probability under the tree, less that under the root alone."""
+        """log10 of each word's probability under the tree, less that under the root alone, by the broadcast values."""
         import numpy as np
 
+        h = np.where(a >= 0, self.hashes[np.maximum(a, 0)] if len(self.hashes) else 0, -2 - a)
         log = np.zeros(len(a))
-        for level, c in zip(self.levels, self.contexts(a), strict=True):
-            if "keys" not in level:
-                break
-            on = np.flatnonzero(c >= 0)
-            on = on[level["state"][c[on]]]
-            w = a[on]
-            hit = np.where((w >= 0) & (w < self.words), found(level["keys"], c[on] * self.words + np.clip(w, 0, self.words - 1)), -1)
-            log[on] = np.where(hit >= 0, level["over_root"][np.maximum(hit, 0)] if len(level["keys"]) else 0.0, log[on] + level["share"][c[on]])
-        return log / np.log(10)
+        for at, g, _, _ in sequences(np.where(a == -1, -1, h), self.contexts, len(self.levels) + 1):
+            for keys, gain, shift in ((self.keys, self.gain - self.shares, 0), (self.keys, self.shares, 1)):
+                hit = found(keys, g)
+                on = (hit >= 0) & (at + shift < len(a))
+                log += np.bincount(at[on] + shift, gain[hit[on]], len(a))
+        return np.where(a == -1, 0, log) / np.log(10)
+
+
+#: A bitmap has about 16 bits a key, and 64 times as many (16 MB) at most, at any size of the corpus.
+SLOTS = 1 << 21
+
+
+def bitmap(keys: DataFrame):
+    """The bits of the hashes g, put together on executors; at most SLOTS numbers come to the driver."""
+    import numpy as np
+
+    slots = min(SLOTS, 1 << (keys.count() // 4 + 64).bit_length())
+    out = np.zeros(slots, np.uint64)
+    t = keys.groupBy(F.expr(f"shiftright(g, 6) & {slots - 1}L").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(g & 63 as int)))").alias("bits")).toArrow()
+    out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(bits, g):
+    """Whether the bit of each hash is set."""
+    import numpy as np
+
+    u = g.view(np.uint64)
+    return (bits[(u >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (u & np.uint64(63))) & np.uint64(1) > 0
+
+
+def sequences(h, contexts, most: int):
+    """By length, from one word to `most`: where the sequences end whose words but the last may be a frequent context, and the hashes of the sequence, of that context and of the sequence without its first word. h: word hashes, -1 between texts."""
+    import numpy as np
+
+    at = np.flatnonzero(h >= 0)
+    g = h[at]
+    yield at, g, g, g
+    last = h.copy()
+    for _ in range(most - 1):
+        on = marked(contexts, g)
+        at, ctx = at[on] + 1, g[on]
+        on = at < len(h)
+        on[on] = h[at[on]] >= 0
+        at, ctx = at[on], ctx[on]
+        u = ctx.view(np.uint64)
+        g = ((u ^ (u >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[at].view(np.uint64)).view(np.int64)
+        yield at, g, ctx, last[at]
+        last[at] = g
 
 
 def found(keys, wanted):
@@ -182,91 +229,95 @@ def found(keys, wanted):
     return np.where(keys[at] == wanted, at, -1)
 
 
-def add_states(tree: Tree, keys, counts, sizes, discount: float, differ: float, diverge: float) -> None:
-    """Turns the counts of the next words (sorted keys context * words + word) of the last level into its states."""
-    import numpy as np
+def sequence_counts(docs: DataFrame, shared, length: int) -> DataFrame:
+    """g, ctx, sfx (hashes of a sequence, of it without its last and without its first word), c: sequences after a context marked in a broadcast bitmap."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush():
+            g, ctx, sfx = (np.concatenate(x) for x in zip(*held, strict=True))
+            k, first, c = np.unique(g, return_index=True, return_counts=True)
+            for i in range(0, len(k), 200_000):
+                on = first[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i : i + 200_000], ctx[on], sfx[on], c[i : i + 200_000])], ["g", "ctx", "sfx", "c"])
+
+        for _, _, _, texts in pieces(batches):
+            for found_ in sequences(lined_up(texts)[0], shared.value, length):
+                pass
+            if len(found_[1]):
+                held.append(found_[1:])
+                n += len(found_[1])
+            if n >= 4_000_000:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "g long, ctx long, sfx long, c long").groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("sfx").alias("sfx"), F.sum("c").alias("c"))
+
 
-    level, k = tree.levels[-1], len(tree.levels) - 1
-    n = len(sizes)
-    ctx, w = keys // tree.words, keys % tree.words
-    root = np.log((tree.counts[w] + 1) / (tree.total + tree.distinct + 1))
-    suffix = root.copy()  # the log probability in the context's longest proper suffix that is a state
-    for j, up in enumerate(tree.levels[:k]):
-        c = level["suffixes"][j][ctx]
-        on = np.flatnonzero((c >= 0) & up["state"][np.maximum(c, 0)])
-        hit = found(up["keys"], c[on] * tree.words + w[on])
-        suffix[on] = np.where(hit >= 0, root[on] + (up["over_root"][np.maximum(hit, 0)] if len(up["keys"]) else 0.0), suffix[on] + up["share"][c[on]])
-    own = np.log(np.maximum(counts - discount, 1e-9) / sizes[ctx])
-    keep = np.abs(own - suffix) >= differ
-    keys, ctx, own, suffix, root, counts = (x[keep] for x in (keys, ctx, own, suffix, root, counts))
-    took, had = np.bincount(ctx, np.exp(own), n), np.bincount(ctx, np.exp(suffix), n)
-    share = np.log(np.maximum(1 - took, 1e-12) / np.maximum(1 - had, 1e-12))
-    rest = sizes - np.bincount(ctx, counts, n)
-    better = np.bincount(ctx, counts * (own - suffix), n) + rest * share  # size times divergence
-    level["state"] = (better > diverge * (1 + np.bincount(ctx, minlength=n))) & (had < 1) & (took < 1)
-    keep = level["state"][ctx]
-    level |= {"keys": keys[keep], "over_root": (own - root)[keep], "share": share}
-
-
-def learnt(docs: DataFrame, depth: int = 2, part: float = 2e-6, context_part: float = 2e-5, known_part: float = 2e-7, discount: float = 0.5, differ: float = 0.05, diverge: float = 2.0) -> tuple[Tree, DataFrame]:
+def learnt(docs: DataFrame, depth: int | None = None, least: int = 2, often: int = 20, part: float = 2e-6, known_part: float = 2e-7, discount: float = 0.5, differ: float = 0.05, diverge: float = 2.0) -> tuple[Tree, DataFrame]:
     """The tree of docs (doc_id, text), and all word counts (h, c).
 
-    part: of all words, what a next word needs in a context to be kept; context_part: what a context needs; known_part: what a
-    word needs for its count to be broadcast (at most 1 / known_part words, 16 bytes each); of rarer words it is joined.
+    least: what a next word needs in a context to be kept; often: what a context needs; depth: no longer contexts than this (None:
+    as long as a level has states). part: of all words, what a sequence needs for its value to be broadcast; known_part: what a
+    word needs for its count to be broadcast (at most 1 / known_part words, 16 bytes each); what is rarer is joined.
     diverge: what a state's size times its divergence must exceed, for itself and each kept next word.
     """
     import numpy as np
 
-    sc = docs.sparkSession.sparkContext
     counts = stored(word_counts(docs), "lm-words")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
     top = counts.where(F.col("c") >= max(2, known_part * total)).toArrow()
     h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.lexsort((h, -c))
-    h, c = h[order], c[order]
-    least, often = max(2, part * total), max(2, context_part * total)
-    tree = Tree(h, c, total, distinct, int((c >= least).sum()), int((c >= often).sum()))
-    sizes = c[: tree.firsts].astype(float)
-    end = np.flatnonzero(h == word_hash(END))
-    tree.levels.append({"contexts": None, "suffixes": []})
-    tuples = np.arange(tree.firsts)[:, None]
-    for k in range(depth):
-        shared = sc.broadcast(tree)
-
-        def run(batches, shared=shared):
-            t = shared.value
-
-            def keys_of(a):
-                ctx = t.contexts(a)[-1]
-                on = np.flatnonzero((ctx >= 0) & (a >= 0) & (a < t.words))
-                return ctx[on] * t.words + a[on]
-
-            yield from _summed(batches, t.numbered(), keys_of, ["k", "c"])
-
-        got = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
-        keys, n = got.column("k").to_numpy(), got.column("c").to_numpy().astype(float)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        add_states(tree, keys, n, sizes, discount, differ, diverge)
-        if k + 1 == depth:
+    tree = Tree(h[order], c[order], total, distinct)
+    known = counts.where(F.col("c") >= least)
+    contexts = known.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("ctx"), F.col("c").alias("size"))
+    shorter = known.select(F.col("h").alias("sfx"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
+    every, values = contexts.select(F.col("ctx").alias("g")), []
+    tree.contexts = bitmap(every)
+    while depth is None or len(tree.levels) < depth:
+        shared = docs.sparkSession.sparkContext.broadcast(tree.contexts)
+        t = sequence_counts(docs, shared, len(tree.levels) + 2).where(F.col("c") >= least)
+        own = F.log(F.greatest(F.col("c") - discount, F.lit(1e-9)) / F.col("size"))
+        level = stored(t.join(contexts, "ctx").join(shorter, "sfx").select("g", "ctx", "c", "size", own.alias("own"), "suffix"), "lm-level")
+        shared.destroy()
+        keep = F.abs(F.col("own") - F.col("suffix")) >= differ
+        s = level.where(keep).groupBy("ctx", "size").agg(F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had"), F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k"))
+        s = s.withColumn("share", F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12))))
+        s = s.where((F.col("better") + (F.col("size") - F.col("n")) * F.col("share") > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1))
+        states = stored(s.select("ctx", "size", "share"), "lm-states")
+        n = states.count()
+        if not n:
             break
-        # A frequent (context, next word) is a context of the next level: the context's words, then the next word.
-        big = (n >= often) & (keys % tree.words != (end[0] if len(end) else -1))
-        if not big.any():
+        tree.levels.append({"contexts": contexts.count(), "state": np.int64(n)})
+        none = F.lit(0.0)
+        values.append(states.select(F.col("ctx").alias("g"), none.alias("v"), "share", F.col("size").alias("c")))
+        values.append(level.where(keep).join(states.select("ctx", "share"), "ctx").select("g", (F.col("own") - F.col("suffix") - F.col("share")).alias("v"), none.alias("share"), "c"))
+        contexts = level.where(F.col("c") >= often).select(F.col("g").alias("ctx"), F.col("c").alias("size"))
+        if not contexts.limit(1).count():
             break
-        longer = np.concatenate([tuples[keys[big] // tree.words], (keys[big] % tree.words)[:, None]], axis=1)
-        # by level: the number of its suffix of that length
-        suffixes = [np.where(longer[:, -1] < tree.firsts, longer[:, -1], -1)]
-        for j in range(1, k + 1):
-            suffixes.append(np.where(suffixes[-1] >= 0, found(tree.levels[j]["contexts"], suffixes[-1] * tree.words + longer[:, -1 - j]), -1))
-        full = np.where(suffixes[-1] >= 0, suffixes[-1] * tree.words + longer[:, 0], -1)
-        good = np.flatnonzero(full >= 0)
-        good = good[np.argsort(full[good])]
-        sizes, tuples = n[big][good], longer[good]
-        tree.levels.append({"contexts": full[good], "suffixes": [s[good] for s in suffixes]})
-    for level in tree.levels:
-        level.pop("suffixes", None)
+        every = every.unionByName(contexts.select(F.col("ctx").alias("g")))
+        tree.contexts = bitmap(every)
+        both = level.join(states.select("ctx", "share"), "ctx", "left")
+        shorter = both.select(F.col("g").alias("sfx"), F.when(F.col("share").isNull(), F.col("suffix")).when(keep, F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"))
+    every = docs.sparkSession.createDataFrame([], "g long, v double, share double, c long")
+    for v in values:
+        every = every.unionByName(v)
+    every = stored(every.groupBy("g").agg(F.sum("v").alias("v"), F.sum("share").alias("share"), F.max("c").alias("c")), "lm-values")
+    enough = F.col("c") >= max(2, part * total)
+    held = every.where(enough).toArrow()
+    order = np.argsort(held.column("g").to_numpy())
+    tree.keys, v, tree.shares = (held.column(x).to_numpy()[order] for x in ("g", "v", "share"))
+    tree.gain = v + tree.shares
+    tree.values = every.where(~enough).select("g", (F.col("v") + F.col("share")).alias("v"))
+    tree.rest = bitmap(tree.values)
     return tree, counts
 
 
@@ -274,7 +325,8 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row's whole text (log10).
 
     Null and empty texts are an end alone; ids may be null or repeat. Words whose count the tree carries are looked up on the
-    spot; each text's rarer ones, counted once a text, are joined to all counts, so that nothing that grows is broadcast.
+    spot; each text's rarer ones, counted once a text, are joined to all counts, and its sequences whose values the tree does not
+    carry to the table of values, so that nothing that grows is broadcast.
     """
     t = documents(docs)
     small_batches(t.sparkSession, 2000)
@@ -305,15 +357,20 @@ def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             offsets = pa.array(np.searchsorted(doc[at], np.arange(len(texts) + 1), "left"), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[at], times)]
             number_of = lambda x: np.add.reduceat(x, starts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.arange(row, row + len(texts)), pa.int64()), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(tree.gains(a))), *lists], ["doc_id", "row", "n", "known", "base", "gain", "rare", "times"])
+            gain, place, g = tree.looked_up(a)
+            order = np.argsort(place, kind="stable")
+            offsets = pa.array(np.searchsorted(place[order], np.append(starts, len(a)), "left"), pa.int32())
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(g[order], pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.arange(row, row + len(texts)), pa.int64()), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists], ["doc_id", "row", "n", "known", "base", "gain", "rare", "times", "far"])
             row += len(texts)
 
-    rows = stored(t.mapInArrow(run, "doc_id long, row long, n long, known long, base double, gain double, rare array<long>, times array<long>"), "lm-scores")
+    rows = stored(t.mapInArrow(run, "doc_id long, row long, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
     found_ = rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also"))
-    both = rows.drop("rare", "times").join(found_, "row", "left")
+    far = rows.select("row", F.explode("far").alias("g")).join(tree.values, "g").groupBy("row").agg((F.sum("v") / F.log(F.lit(10.0))).alias("far_gain"))
+    both = rows.drop("rare", "times", "far").join(found_, "row", "left").join(far, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
-    return both.select("doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return both.select("doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("far_gain", F.lit(0.0))).alias("score"))
 
 
 def run(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:

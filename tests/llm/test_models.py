@@ -132,3 +132,21 @@ def test_words_are_split_at_ascii_blanks_alone():
     batch = pa.RecordBatch.from_arrays([pa.array(["cut off", *texts, None, "a b c " * 50])], ["text"]).slice(1)
     got = [suffix_lm.lined_up(t)[0].tolist() for _, _, _, t in suffix_lm.pieces([batch], 10)]
     assert len(got) > 2 and [x for g in got for x in g] == want + [-1, suffix_lm.word_hash(b""), -1, *[suffix_lm.word_hash(w) for w in (b"a", b"b", b"c")] * 50, suffix_lm.word_hash(b"")]
+
+
+def test_lm_grows_with_the_corpus(spark):
+    rng = random.Random(7)
+    # the fourth word follows from the three before it, and fewer of them tell less
+    text = lambda: " ".join(f"a{i} b{j} c{k} d{int(i + j + k > 1)}" for i, j, k in [[rng.randrange(2) for _ in range(3)] for _ in range(50)])
+    d = spark.createDataFrame([(i, text()) for i in range(40)], "doc_id long, text string")
+    tree, counts = suffix_lm.learnt(d)
+    assert len(tree.levels) > 2 and tree.levels[2]["state"] > 0
+    # all values joined give what all values broadcast give
+    apart, also = suffix_lm.learnt(d, part=1.0)
+    assert len(apart.keys) == 0 < len(tree.keys)
+    a, b = ({r.doc_id: r.score for r in suffix_lm.scored(d, *m).collect()} for m in ((tree, counts), (apart, also)))
+    assert len(a) == 40 and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+    # what a context needs does not rise with the words around it
+    pair = spark.createDataFrame([(i, "left right " * 3) for i in range(10)] + [(10 + i, "x " * 300_000) for i in range(10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_lm.scored(pair, *suffix_lm.learnt(pair)).collect()}
+    assert got[0].score > got[0].base_score + 5
