@@ -14,6 +14,11 @@ from placeloom.llm import decontaminate, near_dedup, packing, secret_scan, toxic
 from placeloom.llm.common import stored, table
 
 
+#: The likeness from which documents are near-duplicates here (op10 has its own), and the collections for which the expected
+#: recall of a link at exactly that likeness is above 99.9 %.
+PERCENT, PIPELINE_COLLECTIONS = 80, 20
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from the labelled ones among docs."""
     return toxicity.ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.5)
@@ -21,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id, one."""
-    gone = near_dedup.grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = near_dedup.grouped(docs, PERCENT, PIPELINE_COLLECTIONS).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     names, key = docs.columns, f"c{docs.columns.index('doc_id')}"
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may differ from doc_id and text in case alone
     left = flat.join(gone, F.col(key) == F.col("gone"), "left_anti")

@@ -174,3 +174,12 @@ def test_pipeline_stages(spark, tmp_path, clashing):
     text = {r[0]: r[1] for r in seen[4]}
     assert len(ids[4]) == len(ids[3]) and text.get(102, "[secret]").count("0123456789abcdef") == 0
     assert sum(p.length for p in pieces) == sum(len(OWN.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in seen[4])
+
+
+def test_pipeline_links_from_80_percent(spark):
+    w = prose(random.Random(11), 104).split()
+    text = lambda k: " ".join([*w[:-k], *(f"new{k}x{i}" for i in range(k))])
+    data = [(0, " ".join(w)), (1, text(10)), (2, text(12))]  # 90 of 110 shingles and 88 of 112 in common with the first
+    assert {d: c for d, (_, c) in brute(data, 80).items()} == {0: 0, 1: 0, 2: 2} and len({c for _, c in brute(data).values()}) == 3
+    left = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame([(*r, "en", "s", 0) for r in data], SCHEMA), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2]
