@@ -462,3 +462,20 @@ def test_streaming_limiter(spark, tmp_path):
         q.awaitTermination(120)
     got = {r.event_id: r.available for r in spark.table("limiter_a").collect()}
     assert got == {i: i < 5 for i in range(8)} | {8: True}
+
+
+@pytest.mark.parametrize("method", ["hdbscan", "dbscan"])
+def test_noise_that_is_left_goes_to_a_cluster(spark, method):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.01, (40, 2)), rng.normal(5, 0.01, (40, 2)), rng.uniform(0, 5, (30, 2))])
+    f = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "pair_id long, f0 double, f1 double")
+    without = {r.pair_id: r.label for r in clustering.clustered(f, ["f0", "f1"], method, votes=False).collect()}
+    got = {r.pair_id: r.label for r in clustering.clustered(f, ["f0", "f1"], method).collect()}
+    assert -1 in without.values() and len(got) == len(x) and -1 not in got.values()
+
+    def vote(i):
+        five = sorted((j for j in without if without[j] >= 0), key=lambda j: (round(((x[j] - x[i]) ** 2).sum(), 12), j))[:5]
+        labels = [without[j] for j in five]
+        return min(labels, key=lambda v: (-labels.count(v), v))
+
+    assert all(got[i] == (v if v >= 0 else vote(i)) for i, v in without.items())
