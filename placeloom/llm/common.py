@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,20 +38,21 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Without one there is no safe place: an error, for a local
+    folder would lose rows on a cluster."""
     sc = spark.sparkContext
-    if path := (sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        return path
-    path = tempfile.mkdtemp(prefix="placeloom-")
-    sc.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and sc.master.startswith("local["):  # one machine: any folder is shared
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, so a lost executor repeats no earlier stage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,9 +65,21 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a run of very long texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, column: str = "text", most: int = 8_000_000):
+    """The batches cut into runs of rows with about `most` bytes in `column`, so that a run of very long texts fits a Python worker.
+    (Spark itself holds a batch under spark.sql.execution.arrow.maxBytesPerBatch.)"""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        c = batch.column(column)
+        size = np.cumsum(pc.fill_null(pc.binary_length(c if not pa.types.is_string_view(c.type) else c.cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 class Numbers(dict):

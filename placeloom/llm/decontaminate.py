@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mixed, pick, small_batches, texts_of
+from .common import MULTIPLIER, mixed, pick, slices, texts_of
 
 #: Masks: 1 is hashed, 0 is ignored. Fixed values.
 MASKS = ("11101011", "110110101", "1100101101", "10110100111")
@@ -162,7 +162,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: f
     each against all documents; documents are never shuffled.
     """
     t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(t.sparkSession)
     out = None
     for shared in _indexes(benchmark, alike, share, enough, fewest, most_bytes):
 
@@ -170,7 +169,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: f
             import pyarrow as pa
 
             index = Index(*shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 got = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for x in index.find(text)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "equal_words", "item_words", "first_word", "end_word"])
@@ -182,7 +181,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: f
 
 def clean(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: float = 0.5, enough: int = 50, fewest: int = 5, most_bytes: int = 16_000_000) -> DataFrame:
     """The rows of docs, all columns as they are, whose text overlaps no test passage (see overlaps)."""
-    small_batches(docs.sparkSession)
     spot = [i for i, c in enumerate(docs.columns) if c == "text"][0]
     names, flat = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     for shared in _indexes(benchmark, alike, share, enough, fewest, most_bytes):
@@ -191,7 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: floa
             import pyarrow as pa
 
             index = Index(*shared.value)
-            for batch in batches:
+            for batch in slices(batches, f"c{spot}"):
                 yield batch.filter(pa.array([not index.find(x) for x in texts_of(batch, f"c{spot}")], pa.bool_()))
 
         flat = flat.mapInArrow(run, flat.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from placeloom.operators.components import components as connected
 
-from .common import documents, shingle_hashes, small_batches, stored, texts_of, word_ids
+from .common import documents, shingle_hashes, slices, stored, texts_of, word_ids
 
 COLLECTIONS, ROWS = 14, 4
 #: Words are parted by these; A-Z count as a-z. (bytes.split() and bytes.lower() do just that.)
@@ -61,7 +61,7 @@ def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS)
 
         a, b = seeds(collections * rows)
         number = word_ids()
-        for batch in batches:
+        for batch in slices(batches):
             n, content, small, parity = [], [], [], []
             for text in texts_of(batch):
                 h = shingle_hashes(number.of(text.lower().split(), np.uint64))
@@ -88,7 +88,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         number = word_ids()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_hashes(number.of(t.lower().split(), np.uint64)).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "set"])
 
     return docs.mapInArrow(run, "doc_id long, set binary")
@@ -133,7 +133,6 @@ def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS,
     """
     t = documents(docs)
     spark = t.sparkSession
-    small_batches(spark, 500)
     all_docs = stored(profiles(t, collections, rows), "dedup-profiles")
     live = all_docs.where("content is not null and doc_id is not null")
     classes = stored(live.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("small").alias("small"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n")), "dedup-classes")

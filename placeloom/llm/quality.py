@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, pick, remainder, small_batches, texts_of
+from .common import MULTIPLIER, pick, remainder, slices, texts_of
 
 #: Byte classes, each a part of the encoding: bytes not named are of the last.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "|", "*#$%&@^~+=<>_\\/", "\"'()[]{}-", "")
@@ -137,18 +137,20 @@ def fitted(x, bags, y, hidden: int = 16, gate: int = 8, rounds: int = 250, rate:
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5) -> Model:
     """Learns from at most `most` labelled documents, the first by hash of the id among those whose crc32(doc_id) mod folds is not 0.
 
+    Labels that repeat an id count once, as the largest of them; null labels and ids teach nothing. A document's label is that of its
+    id, so rows that repeat one all count.
+
     Their passages are encoded on the executors; the driver gets encodings only."""
     import numpy as np
 
-    own = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where((remainder(F.col("doc_id"), folds) != 0) & F.col("y").isNotNull())
-    ids = own.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most).dropDuplicates(["doc_id"])
+    own = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where((remainder(F.col("doc_id"), folds) != 0) & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
+    ids = own.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most)
     t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(t.sparkSession, 500)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             x, bags = encoded(texts_of(batch))
             at = np.concatenate([[0], np.cumsum(bags)])
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("_h"), pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["y", "h", "x"])
@@ -160,18 +162,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = 5)
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) of every whole text; null counts as empty, an empty text is one blank passage.
-    Repeated rows each give a row; an empty table none. One narrow pass; the model is a few KB."""
+    Very long texts are encoded a passage at a time. Repeated rows each give a row; an empty table none; other columns are not read,
+    whatever their names. One narrow pass; the model is a few KB."""
     t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(t.sparkSession, 500)
     shared = t.sparkSession.sparkContext.broadcast(model.parts)
 
     def run(batches):
         import pyarrow as pa
 
         m = Model(shared.value)
-        for batch in batches:
-            if batch.num_rows:
-                x, bags = encoded(texts_of(batch))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(x, bags).astype(float), pa.float64())], ["doc_id", "score"])
+        for batch in slices(batches):
+            x, bags = encoded(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(x, bags).astype(float), pa.float64())], ["doc_id", "score"])
 
     return t.mapInArrow(run, "doc_id long, score double")

@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary text, discount every count and give the freed mass to a shared backoff: how many
-different words each word follows, as far as both classes share it, and a small part of what one class has alone. Rare
-expressions are so alike for both classes, and only expressions with evidence move the difference of the length-normalised
-log-likelihoods.
+Two models of how words are spelt, one of toxic and one of ordinary text, give each byte of a word a probability after the bytes
+before it. Their counts (in how many documents of the class a word with the expression occurs) lose an absolute discount that
+follows from the counts of counts, and the freed mass goes to a backoff that both classes share: continuation counts, in how many
+different expressions of either class a shorter one ends. Rare expressions are so alike for both classes, and word forms never
+seen are judged by their parts. A text is scored by the difference of its two log-likelihoods by symbol.
 """
 
 from __future__ import annotations
@@ -11,204 +12,262 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, remainder, small_batches, texts_of
+from .common import pick, remainder, slices, texts_of
 
 #: Everything in ASCII but letters, digits and ' parts words; A-Z count as a-z.
 SPLIT = bytes((c | 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c == 39 else 32 for c in range(256))
-
-#: Orders and spreads of the discount that are tried on held-out folds.
-CHOICES = ((1, 1.5), (1, 2.5), (1, 4.0), (1, 6.0), (2, 4.0))
+#: Marks before and after each word: bytes that no word holds.
+BEGIN, END = b"\x01", b"\x02"
+#: (order, ordinary texts for each toxic one) that are tried on held-out folds.
+CHOICES = ((3, 1), (4, 1), (4, 3), (5, 3))
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(SPLIT).split()
 
 
+def expressions(vocabulary: list[bytes], order: int):
+    """For each symbol of the words, their end marks included: it and the order - 1 before it packed into a number (zeros before the
+    begin mark), and the word's place."""
+    import numpy as np
+
+    b = np.frombuffer(b"".join(BEGIN + w + END for w in vocabulary), np.uint8).astype(np.uint64)
+    begin = b == BEGIN[0]
+    at = np.flatnonzero(begin)
+    place = np.arange(len(b)) - np.repeat(at, np.diff(np.append(at, len(b))))
+    key = np.zeros(len(b), np.uint64)
+    for k in range(order - 1, -1, -1):
+        key <<= np.uint64(8)
+        key[k:] |= np.where(place[k:] >= k, b[: len(b) - k], 0)
+    return key[~begin], (np.cumsum(begin) - 1)[~begin]
+
+
+def discount(counts) -> float:
+    """n1 / (n1 + 2 n2), of how many counts are 1 and 2; a half where none is 1."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return one / (one + 2 * two) if one else 0.5
+
+
+def looked_up(keys, values, wanted, other):
+    """The values of wanted in sorted keys, `other` where it is not."""
+    import numpy as np
+
+    if not len(keys):
+        return np.full(len(wanted), other, float)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
+
+
+def own_and_freed(keys, counts):
+    """Discounted relative counts of expressions, and by context the mass that goes to the backoff."""
+    import numpy as np
+
+    less = discount(counts)
+    head, back = np.unique(keys >> np.uint64(8), return_inverse=True)
+    total, types = np.bincount(back, counts, len(head)), np.bincount(back, minlength=len(head))
+    return (counts - less) / total[back], head, less * types / total
+
+
 class Model:
-    """Scores texts. ids: words with evidence; uni: rows toxic, ordinary of their probabilities; keys, bi: the same for bigrams' own part."""
+    """Difference of the log-probabilities by expression (keys, gain) and, for an expression never seen, by context (heads, lean).
 
-    def __init__(self, ids, uni, rest, context, keys, bi, fit):
-        self.ids, self.uni, self.rest, self.context, self.keys, self.bi, self.fit = ids, uni, rest, context, keys, bi, fit
+    fit: bias and slope of the calibration."""
 
-    def difference(self, text: bytes) -> tuple[float, int]:
-        """Toxic less ordinary log-likelihood by word, and the number of words."""
-        import numpy as np
+    def __init__(self, order: int, keys, gain, heads, lean, fit=(-3.0, 0.0)):
+        self.order, self.keys, self.gain, self.heads, self.lean, self.fit = order, keys, gain, heads, lean, fit
+        self.known: dict[bytes, float] = {}
 
-        w = words(text)
-        n = len(w)
-        if not n:
-            return 0.0, 0
-        get = self.ids.get
-        a = np.fromiter((get(x, 0) for x in w), np.int64, n)
-        before = np.concatenate([[0], a[:-1]])
-        p = self.context[:, before] * self.uni[:, a]
-        key = before * np.int64(self.uni.shape[1]) + a
-        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[spot] == key
-        p[:, hit] += self.bi[:, spot[hit]]
-        return float((np.log(p[0]) - np.log(p[1])).sum() / n), n
-
-    def score(self, text: bytes) -> float:
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def of_expressions(self, key):
+        """Toxic less ordinary log-probability of each expression's last symbol."""
         import numpy as np
 
-        d, n = self.difference(text)
-        z = float(self.fit[0] + np.dot(self.fit[1:], shape(d, n)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return looked_up(self.keys, self.gain, key, looked_up(self.heads, self.lean, key >> np.uint64(8), 0.0))
 
+    def of_words(self, vocabulary: list[bytes]):
+        """Toxic less ordinary log-probability of each word with its end."""
+        import numpy as np
 
-def shape(d: float, n: int):
-    """What the calibration reads: the length-normalised difference, and the same by the square root of the length."""
-    import numpy as np
+        if not len(self.keys) or not vocabulary:
+            return np.zeros(len(vocabulary))
+        key, word = expressions(vocabulary, self.order)
+        return np.bincount(word, self.of_expressions(key), len(vocabulary))
 
-    return np.array([np.clip(20 * d, -4, 4), np.clip(d * np.sqrt(n), -6, 6)])
+    def differences(self, texts: list[bytes], most: int = 400_000):
+        """Toxic less ordinary log-likelihood by symbol of each text; 0 without words. Words once met are remembered, up to `most`."""
+        import numpy as np
 
+        split = [words(t) for t in texts]
+        if len(self.known) > most:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, self.of_words(new).tolist(), strict=True))
+        get = self.known.__getitem__
+        return np.array([sum(map(get, w)) / (len(w) + sum(map(len, w))) if w else 0.0 for w in split])
 
-def counts(texts: list[bytes], ids: dict[bytes, int]):
-    """Word ids, and distinct bigram keys with their counts; a document counts an expression once, so a text that repeats
-    itself is no evidence, and texts that repeat count once. ids grows."""
-    import numpy as np
+    def scores(self, texts: list[bytes]):
+        """0 to 1, higher: toxic."""
+        import numpy as np
 
-    arrays = [np.fromiter((ids.setdefault(x, len(ids) + 1) for x in words(t)), np.int64) for t in dict.fromkeys(texts)]
-    pairs = np.concatenate([np.unique((a[:-1] << np.int64(32)) | a[1:]) for a in arrays if len(a) > 1] or [np.zeros(0, np.int64)])
-    flat = np.concatenate([np.unique(a) for a in arrays] or [np.zeros(0, np.int64)])
-    return flat, *np.unique(pairs, return_counts=True)
+        return 1 / (1 + np.exp(-np.clip(self.fit[0] + self.fit[1] * self.differences(texts), -30, 30)))
 
 
-def discounted(c, spread: float):
-    """What of each count goes to the shared backoff: `spread` times its standard error and 1, or all of it."""
+def told_apart(vocabulary: list[bytes], order: int):
+    """The distinct expressions of words, and for each symbol its expression's place and its word's."""
     import numpy as np
 
-    return np.minimum(c, 1 + spread * np.sqrt(c))
+    key, word = expressions(vocabulary, order)
+    return *np.unique(key, return_inverse=True), word
 
 
-def build(toxic: list[bytes], ordinary: list[bytes], order: int = 1, spread: float = 2.0, alone: float = 0.001):
-    """A model without calibration. Of order 1, all bigram counts go to the backoff."""
+def build(found, counts, order: int) -> Model:
+    """A model without calibration. found: told_apart of a vocabulary; counts: rows toxic and ordinary, in how many documents each of its words occurs."""
     import numpy as np
 
-    ids: dict[bytes, int] = {}
-    got = [counts(x, ids) for x in (toxic, ordinary)]
-    size = len(ids) + 1
-    each = [np.bincount(g[1] & np.int64(2**32 - 1), minlength=size) / max(1, len(g[1])) for g in got]
-    follows = (np.minimum(*each) + alone * (each[0] + each[1])) * sum(len(g[1]) for g in got)
-    shared = (follows + 0.5) / (follows.sum() + 0.5 * (size + 1))
-    uni, context, bi = np.ones((2, size)), np.ones((2, size)), []
-    total = [np.bincount(g[0], minlength=size).astype(float) for g in got]
-    for c in range(2):
-        n = max(1.0, total[c].sum())
-        free = max(discounted(total[c], spread).sum(), 1.0) / n
-        uni[c] = (total[c] - discounted(total[c], spread)) / n + free * shared
-        keys, k = got[c][1], got[c][2]
-        head = keys >> np.int64(32)
-        n_head = np.bincount(head, weights=k, minlength=size)
-        less = discounted(k, 4.0) if order > 1 else k  # bigrams need more evidence
-        freed = np.bincount(head, weights=less, minlength=size)
-        context[c] = np.where(n_head > 0, np.maximum(freed, 1e-3) / np.maximum(n_head, 1), 1.0)
-        own = k > less
-        bi.append((keys[own], (k[own] - less[own]) / n_head[head[own]]))
-    # Only words with evidence in a class keep an entry; 0 stands for all others.
-    keep = np.flatnonzero((total[0] > discounted(total[0], spread)) | (total[1] > discounted(total[1], spread)))
-    keep = keep[keep > 0]
-    new = np.zeros(size, np.int64)
-    new[keep] = np.arange(1, len(keep) + 1)
-    rare = np.setdiff1d(np.arange(1, size), keep)
-    other = [uni[c][rare].mean() if len(rare) else uni[c].min() for c in range(2)]
-    level = sum(other) / 2
-    free = [max(discounted(total[c], spread).sum(), 1.0) / max(1.0, total[c].sum()) for c in range(2)]
-    u = np.concatenate([np.array([[level * free[0] / sum(free) * 2], [level * free[1] / sum(free) * 2]]), uni[:, keep]], axis=1)
-    cx = np.concatenate([np.ones((2, 1)), context[:, keep]], axis=1)
-    width = u.shape[1]
-    short = [new[k >> np.int64(32)] * width + new[k & np.int64(2**32 - 1)] for k, _ in bi]
-    keys = np.unique(np.concatenate([*short, np.array([-1])]))
-    own = np.zeros((2, len(keys)))
-    for c in range(2):
-        own[c, np.searchsorted(keys, short[c])] = bi[c][1]
-    names = {w: int(new[i]) for w, i in ids.items() if new[i]}
-    return Model(names, u, None, cx, keys, own, [0.0, 1.0, 1.0])
-
-
-def logistic(x, y, weight, rounds: int = 200, decay: float = 1e-2):
-    """Bias and weights of a logistic regression, by Newton's method."""
+    every, back, word = found
+    seen = [np.bincount(back, np.asarray(c, float)[word], len(every)) for c in counts]
+    live = (seen[0] + seen[1]) > 0
+    every, seen = every[live], [c[live] for c in seen]
+    levels, now = [], every  # the shared backoff: continuation counts of the expressions of ever fewer symbols
+    for k in range(order - 1, 0, -1):
+        now, n = np.unique(now & np.uint64(2 ** (8 * k) - 1), return_counts=True)
+        levels.append((k, now, *own_and_freed(now, n)))
+    shared = np.full(len(every), 1 / 256)
+    for k, keys, own, head, freed in reversed(levels):
+        short = every & np.uint64(2 ** (8 * k) - 1)
+        shared = looked_up(keys, own, short, 0.0) + looked_up(head, freed, short >> np.uint64(8), 1.0) * shared
+    heads = np.unique(every >> np.uint64(8))
+    logs, leans = [], []
+    for n in seen:
+        mine = n > 0
+        own, head, freed = own_and_freed(every[mine], n[mine])
+        p = looked_up(head, freed, every >> np.uint64(8), 1.0) * shared
+        p[mine] += own
+        logs.append(np.log(p))
+        leans.append(np.log(looked_up(head, freed, heads, 1.0)))
+    return Model(order, every, logs[0] - logs[1], heads, leans[0] - leans[1])
+
+
+def logistic(x, y, weight, rounds: int = 100, decay: float = 1e-6):
+    """Bias and slope of a logistic regression on one number, by Newton's method."""
     import numpy as np
 
-    a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    w = np.zeros(a.shape[1])
+    a, w = np.stack([np.ones(len(x)), x], 1), np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + decay * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - decay * w)
-        w += step
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + decay * np.eye(2), a.T @ (weight * (y - p)) - decay * w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, most: int, folds: int = 5) -> list[tuple[int, bytes, int]]:
-    """(label, text, hash) of at most `most` learning rows of each label, the first by hash of the id: those whose crc32(doc_id) mod folds is not 0."""
-    own = pick(labels, "doc_id", column).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where(remainder(F.col("doc_id"), folds) != 0)
-    own = own.withColumn("_h", F.xxhash64("doc_id"))
-    ids = own.where("y = 1").orderBy("_h", "doc_id").limit(most).unionByName(own.where("y = 0").orderBy("_h", "doc_id").limit(most)).dropDuplicates(["doc_id"])
-    t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = t.join(F.broadcast(ids), "doc_id").select("y", "text", "_h").toLocalIterator()
-    return sorted(((r.y, r.text.encode(), r._h) for r in rows), key=lambda x: (x[2], x[1]))
+def fitted(rows: list[tuple[int, list[bytes], list[int]]], parts: dict[int, int], folds: int = 4, weight_of_toxic: float = 3.0) -> Model:
+    """A calibrated model of rows (label, distinct words, how often each occurs); parts: how many labels of each kind there are in all.
 
+    In four folds, three quarters give counts and the last is scored; on those scores the calibration is fitted, with the classes
+    weighted to their parts and a toxic text missed counting as weight_of_toxic ordinary ones lost, and the choice with the lowest
+    loss is taken; then all rows give the model's counts."""
+    import numpy as np
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
-    """Learns from at most `most` labelled documents of each class, chosen by hash. In four folds, three quarters give
-    counts and the last is scored; on those scores the calibration is fitted, with the classes weighted to their parts, and the
-    order and spread with the lowest loss are taken; then all rows give the model's counts."""
-    rows = sample(docs, labels, "toxic", most)
-    own = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(remainder(F.col("doc_id"), 5) != 0)
+    vocabulary: dict[bytes, int] = {}
+    flat = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for _, d, _ in rows for w in d), np.int64)
+    y, names = np.array([r[0] for r in rows], np.int64), list(vocabulary)
+    if set(y.tolist()) != {0, 1}:
+        return Model(1, *[np.zeros(0, np.uint64), np.zeros(0)] * 2)
+    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    times = np.fromiter((n for r in rows for n in r[2]), float, len(flat))
+    symbols = np.maximum(np.bincount(doc, times * (1 + np.array([len(w) for w in names]))[flat], len(rows)), 1)
+    found = {order: told_apart(names, order) for order in {c[0] for c in CHOICES}}
+
+    def model(on, order):
+        real = on[doc]
+        return build(found[order], [np.bincount(flat[real & (y[doc] == c)], minlength=len(names)) for c in (1, 0)], order)
+
+    def tried(order: int, ratio: int):
+        taken = (y == 1) | ((y == 0) & (np.cumsum(y == 0) <= ratio * (y == 1).sum()))
+        x, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
+        every, back, word = found[order]
+        for k in range(folds):
+            by_word = np.bincount(word, model(taken & (fold != k), order).of_expressions(every)[back], len(names))
+            x = np.where(fold == k, np.bincount(doc, by_word[flat] * times, len(rows)) / symbols, x)
+        x, z = x[taken], y[taken].astype(float)
+        weight = np.where(z == 1, weight_of_toxic * parts.get(1, 1) / max(1, z.sum()), parts.get(0, 1) / max(1, (1 - z).sum()))
+        weight = weight / weight.mean()
+        w = logistic(x, z, weight)
+        loss = float((weight * (np.logaddexp(0, w[0] + w[1] * x) - z * (w[0] + w[1] * x))).mean())
+        return loss, order, taken, w.tolist()
+
+    _, order, taken, fit = min((tried(*c) for c in CHOICES), key=lambda x: x[0])
+    best = model(taken, order)
+    best.fit = fit
+    return best
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 24_000_000, folds: int = 5) -> Model:
+    """Learns from labelled documents whose crc32(doc_id) mod folds is not 0: of each label, the first by hash of the id, at most `most`
+    ids and so many that their texts hold at most most_bytes; texts that repeat count once.
+
+    Labels that repeat an id count once, as the largest of them; null labels and ids teach nothing. Words are split, told apart and
+    counted on the executors; the driver gets the distinct words of the sample's texts, which the two bounds hold.
+    """
+    own = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+    own = own.where((remainder(F.col("doc_id"), folds) != 0) & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     parts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    return fitted(rows, parts)
+    own = own.withColumn("h", F.xxhash64("doc_id"))
+    ids = own.where("y = 1").orderBy("h", "doc_id").limit(most).unionByName(own.where("y = 0").orderBy("h", "doc_id").limit(most))
+    t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    last = {}
+    for y in (0, 1):
+        size = 0
+        for r in t.where(F.col("y") == y).groupBy("h").agg(F.sum(F.octet_length("text")).alias("b")).orderBy("h").toLocalIterator():
+            size += r.b
+            if size > most_bytes and y in last:
+                break
+            last[y] = r.h
+    taken = t.where(" or ".join(f"(y = {y} and h <= {h})" for y, h in last.items()) or "false")
+
+    def run(batches):
+        from collections import Counter
 
+        import pyarrow as pa
 
-def fitted(rows: list[tuple[int, bytes, int]], parts: dict[int, int]) -> Model:
-    """A calibrated model of rows (label, text, hash); parts: how many rows of each label there are in all."""
-    import numpy as np
+        for batch in slices(batches):
+            found = [Counter(words(x)) for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array([b" ".join(c) for c in found], pa.binary()), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["y", "h", "words", "times"])
 
-    def held_out(order: int, spread: float):
-        xs, ys = [], []
-        for fold in range(4):
-            first = [r for i, r in enumerate(rows) if i % 4 != fold]
-            m = build([t for y, t, _ in first if y == 1], [t for y, t, _ in first if y == 0], order, spread)
-            for y, text, _ in rows[fold::4]:
-                xs.append(shape(*m.difference(text)))
-                ys.append(y)
-        y, x = np.array(ys, float), np.array(xs).reshape(-1, 2)
-        weight = np.where(y == 1, parts.get(1, 1) / max(1, y.sum()), parts.get(0, 1) / max(1, (1 - y).sum()))
-        weight = weight / max(weight.mean(), 1e-9) if len(y) else weight
-        w = logistic(x, y, weight)
-        z = w[0] + x @ w[1:]
-        return float((weight * (np.logaddexp(0, z) - y * z)).mean()) if len(y) else 0.0, order, spread, w.tolist()
-
-    both = {y for y, _, _ in rows} == {0, 1}
-    _, order, spread, fit = min(held_out(*x) for x in CHOICES) if both else (0, 1, 2.0, [-3.0, 1.0, 1.0])
-    model = build([t for y, t, _ in rows if y == 1], [t for y, t, _ in rows if y == 0], order, spread)
-    model.fit = fit
-    return model
+    got: dict = {}
+    for r in taken.select("y", "h", "text").mapInArrow(run, "y int, h long, words binary, times array<int>").toLocalIterator():
+        key = (bytes(r.words), tuple(r.times))
+        if key not in got or (r.h, -r.y) < (got[key][1], -got[key][0]):
+            got[key] = (r.y, r.h)
+    return fitted([(y, w.split(), list(n)) for (w, n), (y, _) in sorted(got.items(), key=lambda x: (x[1][1], x[0]))], parts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1, higher: toxic) of every whole text; null and empty texts score as no words. Rows that repeat each
-    give a row; an empty table gives none. One narrow pass; the model is of bounded size, as its sample is."""
+    give a row; an empty table gives none; very long texts are read whole, one at a time; other columns are not read, whatever their
+    names. One narrow pass; the model is of bounded size, as its sample is."""
     t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(t.sparkSession)
     shared = t.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(x) for x in texts_of(batch)], pa.float64())], ["doc_id", "score"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(texts_of(batch)), pa.float64())], ["doc_id", "score"])
 
     return t.mapInArrow(run, "doc_id long, score double")
 
 
 def ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, that score under the threshold."""
-    small_batches(docs.sparkSession)
-    names, spot = docs.columns, [i for i, c in enumerate(docs.columns) if c == "text"][0]
+    """The rows of docs, all columns as they are, that score under the threshold. The text is the column of that name, else one that
+    differs in case."""
+    names = docs.columns
+    spot = f"c{([i for i, c in enumerate(names) if c == 'text'] or [i for i, c in enumerate(names) if c.lower() == 'text'])[0]}"
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +275,7 @@ def ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([m.score(x) < threshold for x in texts_of(batch, f"c{spot}")], pa.bool_()))
+        for batch in slices(batches, spot):
+            yield batch.filter(pa.array(m.scores(texts_of(batch, spot)) < threshold, pa.bool_()))
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)
