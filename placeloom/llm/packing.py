@@ -12,17 +12,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, stored, texts_of
+from .common import pick, slices, stored
 
 #: What follows each document.
 END_ID = 1
 
 
 class Encoder:
-    """Ids as the tokenizer file gives them, special strings being ordinary text.
+    """Ids as the tokenizer file gives them, without added special tokens; a special token's string in a text is that token.
 
-    Texts of Latin letters and below go through the same vocabulary in its faster library; all others, where the two could
-    class a character differently, through the tokenizer itself. path_json and path_ranks hold one vocabulary.
+    Texts of Latin letters and below without such a string go through the same vocabulary in its faster library; all others, where
+    the two could class a character differently, through the tokenizer itself. spec and ranks hold one vocabulary.
     """
 
     FAR = re.compile("[^\x00-ɏ]")
@@ -34,7 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(spec)
-        self.own.encode_special_tokens = True
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks:
             import base64
@@ -46,7 +46,7 @@ class Encoder:
     def __call__(self, text: str):
         import numpy as np
 
-        if self.fast is not None and not self.FAR.search(text):
+        if self.fast is not None and not self.FAR.search(text) and not any(x in text for x in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.asarray(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -60,9 +60,8 @@ def tokenizer_files(name: str = "byte_bpe_50k") -> tuple[str, bytes, str]:
 
 
 def tokenized(docs: DataFrame, files: tuple[str, bytes, str], end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian, 2 bytes each where the vocabulary allows, else 4), n, part, before: stored once, so that no later step tokenizes again."""
+    """doc_id, ids (little-endian, 4 bytes each), n, part, before: stored once, so that no later step tokenizes again."""
     t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    small_batches(t.sparkSession)
     shared = t.sparkSession.sparkContext.broadcast(files)
 
     def run(batches):
@@ -71,7 +70,7 @@ def tokenized(docs: DataFrame, files: tuple[str, bytes, str], end_id: int = END_
         from pyspark import TaskContext
 
         encode, part, before = Encoder(*shared.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, counts, starts = [], [], []
             for text in batch.column("text").to_pylist():
                 a = np.append(encode(text), end_id)
@@ -88,7 +87,8 @@ def pack(docs: DataFrame, files: tuple[str, bytes, str] | None = None, window: i
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids with keep_ids), in every case of every row.
 
     All sequences are full but the last. Null and empty texts give one piece that holds the end id alone. Ids that are null or
-    repeat are carried along; each row is a document of its own. An empty table gives no piece. The driver sees one total for
+    repeat are carried along; each row is a document of its own. Very long texts give as many pieces as they need. Other columns are
+    not read, whatever their names. An empty table gives no piece. The driver sees one total for
     each partition, nothing that grows with rows.
     """
     rows = tokenized(docs, files or tokenizer_files())
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, files: tuple[str, bytes, str] | None = None, window: i
         import pyarrow as pa
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             out = [[] for _ in range(8)]
             for doc, ids, n, part, before in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "n", "part", "before")), strict=True):
                 first = offsets[part] + before

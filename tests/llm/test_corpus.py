@@ -19,9 +19,7 @@ def reference_tokenizer():
     import public_tokenizers as files
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(files.path("byte_bpe_50k.json"))
 
 
 ENCODER = packing.Encoder(*packing.tokenizer_files())
@@ -36,10 +34,14 @@ def test_encoder_equals_tokenizer(text):
 
 def test_encoder_on_every_low_character():
     for c in range(0x250):
-        for text in (chr(c), f"a{chr(c)}b", f" {chr(c)} {chr(c)}{chr(c)}1", f"x{chr(c)}\n{chr(c)}"):
+        for text in (f"{chr(c)}<|endoftext|>{chr(c)}", chr(c), f"a{chr(c)}b", f" {chr(c)} {chr(c)}{chr(c)}1", f"x{chr(c)}\n{chr(c)}"):
             assert ENCODER(text).tolist() == OWN.encode(text, add_special_tokens=False).ids, hex(c)
 
 
+def test_special_strings_are_tokens():
+    assert ENCODER("hello <|endoftext|> there").tolist() == [31373, 220, 50256, 612]
+
+
 def test_packing(spark, clashing, nothing):
     got = packing.pack(clashing, keep_ids=True).collect()
     want = defaultdict(list)
