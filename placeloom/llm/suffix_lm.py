@@ -2,15 +2,18 @@
 
 The root is the smoothed distribution of single words. Below it, a context (the last one, two, ... words) becomes a state if it
 is frequent enough and its next-word distribution diverges from that of its longest proper suffix. A state keeps the
-probabilities of the next words that are frequent in it and differ; all others share the rest of its mass in its suffix's
+probabilities of the next words that have evidence in it and differ; all others share the rest of its mass in its suffix's
 proportions, so every state's distribution sums to one. A word is scored in the longest suffix of what precedes it that is a
 state.
 
-All counts are of the whole corpus, and what a context or a next word needs is a fixed count, so the tree grows with the input.
-A level longer is counted as long as the last one has a state. Each level is a written table, made by joins on hashes of word
-sequences. A score is a sum: each sequence of words that is a state or a kept transition adds one value for each place it ends
-at. The values of the most frequent sequences (a bounded number a level) are broadcast, all others are joined; a bitmap of fixed
-size tells which sequences can have a value at all, and where it errs the join says so.
+All counts are of the whole corpus, and what a context or a next word needs is a fixed count and a fixed divergence, so the tree
+grows with the input. Words are split and hashed once; each level is one pass over the stored hashes. A context is counted if it
+is frequent and its suffix is followed by more than one word: where a suffix has one next word, so has everything that ends with
+it, and nothing can diverge. So levels shrink, and the tree ends by itself at the first level without a state.
+
+A score is a sum: each transition and each state adds one value for each place it occurs at. The values of the most frequent ones
+(a bounded number) are broadcast, all others are joined; bitmaps of bounded size tell which sequences can have a value at all,
+and where they err the joins say so.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, small_batches, stored
+from .common import documents, remainder, stored
 
 #: The end of a text, counted as a word of its own.
 END = b""
+#: A bitmap has about 16 bits a key, and 64 times as many (8 MB) at most, at any size of the corpus.
+SLOTS = 1 << 20
+#: Constants of the 64-bit hash that the built-in function xxhash64 gives for longs (fixed values).
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 
 def word_hash(word: bytes) -> int:
@@ -42,11 +49,29 @@ def word_hashes(words):
     return (np.fromiter((digest(raw[i:j]) for i, j in zip(at, at[1:], strict=False)), np.uint64, len(words)) >> np.uint64(2)).astype(np.int64)
 
 
-def lined_up(texts, number=None):
-    """The numbers of all texts' words in one array, a -1 before each text and its end after it, and where each text starts.
+def _hashed(x, seed):
+    """xxhash64 of longs (uint64 arrays) as the built-in function gives it."""
+    import numpy as np
+
+    u, turned = np.uint64, lambda v, n: (v << u(n)) | (v >> u(64 - n))
+    h = (seed + u((P5 + 8) & (2**64 - 1))) ^ (turned(x * u(P2), 31) * u(P1))
+    h = turned(h, 27) * u(P1) + u(P4)
+    h = (h ^ (h >> u(33))) * u(P2)
+    h = (h ^ (h >> u(29))) * u(P3)
+    return h ^ (h >> u(32))
+
+
+def chained(ctx, word):
+    """The hash of a sequence from that of all its words but the last, and that word's: equal to xxhash64(ctx, word) in SQL."""
+    import numpy as np
+
+    return _hashed(word.view(np.uint64), _hashed(ctx.view(np.uint64), np.uint64(42))).view(np.int64)
+
+
+def lined_up(texts):
+    """The hashes of all texts' words in one array, a -1 before each text and its end after it, and where each text starts.
 
-    texts: an Arrow array of large strings. Words are split and told apart in Arrow, and each distinct one is hashed once;
-    number: from an array of hashes to numbers, by default the hashes themselves."""
+    texts: an Arrow array of large strings. Words are split and told apart in Arrow, and each distinct one is hashed once."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -59,12 +84,11 @@ def lined_up(texts, number=None):
         real = index != blank[0]
         index, doc = index[real], doc[real]
     h = np.append(h, word_hash(END))
-    ids = number(h) if number else h
     size = np.bincount(doc, minlength=len(texts)) + 2
     starts = np.cumsum(size) - size
     out = np.full(int(size.sum()), -1, np.int64)
-    out[np.arange(len(doc)) + 2 * doc + 1] = ids[index]
-    out[starts + size - 1] = ids[-1]
+    out[np.arange(len(doc)) + 2 * doc + 1] = h[index]
+    out[starts + size - 1] = h[-1]
     return out, starts
 
 
@@ -85,108 +109,81 @@ def pieces(batches, most: int = 8_000_000):
             begin = end
 
 
-def _summed(batches, number, keys_of, names, most: int = 4_000_000):
-    """Arrow batches of distinct keys and their counts, over runs of about `most` keys; keys_of: from lined-up texts."""
-    import numpy as np
-    import pyarrow as pa
-
-    held, n = [], 0
-
-    def flush():
-        k, c = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000], pa.int64()), pa.array(c[i : i + 200_000], pa.int64())], names)
-
-    for _, _, _, texts in pieces(batches):
-        k = keys_of(lined_up(texts, number)[0])
-        if len(k):
-            held.append(k)
-            n += len(k)
-        if n >= most:
-            yield from flush()
-            held, n = [], 0
-    if held:
-        yield from flush()
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h (hash of a word), c (its count) over docs' texts, ends included."""
+def in_words(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a number of its own), learn, ids (the hashes of the words and the end, as bytes) of docs (doc_id, text, learn); stored."""
 
     def run(batches):
-        yield from _summed(batches, None, lambda a: a[a >= 0], ["h", "c"])
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-class Tree:
-    """hashes and counts of the frequent words, most frequent first; by level that has a state: how many contexts and how many states.
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    values: all sequences g (hash), their value v and count c, a table; keys, gain: those broadcast. contexts and rest: bitmaps of
-    the frequent contexts, and of the sequences of values that are joined."""
+        row = TaskContext.get().partitionId() << 36
+        for batch, begin, end, texts in pieces(batches):
+            a, starts = lined_up(texts)
+            size = np.diff(np.append(starts, len(a))) - 1
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int64)), pa.py_buffer(a[a >= 0])]).cast(pa.binary())
+            part = batch.slice(begin, end - begin)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + len(texts)), pa.int64()), part.column("learn"), ids], ["doc_id", "row", "learn", "ids"])
+            row += len(texts)
 
-    def __init__(self, hashes, counts, total: int, distinct: int):
-        self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
-        self.levels: list[dict] = []
-        self.values = None
+    return stored(docs.select("doc_id", "text", "learn").mapInArrow(run, "doc_id long, row long, learn boolean, ids binary"), "lm-ids", "zstd")
 
-    def __getstate__(self):
-        return self.__dict__ | {"values": None}
 
-    def numbered(self):
-        """A function from hashes to places of frequent words; a rarer word is -2 less its hash."""
-        import numpy as np
+def runs(batches, most: int = 12_000_000):
+    """(batch, hashes with a -1 before each text, where each text starts): runs of rows of in_words with about `most` bytes."""
+    import numpy as np
+    import pyarrow as pa
 
-        order = np.argsort(self.hashes)
-        own = self.hashes[order]
+    from .common import slices
 
-        def places(h):
-            at = found(own, h)
-            return np.where(at >= 0, order[np.maximum(at, 0)], -2 - h) if len(own) else -2 - h
+    for batch in slices(batches, "ids", most):
+        ids = batch.column("ids")
+        first, n = ids.offset, len(ids)
+        width = np.int64 if pa.types.is_large_binary(ids.type) else np.int32
+        at = np.frombuffer(ids.buffers()[1], width)[first : first + n + 1].astype(np.int64)
+        size = np.diff(at) // 8
+        starts = np.cumsum(size + 1) - size - 1
+        out = np.empty(int(size.sum()) + n, np.int64)
+        out[starts] = -1
+        real = np.ones(len(out), bool)
+        real[starts] = False
+        out[real] = np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.int64) if len(out) > n else 0
+        yield batch, out, starts
 
-        return places
 
-    def looked_up(self, a):
-        """For a (word numbers): each word's sum of broadcast values as a natural logarithm, and place and hash of every sequence to be joined.
+def word_counts(words: DataFrame) -> DataFrame:
+    """h (hash of a word), c (its count) over rows of in_words, ends included."""
 
-        A value of a sequence as a state belongs to the word after it, but only the sum over a text is of use."""
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        h = np.where(a >= 0, self.hashes[np.maximum(a, 0)] if len(self.hashes) else 0, -2 - a)
-        log, places, wanted = np.zeros(len(a)), [], []
-        for at, g, _, _ in sequences(np.where(a == -1, -1, h), self.contexts, len(self.levels) + 1):
-            hit = found(self.keys, g)
-            on = hit >= 0
-            log += np.bincount(at[on], self.gain[hit[on]], len(a))
-            far = ~on & marked(self.rest, g)
-            places.append(at[far])
-            wanted.append(g[far])
-        return log, np.concatenate(places), np.concatenate(wanted)
-
-    def gains(self, a):
-        """log10 of each word's probability under the tree, less that under the root alone, by the broadcast values."""
-        import numpy as np
+        held, n = [], 0
 
-        h = np.where(a >= 0, self.hashes[np.maximum(a, 0)] if len(self.hashes) else 0, -2 - a)
-        log = np.zeros(len(a))
-        for at, g, _, _ in sequences(np.where(a == -1, -1, h), self.contexts, len(self.levels) + 1):
-            for keys, gain, shift in ((self.keys, self.gain - self.shares, 0), (self.keys, self.shares, 1)):
-                hit = found(keys, g)
-                on = (hit >= 0) & (at + shift < len(a))
-                log += np.bincount(at[on] + shift, gain[hit[on]], len(a))
-        return np.where(a == -1, 0, log) / np.log(10)
+        def flush():
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(k), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000]), pa.array(c[i : i + 200_000])], ["h", "c"])
 
+        for _, a, _ in runs(batches):
+            held.append(a[a >= 0])
+            n += len(a)
+            if n >= 3_000_000:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
 
-#: A bitmap has about 16 bits a key, and 64 times as many (16 MB) at most, at any size of the corpus.
-SLOTS = 1 << 21
+    return words.select("ids").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def bitmap(keys: DataFrame):
-    """The bits of the hashes g, put together on executors; at most SLOTS numbers come to the driver."""
+def bitmap(keys: DataFrame, column: str):
+    """The bits of a column of hashes, put together on executors; at most SLOTS numbers come to the driver."""
     import numpy as np
 
     slots = min(SLOTS, 1 << (keys.count() // 4 + 64).bit_length())
     out = np.zeros(slots, np.uint64)
-    t = keys.groupBy(F.expr(f"shiftright(g, 6) & {slots - 1}L").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(g & 63 as int)))").alias("bits")).toArrow()
+    t = keys.groupBy(F.expr(f"shiftright({column}, 6) & {slots - 1}L").alias("slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("bits")).toArrow()
     out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -199,24 +196,75 @@ def marked(bits, g):
     return (bits[(u >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (u & np.uint64(63))) & np.uint64(1) > 0
 
 
-def sequences(h, contexts, most: int):
-    """By length, from one word to `most`: where the sequences end whose words but the last may be a frequent context, and the hashes of the sequence, of that context and of the sequence without its first word. h: word hashes, -1 between texts."""
+def walk(a, frequent: list, branching: list):
+    """By length of context, from one word: for each place whose preceding words may be a counted context, the place, the hashes of
+    the context, of its longest proper suffix (0: the root) and of the sequence of both. a: word hashes, -1 between texts.
+
+    frequent[k], branching[k]: bitmaps of the sequences of k + 1 words that are frequent, and of the contexts of as many words that
+    more than one word follows. Where a context's suffix is followed by one word alone, context and word are as frequent as the context.
+    """
     import numpy as np
 
-    at = np.flatnonzero(h >= 0)
-    g = h[at]
-    yield at, g, g, g
-    last = h.copy()
-    for _ in range(most - 1):
-        on = marked(contexts, g)
-        at, ctx = at[on] + 1, g[on]
-        on = at < len(h)
-        on[on] = h[at[on]] >= 0
-        at, ctx = at[on], ctx[on]
-        u = ctx.view(np.uint64)
-        g = ((u ^ (u >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[at].view(np.uint64)).view(np.int64)
-        yield at, g, ctx, last[at]
+    if not frequent:
+        return
+    at = np.flatnonzero(a >= 0)
+    at = at[marked(frequent[0], a[at])]
+    h, suffix, live = a[at], np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    last = a.copy()  # by place, the hash of the sequence of so many words that ends there, where its words but the last are frequent
+    for k in range(len(frequent)):
+        on = at + 1 < len(a)
+        on[on] = a[at[on] + 1] >= 0
+        at, ctx, suffix, live = at[on] + 1, h[on], suffix[on], live[on]
+        g = chained(ctx, a[at])
+        yield at[live], ctx[live], suffix[live], g[live]
+        if k + 1 == len(frequent) or k >= len(branching):
+            return
+        own = last[at]
         last[at] = g
+        stays = ~live
+        stays[live] = marked(frequent[k + 1], g[live])
+        at, h, suffix = at[stays], g[stays], own[stays]
+        live = marked(branching[k], suffix)
+
+
+def transitions(words: DataFrame, shared) -> DataFrame:
+    """ctx, w, s, c: how often a word follows a context of the last level that is broadcast; with w = -1 the context itself, how
+    often a word follows it, and in s its suffix. shared: bitmaps, and contexts so frequent that their words are dealt apart."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        frequent, branching, heavy = shared.value
+        held, n = [], 0
+
+        def flush():
+            ctx, w, s, g = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, c = np.unique(g, return_index=True, return_counts=True)
+            own, spot, size = np.unique(ctx, return_index=True, return_counts=True)
+            none = np.full(len(own), -1, np.int64)
+            x = np.concatenate([ctx[first], own])
+            order = np.argsort(x, kind="stable")  # rows of one context together: they compress well
+            x, y = x[order], np.concatenate([w[first], none])[order]
+            z, c = np.concatenate([np.zeros(len(first), np.int64), s[spot]])[order], np.concatenate([c, size])[order]
+            part = np.where((found(heavy, x) >= 0) & (y >= 0), y & 63, 0).astype(np.int32)
+            for i in range(0, len(x), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, part, y, z, c)], ["ctx", "part", "w", "s", "c"])
+
+        for _, a, _ in runs(batches):
+            for at, ctx, s, g in walk(a, frequent, branching):
+                pass
+            if len(at):
+                held.append((ctx, a[at], s, g))
+                n += len(at)
+            if n >= 2_000_000:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
+
+    t = words.select("ids").mapInArrow(run, "ctx long, part int, w long, s long, c long").repartition("ctx", "part")
+    return t.groupBy("ctx", "part", "w").agg(F.max("s").alias("s"), F.sum("c").alias("c")).drop("part")
 
 
 def found(keys, wanted):
@@ -229,154 +277,168 @@ def found(keys, wanted):
     return np.where(keys[at] == wanted, at, -1)
 
 
-def sequence_counts(docs: DataFrame, shared, length: int) -> DataFrame:
-    """g, ctx, sfx (hashes of a sequence, of it without its last and without its first word), c: sequences after a context marked in a broadcast bitmap."""
+class Tree:
+    """hashes and counts of the frequent words; by level that has a state: how many contexts, states and kept next words.
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    values: key (the hash of a sequence, or ~ that of a state) and its value v, a table; keys and gain: those broadcast. frequent and
+    branching: bitmaps for walk; rest: the bitmap of the values that are joined."""
 
-        held, n = [], 0
+    def __init__(self, hashes, counts, total: int, distinct: int):
+        self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
+        self.levels: list[dict] = []
+        self.frequent, self.branching, self.values = [], [], None
 
-        def flush():
-            g, ctx, sfx = (np.concatenate(x) for x in zip(*held, strict=True))
-            k, first, c = np.unique(g, return_index=True, return_counts=True)
-            for i in range(0, len(k), 200_000):
-                on = first[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i : i + 200_000], ctx[on], sfx[on], c[i : i + 200_000])], ["g", "ctx", "sfx", "c"])
+    def __getstate__(self):
+        return self.__dict__ | {"values": None}
 
-        for _, _, _, texts in pieces(batches):
-            for found_ in sequences(lined_up(texts)[0], shared.value, length):
-                pass
-            if len(found_[1]):
-                held.append(found_[1:])
-                n += len(found_[1])
-            if n >= 4_000_000:
-                yield from flush()
-                held, n = [], 0
-        if held:
-            yield from flush()
+    def looked_up(self, a, places=None):
+        """For word hashes with -1 between texts: each place's sum of broadcast values as a natural logarithm, and place and key of every value to be joined."""
+        import numpy as np
+        import pandas as pd
+
+        places = places or pd.Index(self.keys).get_indexer
+        log, spots, wanted = np.zeros(len(a)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, ctx, _, g in walk(a, self.frequent, self.branching):
+            for key in (g, ~ctx):
+                hit = places(key) if len(self.keys) else np.full(len(key), -1)
+                on = hit >= 0
+                log[at[on]] += self.gain[hit[on]]
+                far = np.flatnonzero(~on)
+                far = far[marked(self.rest, key[far])]
+                spots.append(at[far])
+                wanted.append(key[far])
+        return log, np.concatenate(spots), np.concatenate(wanted)
+
+    def gains(self, a):
+        """log10 of each word's probability under the tree, less that under the root alone, by the broadcast values."""
+        import numpy as np
 
-    return docs.select("text").mapInArrow(run, "g long, ctx long, sfx long, c long").groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("sfx").alias("sfx"), F.sum("c").alias("c"))
+        return self.looked_up(a)[0] / np.log(10)
 
 
-def learnt(docs: DataFrame, depth: int | None = None, least: int = 2, often: int = 20, part: float = 2e-6, known_part: float = 2e-7, discount: float = 0.5, differ: float = 0.05, diverge: float = 2.0) -> tuple[Tree, DataFrame]:
-    """The tree of docs (doc_id, text), and all word counts (h, c).
+def learnt(words: DataFrame, depth: int = 6, least: int = 2, often: int = 20, evidence: float = 6.0, diverge: float = 2.0, discount: float = 0.5, part: float = 4e-7, known_part: float = 2e-7) -> tuple[Tree, DataFrame]:
+    """The tree of words (rows of in_words), and all word counts (h, c).
 
-    least: what a next word needs in a context to be kept; often: what a context needs; depth: no longer contexts than this (None:
-    as long as a level has states). part: of all words, what a sequence needs for its value to be broadcast; known_part: what a
-    word needs for its count to be broadcast (at most 1 / known_part words, 16 bytes each); what is rarer is joined.
-    diverge: what a state's size times its divergence must exceed, for itself and each kept next word.
+    depth: the tree's memory, the most words of a context; the tree ends before it at a level without a state. often: what a context
+    needs; least: what a next word needs in it, and evidence: how many nats its count must diverge (as a Poisson count) from what the
+    suffix foretells for it to be kept; diverge: what a state must gain in all, for itself and each kept next word. part: of all words, what a sequence
+    needs for its value to be broadcast (at most depth / part of them, 16 bytes each, and far fewer in text); known_part: the same
+    for a word's count. What is rarer is joined.
     """
     import numpy as np
 
-    counts = stored(word_counts(docs), "lm-words")
+    sc = words.sparkSession.sparkContext
+    counts = stored(word_counts(words), "lm-words")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
     top = counts.where(F.col("c") >= max(2, known_part * total)).toArrow()
-    h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
-    order = np.lexsort((h, -c))
-    tree = Tree(h[order], c[order], total, distinct)
-    known = counts.where(F.col("c") >= least)
-    contexts = known.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("ctx"), F.col("c").alias("size"))
-    shorter = known.select(F.col("h").alias("sfx"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
-    every, values = contexts.select(F.col("ctx").alias("g")), []
-    tree.contexts = bitmap(every)
-    while depth is None or len(tree.levels) < depth:
-        shared = docs.sparkSession.sparkContext.broadcast(tree.contexts)
-        t = sequence_counts(docs, shared, len(tree.levels) + 2).where(F.col("c") >= least)
-        own = F.log(F.greatest(F.col("c") - discount, F.lit(1e-9)) / F.col("size"))
-        level = stored(t.join(contexts, "ctx").join(shorter, "sfx").select("g", "ctx", "c", "size", own.alias("own"), "suffix"), "lm-level")
+    tree = Tree(top.column("h").to_numpy(), top.column("c").to_numpy(), total, distinct)
+    shorter = counts.where(F.col("c") >= least).select(F.col("h").alias("key"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
+    contexts = counts.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("g"), "c")
+    values = []
+    while len(tree.frequent) < depth:
+        tree.frequent.append(bitmap(contexts, "g"))
+        heavy = np.sort(contexts.where(F.col("c") >= max(2, total / 2000)).toArrow().column("g").to_numpy())
+        shared = sc.broadcast((tree.frequent, tree.branching, heavy))
+        t = stored(transitions(words, shared).where((F.col("c") >= least) | (F.col("w") == -1)), "lm-counts", "zstd")
         shared.destroy()
-        keep = F.abs(F.col("own") - F.col("suffix")) >= differ
-        s = level.where(keep).groupBy("ctx", "size").agg(F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had"), F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k"))
-        s = s.withColumn("share", F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12))))
+        sizes = t.where(f"w = -1 and c >= {int(often)}").select("ctx", "s", F.col("c").alias("size"))
+        rows = t.where("w <> -1").select("ctx", "w", "c").join(sizes, "ctx")
+        key = F.col("w") if len(tree.frequent) == 1 else F.xxhash64("s", "w")
+        rows = stored(rows.withColumn("key", key).join(shorter, "key").select("ctx", "w", "c", "size", "suffix"), "lm-rows", "zstd")
+        own = F.log((F.col("c") - discount) / F.col("size"))
+        differs = lambda q: F.col("c") * (F.col("own") - q) - (F.col("c") - discount - F.col("size") * F.exp(q)) >= evidence
+        mass = [F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had")]
+        share = F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12)))
+        # What is left to the others changes by what is kept, and a word may differ from that alone.
+        rows = rows.withColumn("own", own)
+        first = rows.where(differs(F.col("suffix"))).groupBy("ctx").agg(*mass).select("ctx", share.alias("left"))
+        keep = differs(F.col("suffix")) | F.coalesce(differs(F.col("suffix") + F.col("left")), F.lit(False))
+        level = stored(rows.join(first, "ctx", "left").select("ctx", "w", F.xxhash64("ctx", "w").alias("g"), "c", "size", "own", "suffix", keep.alias("keep")), "lm-level", "zstd")
+        keep = F.col("keep")
+        s = level.where(keep).groupBy("ctx", "size").agg(*mass, F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k"))
+        s = s.withColumn("share", share)
         s = s.where((F.col("better") + (F.col("size") - F.col("n")) * F.col("share") > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1))
-        states = stored(s.select("ctx", "size", "share"), "lm-states")
-        n = states.count()
+        states = stored(s.select("ctx", "size", "share", "k"), "lm-states")
+        n, kept = states.agg(F.count("*"), F.sum("k")).first()
         if not n:
+            tree.frequent.pop()
             break
-        tree.levels.append({"contexts": contexts.count(), "state": np.int64(n)})
-        none = F.lit(0.0)
-        values.append(states.select(F.col("ctx").alias("g"), none.alias("v"), "share", F.col("size").alias("c")))
-        values.append(level.where(keep).join(states.select("ctx", "share"), "ctx").select("g", (F.col("own") - F.col("suffix") - F.col("share")).alias("v"), none.alias("share"), "c"))
-        contexts = level.where(F.col("c") >= often).select(F.col("g").alias("ctx"), F.col("c").alias("size"))
-        if not contexts.limit(1).count():
+        tree.levels.append({"contexts": sizes.count(), "state": np.int64(n), "kept": int(kept)})
+        values.append(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c")))
+        values.append(level.where(keep).join(states.select("ctx", "share"), "ctx").select(F.col("g").alias("key"), (F.col("own") - F.col("suffix") - F.col("share")).alias("v"), "c"))
+        contexts = level.where((F.col("c") >= often) & (F.col("w") != word_hash(END))).select("g", "c")
+        more = sizes.select("ctx").join(level.where("c = size").select("ctx"), "ctx", "left_anti")
+        if len(tree.frequent) == depth or not contexts.limit(1).count() or not more.limit(1).count():
             break
-        every = every.unionByName(contexts.select(F.col("ctx").alias("g")))
-        tree.contexts = bitmap(every)
+        tree.branching.append(bitmap(more, "ctx"))
         both = level.join(states.select("ctx", "share"), "ctx", "left")
-        shorter = both.select(F.col("g").alias("sfx"), F.when(F.col("share").isNull(), F.col("suffix")).when(keep, F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"))
-    every = docs.sparkSession.createDataFrame([], "g long, v double, share double, c long")
+        shorter = both.select(F.col("g").alias("key"), F.when(F.col("share").isNull(), F.col("suffix")).when(keep, F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"))
+    every = words.sparkSession.createDataFrame([], "key long, v double, c long")
     for v in values:
         every = every.unionByName(v)
-    every = stored(every.groupBy("g").agg(F.sum("v").alias("v"), F.sum("share").alias("share"), F.max("c").alias("c")), "lm-values")
+    every = stored(every, "lm-values")
     enough = F.col("c") >= max(2, part * total)
-    held = every.where(enough).toArrow()
-    order = np.argsort(held.column("g").to_numpy())
-    tree.keys, v, tree.shares = (held.column(x).to_numpy()[order] for x in ("g", "v", "share"))
-    tree.gain = v + tree.shares
-    tree.values = every.where(~enough).select("g", (F.col("v") + F.col("share")).alias("v"))
-    tree.rest = bitmap(tree.values)
+    held = every.where(enough).select("key", "v").toArrow()
+    tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()
+    tree.values = every.where(~enough).select("key", "v")
+    tree.rest = bitmap(tree.values, "key")
     return tree, counts
 
 
-def scored(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row's whole text (log10).
+def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of every row of in_words, over its whole text (log10).
 
-    Null and empty texts are an end alone; ids may be null or repeat. Words whose count the tree carries are looked up on the
-    spot; each text's rarer ones, counted once a text, are joined to all counts, and its sequences whose values the tree does not
-    carry to the table of values, so that nothing that grows is broadcast.
+    Words whose count the tree carries are looked up on the spot; each text's rarer ones, counted once a text, are joined to all
+    counts, and its sequences whose values the tree does not carry to the table of values, so that nothing that grows is broadcast.
     """
-    t = documents(docs)
-    small_batches(t.sparkSession, 2000)
-    shared = t.sparkSession.sparkContext.broadcast(tree)
+    shared = words.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
         import numpy as np
+        import pandas as pd
         import pyarrow as pa
-        from pyspark import TaskContext
 
         tree = shared.value
-        number = tree.numbered()
-        logs = np.log10(tree.counts + 1.0)
-        row = TaskContext.get().partitionId() << 36
-        for batch, begin, end, texts in pieces(batches):
-            a, starts = lined_up(texts, number)
-            on = a >= 0
+        known, places, logs = pd.Index(tree.hashes), pd.Index(tree.keys), np.log10(tree.counts + 1.0)
+        for batch, a, starts in runs(batches):
+            real = a >= 0
+            at = known.get_indexer(a)
+            on = (at >= 0) & real
             log = np.zeros(len(a))
-            log[on] = logs[a[on]]
-            size = np.diff(np.concatenate([starts, [len(a)]])) - 1
-            far = np.flatnonzero(a < -1)
-            doc, h = np.searchsorted(starts, far, "right") - 1, -2 - a[far]
+            log[on] = logs[at[on]]
+            size = np.diff(np.append(starts, len(a))) - 1
+            far = np.flatnonzero(real & ~on)
+            doc, h = np.searchsorted(starts, far, "right") - 1, a[far]
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(doc)]
-            at = np.flatnonzero(new)
-            times = np.diff(np.concatenate([at, [len(doc)]])) if len(at) else at
-            offsets = pa.array(np.searchsorted(doc[at], np.arange(len(texts) + 1), "left"), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[at], times)]
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(doc)))
+            offsets = pa.array(np.searchsorted(doc[first], np.arange(len(starts) + 1), "left"), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[first], times)]
             number_of = lambda x: np.add.reduceat(x, starts)
-            gain, place, g = tree.looked_up(a)
+            gain, place, key = tree.looked_up(a, places.get_indexer)
             order = np.argsort(place, kind="stable")
             offsets = pa.array(np.searchsorted(place[order], np.append(starts, len(a)), "left"), pa.int32())
-            lists.append(pa.ListArray.from_arrays(offsets, pa.array(g[order], pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.arange(row, row + len(texts)), pa.int64()), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists], ["doc_id", "row", "n", "known", "base", "gain", "rare", "times", "far"])
-            row += len(texts)
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(key[order], pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("learn"), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists], ["doc_id", "row", "learn", "n", "known", "base", "gain", "rare", "times", "far"])
 
-    rows = stored(t.mapInArrow(run, "doc_id long, row long, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores")
+    rows = stored(words.mapInArrow(run, "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores", "zstd")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
-    found_ = rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also"))
-    far = rows.select("row", F.explode("far").alias("g")).join(tree.values, "g").groupBy("row").agg((F.sum("v") / F.log(F.lit(10.0))).alias("far_gain"))
-    both = rows.drop("rare", "times", "far").join(found_, "row", "left").join(far, "row", "left")
+    more = rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also"))
+    far = rows.select("row", F.explode("far").alias("key")).join(tree.values, "key").groupBy("row").agg((F.sum("v") / F.log(F.lit(10.0))).alias("far_gain"))
+    both = rows.drop("rare", "times", "far").join(more, "row", "left").join(far, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
-    return both.select("doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("far_gain", F.lit(0.0))).alias("score"))
+    return both.select("doc_id", "learn", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("far_gain", F.lit(0.0))).alias("score"))
 
 
 def run(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """Learns from the documents whose crc32(doc_id) mod folds is not `held`, and scores all."""
-    t = documents(docs)
-    small_batches(t.sparkSession, 2000)
-    tree, counts = learnt(t.where(remainder(F.col("doc_id"), folds) != held))
-    s = scored(docs, tree, counts)
-    return s.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    """Learns from the documents whose crc32(doc_id) mod folds is not `held`, and scores all whole texts.
+
+    Null and empty texts are an end alone; ids may be null or repeat, and each row is scored; very long texts are one row of hashes.
+    An empty table gives no rows. Other columns are not read, whatever their names. With nothing to learn from, a score is the base.
+    """
+    words = in_words(documents(docs).withColumn("learn", remainder(F.col("doc_id"), folds) != held))
+    s = scored(words, *learnt(words.where("learn")))
+    return s.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
-def test_quality(spark, docs, nothing):
+def test_quality(spark, clashing, nothing):
     def make(rng):
         t, y = prose(rng, 80), int(rng.random() < 0.7)
         return (t if y else " ".join(w + "###" for w in t.split())), y
@@ -41,7 +41,7 @@ def test_quality(spark, docs, nothing):
     s = {r.doc_id: r.score for r in quality.score(d, m).collect()}
     ids = [i for i in s if held(i)]
     assert auc([s[i] for i in ids], [y[i] for i in ids]) > 0.95
-    odd = quality.score(docs, m).collect()
+    odd = quality.score(clashing, m).collect()
     assert len(odd) == len(rows() + ODD) and all(0 <= r.score <= 1 for r in odd) and quality.score(nothing, m).count() == 0
     assert quality.train(nothing, labels).scores(*quality.encoded([b"", b"a b"])).shape == (2,)
 
@@ -56,7 +56,7 @@ def test_encoding_does_not_depend_on_neighbours():
         at += n
 
 
-def test_toxicity(spark, docs, nothing):
+def test_toxicity(spark, docs, clashing, nothing):
     def make(rng):
         t, y = prose(rng, 60).split(), int(rng.random() < 0.3)
         for _ in range(3 * y):
@@ -68,11 +68,72 @@ def test_toxicity(spark, docs, nothing):
     s = {r.doc_id: r.score for r in toxicity.score(d, m).collect()}
     ids = [i for i in s if held(i)]
     assert auc([s[i] for i in ids], [y[i] for i in ids]) > 0.95
-    odd = toxicity.score(docs, m).collect()
+    odd = toxicity.score(clashing, m).collect()
     assert len(odd) == len(rows() + ODD) and all(0 <= r.score <= 1 for r in odd) and toxicity.score(nothing, m).count() == 0
     kept = toxicity.ordinary(d, m).select("doc_id").collect()
     assert {r.doc_id for r in kept} == {i for i in s if s[i] < 0.5}
     assert toxicity.score(docs, toxicity.train(nothing, labels)).count() == len(odd)
+    assert all(toxicity.train(clashing, labels.where("false")).scores([b"", b"x"]) < 0.5)
+
+
+def test_a_bounded_sample_takes_whole_texts(spark):
+    d = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} w{i}") for i in range(200)], "doc_id long, TEXT string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = []
+    fitted = toxicity.fitted
+    toxicity.fitted = lambda rows, parts: got.append((rows, parts)) or fitted(rows, parts)
+    try:
+        assert toxicity.train(d, y, most_bytes=200).scores([b"vile", b"kind"]).argmax() == 0
+    finally:
+        toxicity.fitted = fitted
+    (rows, parts), = got
+    assert parts == {1: sum(not held(i) for i in range(1, 200, 2)), 0: sum(not held(i) for i in range(0, 200, 2))}
+    assert all(100 < sum(len(b" ".join(w)) for c, w, _ in rows if c == y) <= 200 for y in (0, 1))
+    assert toxicity.ordinary(d, fitted(rows, parts)).columns == ["doc_id", "TEXT"]
+
+
+def brute_log_probability(data, label, order, word):
+    """ln of the probability of a word with its end in the class of a label, by the definition, out of dictionaries of strings."""
+    def of(w):
+        s = "\1" + w + "\2"
+        return [s[max(0, i + 1 - order) : i + 1] if i + 1 >= order else "\0" * (order - i - 1) + s[: i + 1] for i in range(1, len(s))]
+
+    seen = {c: Counter(g for y, t in data if y == c for w in set(t.split()) for g in of(w)) for c in (0, 1)}
+    levels, now = {}, set(seen[0]) | set(seen[1])
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in now)
+        now = set(levels[k])
+
+    def p(counts, g, rest):
+        n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        less = n1 / (n1 + 2 * n2) if n1 else 0.5
+        same = [c for x, c in counts.items() if x[:-1] == g[:-1]]
+        return max(counts.get(g, less) - less, 0) / sum(same) + less * len(same) / sum(same) * rest if same else rest
+
+    out = 0.0
+    for g in of(word):
+        shared = 1 / 256
+        for k in range(1, order):
+            shared = p(levels[k], g[-k:], shared)
+        out += math.log(p(seen[label], g, shared))
+    return out
+
+
+def test_toxicity_equals_brute_force():
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    data = [(int(k < 5), " ".join(make() for _ in range(12))) for k in range(14)]
+    names = sorted({w for _, t in data for w in t.split()})
+    counts = [[sum(y == c and w in t.split() for y, t in data) for w in names] for c in (1, 0)]
+    for order in (2, 3, 4):
+        m = toxicity.build(toxicity.told_apart([w.encode() for w in names], order), counts, order)
+        unseen = ["zz", "abcd", "c" * 9, "cabz"]
+        got = m.of_words([w.encode() for w in names + unseen])
+        want = [brute_log_probability(data, 1, order, w) - brute_log_probability(data, 0, order, w) for w in names + unseen]
+        assert np.abs(got - want).max() < 1e-9
+        text = " ".join(names[:5] + ["zz"]).upper()
+        n = sum(len(w) + 1 for w in text.split())
+        assert abs(m.differences([text.encode(), b""])[0] - sum(got[i] for i in (*range(5), len(names))) / n) < 1e-12
 
 
 def test_lm_counts_and_odd_inputs(spark, docs, clashing, nothing):
@@ -102,25 +163,83 @@ def test_lm_states_sum_to_one_and_help(spark):
         return " ".join(out)
 
     d = spark.createDataFrame([(i, text(), "en", "s", 0) for i in range(200)], SCHEMA)
-    tree, counts = suffix_lm.learnt(d.select("doc_id", "text"), known_part=1e-9)
-    assert tree.levels[0]["state"].any() and len(tree.levels) == 2
+    table = suffix_lm.in_words(d.withColumn("learn", F.lit(True)))
+    tree, counts = suffix_lm.learnt(table, known_part=1e-9)
+    assert tree.levels[0]["state"] > 30 and all(x["state"] <= 2 for x in tree.levels[1:])  # one word tells all there is to tell
     words = sorted({f"w{a}" for a in range(40)})
-    number = tree.numbered()
-    p0 = np.log10((tree.counts + 1) / (tree.total + tree.distinct + 1))
+    count = dict(zip(tree.hashes.tolist(), tree.counts.tolist(), strict=True))
     for context in ("w1", "w2 w3", "w39 w0 w7"):
         total = 1 / (tree.total + tree.distinct + 1)  # all words never seen
         for nxt in [*words, None]:
-            a, _ = suffix_lm.lined_up(pa.array([f"{context} {nxt}" if nxt else context], pa.large_string()), number)
+            a, _ = suffix_lm.lined_up(pa.array([f"{context} {nxt}" if nxt else context], pa.large_string()))
             at = len(a) - 2 if nxt else len(a) - 1
-            total += 10 ** (p0[a[at]] + tree.gains(a)[at])
+            total += 10 ** tree.gains(a)[at] * (count[int(a[at])] + 1) / (tree.total + tree.distinct + 1)
         # an unseen word is also scored by the state, so its part is that state's share
-        a, _ = suffix_lm.lined_up(pa.array([f"{context} zzz"], pa.large_string()), number)
+        a, _ = suffix_lm.lined_up(pa.array([f"{context} zzz"], pa.large_string()))
         total += (10 ** tree.gains(a)[len(a) - 2] - 1) / (tree.total + tree.distinct + 1)
         assert abs(total - 1) < 1e-6
-    s = suffix_lm.scored(d, tree, counts).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    s = suffix_lm.scored(table, tree, counts).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert (s.s - s.b) / s.n > 0.5
 
 
+def brute_scores(texts, depth=6, least=2, often=20, evidence=6.0, diverge=2.0, discount=0.5):
+    """The suffix tree by its definition, over all contexts, with dictionaries alone; log10 of each text."""
+    data = [[*t.encode().lower().split(), b""] for t in texts]
+    one = Counter(w for d in data for w in d)
+    n, v = sum(one.values()), len(one)
+    after = [defaultdict(Counter) for _ in range(depth + 1)]
+    for d in data:
+        for i in range(1, len(d)):
+            for k in range(1, min(depth, i) + 1):
+                after[k][tuple(d[i - k : i])][d[i]] += 1
+    states = {}
+
+    def p(ctx, w):
+        """ln of the probability of w after ctx, in its longest suffix that is a state."""
+        for k in range(len(ctx), 0, -1):
+            if ctx[-k:] in states:
+                share, kept = states[ctx[-k:]]
+                return kept[w] if w in kept else p(ctx[1 - k :] if k > 1 else (), w) + share
+        return math.log((one[w] + 1) / (n + v + 1))
+
+    for k in range(1, depth + 1):
+        new = {}
+        for ctx, follow in after[k].items():
+            size = sum(follow.values())
+            if size < often or k > 1 and len(after[k - 1][ctx[1:]]) < 2:
+                continue
+            every = {w: (math.log((c - discount) / size), p(ctx[1:], w), c) for w, c in follow.items() if c >= least}
+            differs = lambda x, q: x[2] * (x[0] - q) - (x[2] - discount - size * math.exp(q)) >= evidence  # noqa: B023, E731
+            kept = {w: x for w, x in every.items() if differs(x, x[1])}
+            took, had = (sum(math.exp(x[i]) for x in kept.values()) for i in (0, 1))
+            left = math.log(max(1 - took, 1e-12) / max(1 - had, 1e-12))
+            kept = {w: x for w, x in every.items() if w in kept or kept and differs(x, x[1] + left)}
+            took, had = (sum(math.exp(x[i]) for x in kept.values()) for i in (0, 1))
+            if not kept or took >= 1 or had >= 1:
+                continue
+            share = math.log((1 - took) / (1 - had))
+            if sum(x[2] * (x[0] - x[1]) for x in kept.values()) + (size - sum(x[2] for x in kept.values())) * share > diverge * (1 + len(kept)):
+                new[ctx] = (share, {w: x[0] for w, x in kept.items()})
+        if not new:
+            break
+        states |= new
+    return [sum(p(tuple(d[max(0, i - depth) : i]), w) for i, w in enumerate(d)) / math.log(10) for d in data], Counter(len(x) for x in states)
+
+
+def test_lm_equals_brute_force(spark):
+    rng = random.Random(9)
+    verse = prose(rng, 40)  # many texts hold it whole, so that frequent contexts have one next word
+    texts = [" ".join([*(f"a{i} b{j} c{int(i + j > 1)}" for i, j in [[rng.randrange(2) for _ in range(2)] for _ in range(20)]), *([verse] * (k % 2)), f"rare{k}"]) for k in range(60)]
+    texts += [f"{verse} then {k % 3} and {verse}" for k in range(30)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = suffix_lm.in_words(d.withColumn("learn", F.lit(True)))
+    tree, counts = suffix_lm.learnt(table)
+    want, states = brute_scores(texts)
+    assert [int(x["state"]) for x in tree.levels] == [states[k + 1] for k in range(len(states))] and len(states) > 1
+    got = {r.doc_id: r.score for r in suffix_lm.scored(table, tree, counts).collect()}
+    assert max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-6
+
+
 def test_words_are_split_at_ascii_blanks_alone():
     texts = ["", "  a\tB \x0b\x0cb\r\n ", "\u00a0x\u3000y z\x1cw\x85", "\n", "É é AÉ"]
     a, starts = suffix_lm.lined_up(pa.array(texts, pa.large_string()))
@@ -139,14 +258,16 @@ def test_lm_grows_with_the_corpus(spark):
     # the fourth word follows from the three before it, and fewer of them tell less
     text = lambda: " ".join(f"a{i} b{j} c{k} d{int(i + j + k > 1)}" for i, j, k in [[rng.randrange(2) for _ in range(3)] for _ in range(50)])
     d = spark.createDataFrame([(i, text()) for i in range(40)], "doc_id long, text string")
-    tree, counts = suffix_lm.learnt(d)
+    encoded = lambda docs: suffix_lm.in_words(docs.withColumn("learn", F.lit(True)))
+    table = encoded(d)
+    tree, counts = suffix_lm.learnt(table)
     assert len(tree.levels) > 2 and tree.levels[2]["state"] > 0
     # all values joined give what all values broadcast give
-    apart, also = suffix_lm.learnt(d, part=1.0)
+    apart, also = suffix_lm.learnt(table, part=1.0)
     assert len(apart.keys) == 0 < len(tree.keys)
-    a, b = ({r.doc_id: r.score for r in suffix_lm.scored(d, *m).collect()} for m in ((tree, counts), (apart, also)))
+    a, b = ({r.doc_id: r.score for r in suffix_lm.scored(table, *m).collect()} for m in ((tree, counts), (apart, also)))
     assert len(a) == 40 and all(abs(a[i] - b[i]) < 1e-6 for i in a)
     # what a context needs does not rise with the words around it
     pair = spark.createDataFrame([(i, "left right " * 3) for i in range(10)] + [(10 + i, "x " * 300_000) for i in range(10)], "doc_id long, text string")
-    got = {r.doc_id: r for r in suffix_lm.scored(pair, *suffix_lm.learnt(pair)).collect()}
+    got = {r.doc_id: r for r in suffix_lm.scored(encoded(pair), *suffix_lm.learnt(encoded(pair))).collect()}
     assert got[0].score > got[0].base_score + 5
