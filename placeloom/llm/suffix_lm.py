@@ -198,7 +198,7 @@ def marked(bits, g):
 
 def walk(a, frequent: list, branching: list):
     """By length of context, from one word: for each place whose preceding words may be a counted context, the place, the hashes of
-    the context, of its longest proper suffix (0: the root) and of the sequence of both. a: word hashes, -1 between texts.
+    the context, of its longest proper suffix (0: the root), of context and word, and of suffix and word. a: word hashes, -1 between texts.
 
     frequent[k], branching[k]: bitmaps of the sequences of k + 1 words that are frequent, and of the contexts of as many words that
     more than one word follows. Where a context's suffix is followed by one word alone, context and word are as frequent as the context.
@@ -215,11 +215,10 @@ def walk(a, frequent: list, branching: list):
         on = at + 1 < len(a)
         on[on] = a[at[on] + 1] >= 0
         at, ctx, suffix, live = at[on] + 1, h[on], suffix[on], live[on]
-        g = chained(ctx, a[at])
-        yield at[live], ctx[live], suffix[live], g[live]
+        g, own = chained(ctx, a[at]), last[at]
+        yield at[live], ctx[live], suffix[live], g[live], own[live]
         if k + 1 == len(frequent) or k >= len(branching):
             return
-        own = last[at]
         last[at] = g
         stays = ~live
         stays[live] = marked(frequent[k + 1], g[live])
@@ -229,35 +228,39 @@ def walk(a, frequent: list, branching: list):
 
 def transitions(words: DataFrame, shared) -> DataFrame:
     """ctx, w, s, c: how often a word follows a context of the last level that is broadcast; with w = -1 the context itself, how
-    often a word follows it, and in s its suffix. shared: bitmaps, and contexts so frequent that their words are dealt apart."""
+    often a word follows it, and in s its suffix. Words that are too rare after the suffix are so after the context, and are left out.
+    shared: bitmaps for walk and of those that are not too rare, and contexts so frequent that their words are dealt apart."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        frequent, branching, heavy = shared.value
+        frequent, branching, known, heavy = shared.value
         held, n = [], 0
 
         def flush():
-            ctx, w, s, g = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, c = np.unique(g, return_index=True, return_counts=True)
+            ctx, w, s, g, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
             own, spot, size = np.unique(ctx, return_index=True, return_counts=True)
+            s = s[spot]
+            on = marked(known, suffix)
+            ctx, w = ctx[on], w[on]
+            _, first, c = np.unique(g[on], return_index=True, return_counts=True)
             none = np.full(len(own), -1, np.int64)
             x = np.concatenate([ctx[first], own])
             order = np.argsort(x, kind="stable")  # rows of one context together: they compress well
             x, y = x[order], np.concatenate([w[first], none])[order]
-            z, c = np.concatenate([np.zeros(len(first), np.int64), s[spot]])[order], np.concatenate([c, size])[order]
+            z, c = np.concatenate([np.zeros(len(first), np.int64), s])[order], np.concatenate([c, size])[order]
             part = np.where((found(heavy, x) >= 0) & (y >= 0), y & 63, 0).astype(np.int32)
             for i in range(0, len(x), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, part, y, z, c)], ["ctx", "part", "w", "s", "c"])
 
         for _, a, _ in runs(batches):
-            for at, ctx, s, g in walk(a, frequent, branching):
+            for at, ctx, s, g, suffix in walk(a, frequent, branching):
                 pass
             if len(at):
-                held.append((ctx, a[at], s, g))
+                held.append((ctx, a[at], s, g, suffix))
                 n += len(at)
-            if n >= 2_000_000:
+            if n >= 2_500_000:
                 yield from flush()
                 held, n = [], 0
         if held:
@@ -298,7 +301,7 @@ class Tree:
 
         places = places or pd.Index(self.keys).get_indexer
         log, spots, wanted = np.zeros(len(a)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, ctx, _, g in walk(a, self.frequent, self.branching):
+        for at, ctx, _, g, _ in walk(a, self.frequent, self.branching):
             for key in (g, ~ctx):
                 hit = places(key) if len(self.keys) else np.full(len(key), -1)
                 on = hit >= 0
@@ -316,7 +319,7 @@ class Tree:
         return self.looked_up(a)[0] / np.log(10)
 
 
-def learnt(words: DataFrame, depth: int = 6, least: int = 2, often: int = 20, evidence: float = 6.0, diverge: float = 2.0, discount: float = 0.5, part: float = 4e-7, known_part: float = 2e-7) -> tuple[Tree, DataFrame]:
+def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, evidence: float = 6.0, diverge: float = 2.0, discount: float = 0.5, part: float = 4e-7, known_part: float = 2e-7) -> tuple[Tree, DataFrame]:
     """The tree of words (rows of in_words), and all word counts (h, c).
 
     depth: the tree's memory, the most words of a context; the tree ends before it at a level without a state. often: what a context
@@ -335,29 +338,28 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 2, often: int = 20, ev
     tree = Tree(top.column("h").to_numpy(), top.column("c").to_numpy(), total, distinct)
     shorter = counts.where(F.col("c") >= least).select(F.col("h").alias("key"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
     contexts = counts.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("g"), "c")
-    values = []
+    mass = [F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had")]
+    share = F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12)))
+    differs = lambda q: F.col("c") * (F.col("own") - q) - (F.col("c") - discount - F.col("size") * F.exp(q)) >= evidence
+    every = words.sparkSession.createDataFrame([], "key long, v double, c long")
     while len(tree.frequent) < depth:
         tree.frequent.append(bitmap(contexts, "g"))
         heavy = np.sort(contexts.where(F.col("c") >= max(2, total / 2000)).toArrow().column("g").to_numpy())
-        shared = sc.broadcast((tree.frequent, tree.branching, heavy))
+        shared = sc.broadcast((tree.frequent, tree.branching, bitmap(shorter, "key"), heavy))
         t = stored(transitions(words, shared).where((F.col("c") >= least) | (F.col("w") == -1)), "lm-counts", "zstd")
         shared.destroy()
         sizes = t.where(f"w = -1 and c >= {int(often)}").select("ctx", "s", F.col("c").alias("size"))
-        rows = t.where("w <> -1").select("ctx", "w", "c").join(sizes, "ctx")
-        key = F.col("w") if len(tree.frequent) == 1 else F.xxhash64("s", "w")
-        rows = stored(rows.withColumn("key", key).join(shorter, "key").select("ctx", "w", "c", "size", "suffix"), "lm-rows", "zstd")
-        own = F.log((F.col("c") - discount) / F.col("size"))
-        differs = lambda q: F.col("c") * (F.col("own") - q) - (F.col("c") - discount - F.col("size") * F.exp(q)) >= evidence
-        mass = [F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had")]
-        share = F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12)))
+        rows = t.where("w <> -1").select("ctx", "w", "c")
+        if len(tree.frequent) == 1:
+            rows = rows.join(shorter.hint("shuffle_hash"), F.col("w") == F.col("key")).join(sizes.drop("s").hint("shuffle_hash"), "ctx")
+        else:
+            rows = rows.join(sizes.hint("shuffle_hash"), "ctx").withColumn("key", F.xxhash64("s", "w")).join(shorter.hint("shuffle_hash"), "key")
+        rows = rows.select("ctx", "w", "c", "size", F.log((F.col("c") - discount) / F.col("size")).alias("own"), "suffix").repartition("ctx")
         # What is left to the others changes by what is kept, and a word may differ from that alone.
-        rows = rows.withColumn("own", own)
         first = rows.where(differs(F.col("suffix"))).groupBy("ctx").agg(*mass).select("ctx", share.alias("left"))
         keep = differs(F.col("suffix")) | F.coalesce(differs(F.col("suffix") + F.col("left")), F.lit(False))
-        level = stored(rows.join(first, "ctx", "left").select("ctx", "w", F.xxhash64("ctx", "w").alias("g"), "c", "size", "own", "suffix", keep.alias("keep")), "lm-level", "zstd")
-        keep = F.col("keep")
-        s = level.where(keep).groupBy("ctx", "size").agg(*mass, F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k"))
-        s = s.withColumn("share", share)
+        level = stored(rows.join(first.hint("shuffle_hash"), "ctx", "left").select("ctx", "w", "c", "size", "own", "suffix", keep.alias("keep")), "lm-level", "zstd")
+        s = level.where("keep").groupBy("ctx", "size").agg(*mass, F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k")).withColumn("share", share)
         s = s.where((F.col("better") + (F.col("size") - F.col("n")) * F.col("share") > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1))
         states = stored(s.select("ctx", "size", "share", "k"), "lm-states")
         n, kept = states.agg(F.count("*"), F.sum("k")).first()
@@ -365,19 +367,16 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 2, often: int = 20, ev
             tree.frequent.pop()
             break
         tree.levels.append({"contexts": sizes.count(), "state": np.int64(n), "kept": int(kept)})
-        values.append(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c")))
-        values.append(level.where(keep).join(states.select("ctx", "share"), "ctx").select(F.col("g").alias("key"), (F.col("own") - F.col("suffix") - F.col("share")).alias("v"), "c"))
-        contexts = level.where((F.col("c") >= often) & (F.col("w") != word_hash(END))).select("g", "c")
-        more = sizes.select("ctx").join(level.where("c = size").select("ctx"), "ctx", "left_anti")
+        g = F.xxhash64("ctx", "w")
+        both = level.join(states.select("ctx", "share").hint("shuffle_hash"), "ctx", "left").withColumn("g", g)
+        both = stored(both.select("ctx", "g", "c", F.when(F.col("share").isNull(), F.col("suffix")).when(F.col("keep"), F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"), F.when(F.col("keep"), F.col("own") - F.col("suffix") - F.col("share")).alias("v"), (F.col("w") != word_hash(END)).alias("goes_on"), (F.col("c") == F.col("size")).alias("alone")), "lm-values", "zstd")
+        every = every.unionByName(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c"))).unionByName(both.where("v is not null").select(F.col("g").alias("key"), "v", "c"))
+        contexts = both.where((F.col("c") >= often) & F.col("goes_on")).select("g", "c")
+        more = sizes.select("ctx").join(both.where("alone").select("ctx"), "ctx", "left_anti")
         if len(tree.frequent) == depth or not contexts.limit(1).count() or not more.limit(1).count():
             break
         tree.branching.append(bitmap(more, "ctx"))
-        both = level.join(states.select("ctx", "share"), "ctx", "left")
-        shorter = both.select(F.col("g").alias("key"), F.when(F.col("share").isNull(), F.col("suffix")).when(keep, F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"))
-    every = words.sparkSession.createDataFrame([], "key long, v double, c long")
-    for v in values:
-        every = every.unionByName(v)
-    every = stored(every, "lm-values")
+        shorter = both.select(F.col("g").alias("key"), "suffix")
     enough = F.col("c") >= max(2, part * total)
     held = every.where(enough).select("key", "v").toArrow()
     tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()

@@ -182,7 +182,7 @@ def test_lm_states_sum_to_one_and_help(spark):
     assert (s.s - s.b) / s.n > 0.5
 
 
-def brute_scores(texts, depth=6, least=2, often=20, evidence=6.0, diverge=2.0, discount=0.5):
+def brute_scores(texts, depth=6, least=3, often=20, evidence=6.0, diverge=2.0, discount=0.5):
     """The suffix tree by its definition, over all contexts, with dictionaries alone; log10 of each text."""
     data = [[*t.encode().lower().split(), b""] for t in texts]
     one = Counter(w for d in data for w in d)
