@@ -5,8 +5,8 @@ pairs of collections give about collections^2 / 2 tables of 2 * rows minhashes f
 root of what as many separate tables would need. A document enters a table only where both its small collections were met by
 some other document, which a count of the small collections tells first. Candidates are confirmed on their full shingle sets.
 
-Documents of one shingle set are one class, represented by its smallest id, before anything is paired. In each bucket all
-members are first compared with the smallest one; then, for buckets whose members are not all connected yet, pairs of members
+Rows of one shingle set are one class before anything is paired; classes have numbers of their own, so that ids may repeat, and
+ids come in at the end alone. In each bucket all members are first compared with the smallest one; then, for buckets whose members are not all connected yet, pairs of members
 in different components are compared too, one of the two outside the bucket's largest component. Pairs inside a component are
 never needed, so a large group of copies costs its size, not its square, and no link between different components is lost.
 
@@ -26,7 +26,7 @@ from .common import documents, shingle_hashes, slices, stored, texts_of, word_id
 
 COLLECTIONS, ROWS = 14, 4
 #: Words are parted by these; A-Z count as a-z. (bytes.split() and bytes.lower() do just that.)
-PROFILE = "doc_id long, n_shingles long, content binary, small array<long>, parity array<long>"
+PROFILE = "doc_id long, digest binary, n_shingles long, content binary, small array<long>, parity array<long>"
 PARITY_BITS = 1024
 
 
@@ -50,7 +50,7 @@ def minhashes(h, a, b, piece: int = 4096):
 
 
 def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, content (a digest of the shingle set), small (hashes of the small collections), parity (the parity sketch)."""
+    """doc_id, digest (of the text), n_shingles, content (a digest of the shingle set), small (hashes of the small collections), parity (the parity sketch)."""
 
     def run(batches):
         import hashlib
@@ -62,8 +62,9 @@ def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS)
         a, b = seeds(collections * rows)
         number = word_ids()
         for batch in slices(batches):
-            n, content, small, parity = [], [], [], []
+            digest, n, content, small, parity = [], [], [], [], []
             for text in texts_of(batch):
+                digest.append(hashlib.md5(text, usedforsecurity=False).digest())
                 h = shingle_hashes(number.of(text.lower().split(), np.uint64))
                 n.append(len(h))
                 if len(h):
@@ -75,13 +76,13 @@ def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS)
                     content.append(None)
                     small.append([])
                     parity.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "content", "small", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "content", "small", "parity"])
 
     return docs.mapInArrow(run, PROFILE)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set: the whole shingle sets, sorted, as bytes of 64-bit hashes."""
+    """id, set (the whole shingle set, sorted, as bytes of 64-bit hashes) of docs (id, text)."""
 
     def run(batches):
         import numpy as np
@@ -89,15 +90,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
         number = word_ids()
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_hashes(number.of(t.lower().split(), np.uint64)).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_hashes(number.of(t.lower().split(), np.uint64)).tobytes() for t in texts_of(batch)], pa.binary())], ["id", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(batches):
         import numpy as np
@@ -125,17 +126,17 @@ def components(links: DataFrame) -> DataFrame:
     return stored(connected(nodes, links), "dedup-components")
 
 
-def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+#: Members of a bucket that meet in one task at most, apart from the replicas that let blocks of a larger bucket meet.
+BLOCK = 2000
 
-    Texts are whole; null and empty ones have no shingles and are their own component. Rows that repeat an id each give a row.
-    A null id takes no part in links and is kept. An empty table gives no rows. Very long texts are hashed in pieces.
-    """
-    t = documents(docs)
-    spark = t.sparkSession
+
+def linked(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """doc_id, digest (md5 of the text), n_shingles, component (a number; null: linked with nothing) for every row of docs (doc_id, text)."""
+    t = docs
     all_docs = stored(profiles(t, collections, rows), "dedup-profiles")
     live = all_docs.where("content is not null and doc_id is not null")
-    classes = stored(live.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("small").alias("small"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n")), "dedup-classes")
+    whole = live.groupBy("content").agg(F.min("digest").alias("digest"), F.first("small").alias("small"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n"))
+    classes = stored(whole.withColumn("rep", F.monotonically_increasing_id()), "dedup-classes")
     spread = classes.select("rep", F.posexplode("small").alias("i", "h"))
     met = spread.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h")
     mine = spread.join(met, ["i", "h"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s")).where(F.size("s") > 1)
@@ -143,8 +144,10 @@ def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS,
     keyed = mine.select("rep", F.explode(pairs_of).alias("p")).select("rep", "p.key", "p.i", "p.j")
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
     buckets = stored(keyed.join(leaders, "key").select("key", "i", "j", "rep", "leader"), "dedup-buckets")
-    involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(t.where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "dedup-sets")
+    # One text of each class that met another: equal texts give equal sets, so of texts that repeat any serves.
+    involved = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "digest")
+    texts = t.where("doc_id is not null").withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).join(involved, "digest").select("id", "text")
+    sets = stored(shingle_sets(texts).groupBy("id").agg(F.min("set").alias("set")), "dedup-sets")
     sketched = classes.select("rep", "n", "parity")
 
     def possible(na, nb, pa, pb):
@@ -165,19 +168,52 @@ def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS,
     groups = own.groupBy("key", "g").agg(F.count("*").alias("c"))
     open_ = groups.groupBy("key").agg(F.count("*").alias("k"), F.max_by("g", F.struct("c", "g")).alias("largest")).where("k > 1").select("key", "largest")
     rest = stored(own.join(open_, "key").join(classes.select("rep", "n", "small", "parity"), "rep"), "dedup-open")
-    named = lambda d, p: d.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "g", "n", "small", "parity")], *(["i", "j"] if p == "x" else []))
-    x, y = named(rest.where("g <> largest"), "x"), named(rest, "y")
+    # A bucket is cut into blocks of BLOCK members by hash; each pair of blocks meets under a key of its own.
+    rest = stored(rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "dedup-blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    named = lambda d, p: d.select("key", "p", "q", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "g", "n", "small", "parity")], *(["i", "j"] if p == "x" else []))
+    x = named(rest.where("g <> largest").withColumn("p", F.col("block")).withColumn("q", every), "x")
+    y = named(rest.withColumn("q", F.col("block")).withColumn("p", every), "y")
     agree = F.filter(F.zip_with(F.sequence(F.lit(0), F.lit(collections - 1)), F.zip_with("x_small", "y_small", lambda p, q: p == q), lambda k, same: F.when(same, k)), lambda k: k.isNotNull())
     once = (F.get(agree, F.lit(0)) == F.col("i")) & (F.get(agree, F.lit(1)) == F.col("j"))
     may = possible(F.col("x_n"), F.col("y_n"), F.col("x_parity"), F.col("y_parity"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("x_g") != F.col("y_g")) & may & once).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    across = x.join(y, (x["key"] == y["key"]) & (x["p"] == y["p"]) & (x["q"] == y["q"]) & (F.col("x_g") != F.col("y_g")) & may & once).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     second = across.join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(second, sets, percent), "dedup-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else part
-    reps = live.select("doc_id", "content").join(classes.select("content", "rep"), "content").select("doc_id", "rep").distinct()
-    placed = reps.join(final, reps.rep == final.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    # An id that repeats with different texts joins their components under the smallest of them.
-    placed = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = all_docs.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    placed = classes.join(final, classes.rep == final.id, "left").select("content", F.coalesce("component", "rep").alias("component"))
+    return all_docs.withColumn("known", F.when(F.col("doc_id").isNotNull(), F.col("content"))).select("doc_id", "digest", "n_shingles", "known").join(placed, F.col("known") == placed["content"], "left").select("doc_id", "digest", "n_shingles", "component")
+
+
+def grouped(docs: DataFrame, percent: int = 85, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Texts are whole; null and empty ones have no shingles and are their own component. Each row is a document: rows that repeat an
+    id are linked by their texts alone, and each has its own component's smallest id. A null id takes no part in links and is kept.
+    An empty table gives no rows. Very long texts are hashed in pieces. Other columns are not read, whatever their names.
+    """
+    each = stored(linked(documents(docs), percent, collections, rows), "dedup-rows")
+    least = each.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    component = F.coalesce("least", "doc_id")
+    out = each.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = 80, collections: int = 20, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns as they are, without those that another row of their component stands for.
+
+    Of each component the row with the smallest id stays, of several the one whose text has the smallest digest; rows equal in id and
+    text are one document, of which one row stays. Texts without words are linked with nothing, and rows with a null id stay.
+    """
+    each = stored(linked(documents(docs), percent, collections, rows), "dedup-rows").where("doc_id is not null")
+    first = each.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    lost = each.join(first, "component").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest"))).select(F.col("doc_id").alias("_lost"), F.col("digest").alias("_by")).distinct()
+    again = each.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"), F.col("digest").alias("_as"))
+    names = docs.columns
+    spot = lambda name: F.col(f"c{([i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name])[0]}")
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumns({"_id": spot("doc_id").cast("long"), "_digest": F.unhex(F.md5(F.coalesce(spot("text").cast("string"), F.lit("")).cast("binary")))})
+    left = flat.join(lost, (F.col("_id") == F.col("_lost")) & (F.col("_digest") == F.col("_by")), "left_anti")
+    twice = (F.col("_id") == F.col("_again")) & (F.col("_digest") == F.col("_as"))
+    if again.limit(1).count():
+        left = left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates(["_id", "_digest"]))
+    return left.drop("_id", "_digest").toDF(*names)

@@ -1,8 +1,9 @@
 """op4, op5, op10 and the pipeline against brute force."""
 
+import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -132,9 +133,54 @@ def test_near_dedup(spark, seed):
     assert got == brute(data)
 
 
+def by_row(data, percent):
+    """For each row (id, text): the rows of its component, by brute force over rows."""
+    sets = []
+    for _, t in data:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(data)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    return [[k for k in range(len(data)) if top(k) == top(i)] for i in range(len(data))]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(6)
+    near = lambda t: " ".join([*t.split()[:-1], f"end{rng.randrange(10**6)}"])
+    texts = [prose(rng, 80) for _ in range(12)]
+    data = [(i // 2, t) for i, t in enumerate(texts)] + [(100 + i, near(t)) for i, t in enumerate(texts)] + [(3, texts[6]), (4, near(texts[8])), (9, ""), (9, None), (9, " ")]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.grouped(spark.createDataFrame([(*r, "en", "s", 0) for r in data], SCHEMA).repartition(3)).collect())
+    least = [min(data[k][0] for k in g) for g in by_row(data, 85)]
+    assert got == Counter((d, c, d == c) for (d, _), c in zip(data, least, strict=True))
+    stays = Counter((r.doc_id, r.text or "") for r in near_dedup.survivors(spark.createDataFrame([(*r, "en", "s", 0) for r in data], SCHEMA).repartition(3)).collect())
+    want = set()
+    for i, g in enumerate(by_row(data, 80)):
+        first = min(data[k][0] for k in g)
+        want.add((first, min((data[k][1] or "" for k in g if data[k][0] == first), key=lambda t: hashlib.md5(t.encode()).digest())))
+    assert stays == Counter(want)
+
+
+def test_a_bucket_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = random.Random(12)
+    w = prose(rng, 60).split()
+    data = [(i, " ".join([*w[:45], *(f"v{i // 2}x{k}" for k in range(14)), f"tail{i}"])) for i in range(40)]  # pairs, all alike but not enough
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.grouped(spark.createDataFrame([(*r, "en", "s", 0) for r in data], SCHEMA)).collect()}
+    assert got == brute(data)
+
+
 def test_near_dedup_odd(spark, clashing, nothing):
     got = near_dedup.grouped(clashing).collect()
-    want = brute([(r[0], r[1]) for r in rows() + ODD if r[0] is not None])
+    want = brute([(r[0], r[1]) for r in rows() + ODD if r[0] is not None])  # here rows that repeat an id are equal
     assert len(got) == len(rows() + ODD)
     for r in got:
         if r.doc_id is None:
