@@ -25,14 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id, one."""
-    gone = near_dedup.grouped(docs, PERCENT, PIPELINE_COLLECTIONS).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    names, key = docs.columns, f"c{docs.columns.index('doc_id')}"
-    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may differ from doc_id and text in case alone
-    left = flat.join(gone, F.col(key) == F.col("gone"), "left_anti")
-    if flat.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        left = left.where(F.col(key).isNull()).unionByName(left.where(F.col(key).isNotNull()).dropDuplicates([key]))
-    return left.toDF(*names)
+    """One document of each group of near-duplicates: the one with the smallest id. Of rows equal in id and text, one; rows that share
+    an id but not a text are documents of their own."""
+    return near_dedup.survivors(docs, PERCENT, PIPELINE_COLLECTIONS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +59,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests/llm compares each stage with a brute-force version.
+#: SQL can express neither the models nor the tokenizer; tests/llm compares the near-duplicate stage with brute force and checks planted
+#: rows in the others.
 ORACLE_SQL = None
 
 
