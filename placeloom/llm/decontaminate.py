@@ -3,25 +3,46 @@
 Fixed masks over runs of tokens skip some positions; the tokens at the others are hashed. Hashes of test passages and of
 documents are joined, and around each hit the two token runs are laid on each other and compared position by position, so an
 overlap counts although words in it were replaced.
+
+Documents are read once whatever the size of the benchmark: a filter of bounded size, made of the test hashes, drops nearly all of
+a document's hashes on the spot, and only documents that keep some are written out with their words for the joins.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mixed, pick, slices, texts_of
+from .common import MULTIPLIER, mixed, pick, slices, stored, texts_of, word_ids
 
 #: Masks: 1 is hashed, 0 is ignored. Fixed values.
 MASKS = ("11101011", "110110101", "1100101101", "10110100111")
+#: Passages up to so many words have masks as long as themselves beside these.
+SHORT = 14
 #: Everything in ASCII but letters and digits parts words; A-Z count as a-z.
 SPLIT = bytes((c | 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: The filter of test hashes: up to MOST of them are broadcast as they are (64 MB); of more, three bits each in SLOTS numbers (64 MB).
+MOST, SLOTS = 8_000_000, 1 << 23
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(SPLIT).split()
 
 
+def whole_masks(n: int, alike: float = 0.8) -> list[str]:
+    """Masks over all n words of a short passage. Where s words may be replaced, places are dealt to s + 2 classes in turn and each
+    mask ignores s classes, so whichever s words are replaced, one mask sees none of them."""
+    s = n - ceil(alike * n - 1e-9)
+    return ["".join("0" if i % (s + 2) in out else "1" for i in range(n)) for out in combinations(range(s + 2), s)]
+
+
+def masks_of(n: int, alike: float = 0.8) -> list[str]:
+    return [m for m in MASKS if len(m) <= n] + (whole_masks(n, alike) if n <= SHORT else [])
+
+
 def seed_hashes(ids, mask: str):
     """One hash for each place where the mask fits on ids (numpy uint64)."""
     import numpy as np
@@ -52,145 +73,176 @@ def longest_alike(same, least: float) -> tuple[int, int]:
     return (a + int(on[0]), a + int(on[-1]) + 1) if len(on) else (0, 0)
 
 
-class Index:
-    """The hashes of a block of test passages, and how to find overlaps with them in a document's words."""
+def needed(size: int, alike: float, share: float, evidence: int) -> int:
+    """Equal words that an overlap with a passage of `size` words needs: `share` of it, and `evidence` words or, of a passage with few
+    more than that or less, `alike` of it."""
+    return max(ceil(share * size - 1e-9), min(ceil(alike * size - 1e-9), evidence))
+
+
+def overlap(ids, own, shifts: list[int], alike: float, share: float, evidence: int) -> tuple[int, int, int] | None:
+    """(equal words, first word in the document, the word after the last) of a document's words and a passage's, laid on each other at
+    each of the shifts; None if that is not enough."""
+    import numpy as np
 
-    def __init__(self, items: list[tuple[int, bytes]], alike: float, share: float, enough: int, fewest: int):
+    size, runs, best = len(own), [], None
+    for shift in sorted(shifts):
+        lo, hi = max(0, -shift), min(size, len(ids) - shift)
+        same = np.zeros(size, bool)
+        same[lo:hi] = own[lo:hi] == ids[lo + shift : hi + shift]
+        a, b = longest_alike(same, alike)
+        if b > a:
+            runs.append((shift, a, b, same))
+    for shift, a, b, _ in runs:  # words put in or left out shift the rest a little: such runs count together
+        on = np.zeros(size, bool)
+        first, last = a + shift, b + shift
+        for s2, a2, b2, same2 in runs:
+            if abs(s2 - shift) <= max(2, size // 5):
+                on[a2:b2] |= same2[a2:b2]
+                first, last = min(first, a2 + s2), max(last, b2 + s2)
+        got = int(on.sum())
+        if got >= needed(size, alike, share, evidence) and (best is None or got > best[0]):
+            best = (got, first, last)
+    return best
+
+
+def passages(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """item, words (hashes, as bytes) of each distinct passage with words, stored; and item, item_id of every row."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        self.alike, self.share, self.enough = alike, share, enough
-        self.vocab: dict[bytes, int] = {}
-        self.items, self.names = [], []
-        for name, text in items:
-            w = words(text)
-            if len(w) >= fewest:
-                self.names.append(name)
-                self.items.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64))
-        self.masks = list(MASKS)
-        short = sorted({len(x) for x in self.items if len(x) < max(map(len, MASKS))})
-        self.masks += ["1" * n for n in short if n < min(map(len, MASKS))]
-        self.post = []
-        for mask in self.masks:
-            own = [(i, x) for i, x in enumerate(self.items) if mask in MASKS or len(x) == len(mask)]
-            h = [seed_hashes(x, mask) for _, x in own]
-            item = np.concatenate([np.full(len(y), i) for (i, _), y in zip(own, h, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-            spot = np.concatenate([np.arange(len(y)) for y in h] or [np.zeros(0, np.int64)]).astype(np.int64)
-            h = np.concatenate(h or [np.zeros(0, np.uint64)])
-            order = np.argsort(h, kind="stable")
-            self.post.append((h[order], item[order], spot[order]))
-
-    def find(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item, equal words, words of the item, first word in the document, the word after the last) for each overlap that counts."""
+        number = word_ids()
+        for batch in slices(batches):
+            w = [number.of(words(x), np.uint64).tobytes() for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(w, pa.binary())], ["item_id", "words"])
+
+    b = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(b.mapInArrow(run, "item_id long, words binary"), "leak-passages").where(F.octet_length("words") > 0)
+    return stored(rows.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "leak-items"), rows
+
+
+def seeds(items: DataFrame, alike: float) -> DataFrame:
+    """hash, item, spot: every place of every mask of a passage."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        ids = np.fromiter(map(self.vocab.get, words(text), _nothing), np.uint64)
-        hits = []
-        for mask, (h, item, spot) in zip(self.masks, self.post, strict=True):
-            mine = seed_hashes(ids, mask)
-            if not len(mine) or not len(h):
-                continue
-            a = np.searchsorted(h, mine, "left")
-            at = np.flatnonzero(h[np.minimum(a, len(h) - 1)] == mine)
-            if not len(at):
-                continue
-            lo, hi = a[at], np.searchsorted(h, mine[at], "right")
-            n = hi - lo
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            hits.append(np.stack([item[k], np.repeat(at, n) - spot[k]]))
-        if not hits:
-            return []
-        found: dict[int, list] = {}
-        for i, shift in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
-            own = self.items[i]
-            lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
-            same = np.zeros(len(own), bool)
-            same[lo:hi] = own[lo:hi] == ids[lo + shift : hi + shift]
-            a, b = longest_alike(same, self.alike)
-            if b - a >= 5:
-                found.setdefault(i, []).append((shift, a, b, same))
-        out = []
-        for i, runs in found.items():
-            size = len(self.items[i])
-            need = min(-(-size * self.share // 1), self.enough)
-            best = None
-            for shift, a, b, same in runs:  # words put in or left out shift the rest a little: such runs count together
-                on = np.zeros(size, bool)
-                first, last = a + shift, b + shift
-                for s2, a2, b2, same2 in runs:
-                    if abs(s2 - shift) <= max(2, size // 5):
-                        on[a2:b2] |= same2[a2:b2]
-                        first, last = min(first, a2 + s2), max(last, b2 + s2)
-                got = int(on.sum())
-                if got >= need and (best is None or got > best[0]):
-                    best = (got, first, last)
-            if best:
-                out.append((self.names[i], best[0], size, best[1], best[2]))
-        return out
-
-
-class _Nothing:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return 0
-
-
-_nothing = _Nothing()
-
-
-def blocks(benchmark: DataFrame, most_bytes: int) -> list[DataFrame]:
-    """benchmark cut by hash into blocks of about most_bytes of text each; one where it is small."""
-    b = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = -(-int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes)
-    return [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [b]
-
-
-def _indexes(benchmark: DataFrame, alike: float, share: float, enough: int, fewest: int, most_bytes: int):
-    sc = benchmark.sparkSession.sparkContext
-    for block in blocks(benchmark, most_bytes):
-        items = sorted((r.item_id if r.item_id is not None else -1, r.text.encode()) for r in block.collect())
-        yield sc.broadcast((items, alike, share, enough, fewest))
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: float = 0.5, enough: int = 50, fewest: int = 5, most_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, item_id, equal_words, item_words, first_word, end_word: one row for each document and test passage that overlap.
+        for batch in slices(batches, "words", 1_000_000):
+            out = [[], [], []]
+            for item, w in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                ids = np.frombuffer(w, np.uint64)
+                for mask in masks_of(len(ids), alike):
+                    h = seed_hashes(ids, mask)
+                    for column, x in zip(out, (h.view(np.int64), np.full(len(h), item), np.arange(len(h))), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["hash", "item", "spot"])
 
-    An overlap counts when places where at least `alike` of the words are equal hold `share` of the passage's words, or
-    `enough` of them. Passages under `fewest` words are not searched; those shorter than a mask must be met whole. Null texts count as
-    empty and overlap nothing; repeated rows each give their rows. The test side is broadcast in blocks of most_bytes of text,
-    each against all documents; documents are never shuffled.
-    """
-    t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for shared in _indexes(benchmark, alike, share, enough, fewest, most_bytes):
+    return stored(items.select("item", "words").mapInArrow(run, "hash long, item long, spot long"), "leak-seeds")
 
-        def run(batches, shared=shared):
-            import pyarrow as pa
 
-            index = Index(*shared.value)
-            for batch in slices(batches):
-                got = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for x in index.find(text)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "equal_words", "item_words", "first_word", "end_word"])
+class Filter:
+    """Which hashes may be among the test hashes: certain for up to MOST of them, else by bits."""
 
-        part = t.mapInArrow(run, "doc_id long, item_id long, equal_words long, item_words long, first_word long, end_word long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    def __init__(self, hashes, bits):
+        self.hashes, self.bits = hashes, bits
 
+    def __call__(self, h):
+        import numpy as np
 
-def clean(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: float = 0.5, enough: int = 50, fewest: int = 5, most_bytes: int = 16_000_000) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text overlaps no test passage (see overlaps)."""
-    spot = [i for i, c in enumerate(docs.columns) if c == "text"][0]
-    names, flat = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    for shared in _indexes(benchmark, alike, share, enough, fewest, most_bytes):
+        u = np.uint64
+        need = (u(1) << (h & u(63))) | (u(1) << ((h >> u(6)) & u(63))) | (u(1) << ((h >> u(12)) & u(63)))
+        at = np.flatnonzero((self.bits[(h >> u(18)) & u(len(self.bits) - 1)] & need) == need)
+        if self.hashes is None or not len(at):
+            return at
+        x = h[at].view(np.int64)
+        spot = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        return at[self.hashes[spot] == x]
+
+
+def filter_of(hashes: DataFrame) -> Filter:
+    """The filter of a column hash of distinct numbers; its bits are put together on executors."""
+    import numpy as np
+
+    n = hashes.count()
+    slots = min(SLOTS, 1 << (n + 64).bit_length())
+    bits = np.zeros(slots, np.uint64)
+    one = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {k}) & 63 as int))")
+    t = hashes.select(F.expr(f"shiftrightunsigned(hash, 18) & {slots - 1}L").alias("slot"), one(0).bitwiseOR(one(6)).bitwiseOR(one(12)).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits")).toArrow()
+    bits[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    return Filter(np.sort(hashes.toArrow().column("hash").to_numpy()) if n <= MOST else None, bits)
 
-        def run(batches, shared=shared):
-            import pyarrow as pa
 
-            index = Index(*shared.value)
-            for batch in slices(batches, f"c{spot}"):
-                yield batch.filter(pa.array([not index.find(x) for x in texts_of(batch, f"c{spot}")], pa.bool_()))
+def _found(docs: DataFrame, benchmark: DataFrame, alike: float, share: float, evidence: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest, item, equal_words, item_words, first_word, end_word by row of docs (doc_id, text) and distinct passage; and item, item_id."""
+    items, rows = passages(benchmark)
+    own = seeds(items, alike)
+    sizes = [r.n for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") <= SHORT).distinct().collect()]
+    masks = list(MASKS) + [m for n in sorted(sizes) for m in whole_masks(n, alike)]
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(own.select("hash").distinct()))
+
+    def hits(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        may, number = shared.value, word_ids()
+        row = TaskContext.get().partitionId() << 36
+        for batch in slices(batches):
+            out = [[] for _ in range(6)]
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                row += 1
+                ids = number.of(words(text), np.uint64)
+                got = [(h[at], at) for h, at in ((h, may(h)) for h in (seed_hashes(ids, m) for m in masks) if len(h)) if len(at)]
+                if got:
+                    values = (row, doc, hashlib.md5(text, usedforsecurity=False).digest(), ids.tobytes(), np.concatenate([x for x, _ in got]).view(np.int64), np.concatenate([x for _, x in got]))
+                    for column, v in zip(out, values, strict=True):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "doc_id", "digest", "words", "hash", "at"])
 
-        flat = flat.mapInArrow(run, flat.schema)
-    return flat.toDF(*names)
+    def compared(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches, "words"):
+            out = []
+            for row, item, shifts, w, p in zip(*(batch.column(c).to_pylist() for c in ("row", "item", "shifts", "words", "passage")), strict=True):
+                best = overlap(np.frombuffer(w, np.uint64), np.frombuffer(p, np.uint64), shifts, alike, share, evidence)
+                if best:
+                    out.append((row, item, best[0], len(p) // 8, best[1], best[2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "item", "equal_words", "item_words", "first_word", "end_word"])
+
+    met = stored(docs.mapInArrow(hits, "row long, doc_id long, digest binary, words binary, hash array<long>, at array<long>"), "leak-hits")
+    at = met.select("row", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("row", F.col("x.hash").alias("hash"), F.col("x.at").alias("at"))
+    pairs = at.join(own, "hash").select("row", "item", (F.col("at") - F.col("spot")).alias("shift")).groupBy("row", "item").agg(F.collect_set("shift").alias("shifts"))
+    laid = pairs.join(met.select("row", "words"), "row").join(items.select("item", F.col("words").alias("passage")), "item")
+    out = laid.mapInArrow(compared, "row long, item long, equal_words long, item_words long, first_word long, end_word long")
+    return stored(out, "leak-overlaps").join(met.select("row", "doc_id", "digest"), "row").drop("row"), rows.join(items, "words").select("item", "item_id")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: float = 0.5, evidence: int = 12) -> DataFrame:
+    """doc_id, item_id, equal_words, item_words, first_word, end_word: one row for each document and test passage that overlap.
+
+    An overlap counts when places where at least `alike` of the words are equal hold so many of the passage's words as `needed` asks:
+    half of it, and 12 words or four fifths of a shorter passage. Passages of every length are searched; those without words
+    overlap nothing, and so do null and empty texts. Very long texts are searched whole. Repeated rows and passages each give their
+    rows, with their ids, also null ones. Either table may be empty: then there is no row. Other columns are not read, whatever their names.
+    """
+    t = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found, items = _found(t, benchmark, alike, share, evidence)
+    return found.join(items, "item").select("doc_id", "item_id", "equal_words", "item_words", "first_word", "end_word")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, alike: float = 0.8, share: float = 0.5, evidence: int = 12) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text overlaps no test passage (see overlaps)."""
+    names = docs.columns
+    spot = ([i for i, c in enumerate(names) if c == "text"] or [i for i, c in enumerate(names) if c.lower() == "text"])[0]
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = F.coalesce(F.col(f"c{spot}").cast("string"), F.lit(""))
+    leaking = _found(flat.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), benchmark, alike, share, evidence)[0].select(F.col("digest").alias("_leak")).distinct()
+    return flat.join(leaking, F.unhex(F.md5(text.cast("binary"))) == F.col("_leak"), "left_anti").toDF(*names)
