@@ -36,12 +36,12 @@ def error_trips(events: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
 
 
 def client_state(events: DataFrame, now: Column, limit: int = RATE_LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """client, provider, active_requests, errors, queued, last_used, available at `now`."""
+    """client, provider, active_requests, errors, queued, last_used, has_room (the rate allows a request) and available at `now`."""
     old = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) >= window_s * 1_000_000
     recent = W.partitionBy("client").orderBy(F.desc("ts"), F.desc("event_id"))
     r = events.withColumn("k", F.row_number().over(recent))
     s = r.groupBy("client", "provider").agg(F.sum((~F.col("ok")).cast("bigint")).alias("errors"), F.least(F.count("*"), F.lit(limit)).alias("queued"), F.max("ts").alias("last_used"), F.max(F.when(F.col("k") == limit, old)).alias("free"))
-    return s.select("client", "provider", F.lit(0).cast("bigint").alias("active_requests"), "errors", "queued", "last_used", ((F.col("errors") <= MOST_ERRORS) & F.coalesce("free", F.lit(True))).alias("available"))
+    return s.select("client", "provider", F.lit(0).cast("bigint").alias("active_requests"), "errors", "queued", "last_used", F.coalesce("free", F.lit(True)).alias("has_room"), ((F.col("errors") <= MOST_ERRORS) & F.coalesce("free", F.lit(True))).alias("available"))
 
 
 def best_client(states: DataFrame, limit: int = RATE_LIMIT) -> DataFrame:
@@ -58,8 +58,9 @@ def client_stats(events: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
 
 
 def reactivated(states: DataFrame) -> DataFrame:
-    """What a health check does: errors forgotten, every client active again."""
-    return states.withColumns({"errors": F.lit(0).cast("bigint"), "available": F.lit(True)})
+    """What a health check does to client_state: clients that errors made inactive start anew; what active ones have counted stays."""
+    down = F.col("errors") > MOST_ERRORS
+    return states.withColumns({"errors": F.when(down, 0).otherwise(F.col("errors")).cast("bigint"), "available": F.when(down, F.col("has_room")).otherwise(F.col("available"))})
 
 
 def chat_request(messages: Column, model: Column, extra: dict[str, Column] | None = None, reserved: tuple[str, ...] = ("temperature", "top_p", "top_k", "frequency_penalty")) -> Column:
@@ -137,8 +138,10 @@ class Balancer:
         return self.request({"input": text, **options})["data"][0]["embedding"]
 
     def health_check(self) -> None:
+        """Clients that errors made inactive start anew; what active ones have counted stays."""
         for c in self.clients:
-            c["active"], c["errors"] = True, 0
+            if not c["active"]:
+                c["active"], c["errors"] = True, 0
 
     def stats(self) -> dict:
         out: dict = {}

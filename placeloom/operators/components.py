@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again, so lineage and size estimates start anew; a local folder is
-    made only where that setting is unset."""
+    """df written as Parquet under spark.checkpoint.dir and read again, so lineage and size estimates start anew. Where that
+    setting is unset, a session on one machine takes its warehouse folder; on a cluster that is an error."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and sc.master.startswith("local["):
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if not folder:
-        folder = tempfile.mkdtemp(prefix="placeloom-")
-        sc.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/placeloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

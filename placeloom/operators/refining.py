@@ -11,19 +11,27 @@ from .components import settled
 GAP, DOUBT = 0.1, 0.7
 
 
-def extended(relations: DataFrame, rounds: int = 20) -> DataFrame:
-    """relations (a, b, label) closed to a fixed point: inside then same gives inside, same then same gives same. Only pairs
-    that are listed change, and only from 0."""
-    now = settled(relations.select("a", "b", "label"))
-    for _ in range(rounds):
-        x = now.where("label > 0").select("a", F.col("b").alias("m"), F.col("label").alias("first"))
-        same = now.where("label = 1").select(F.col("a").alias("m"), F.col("b"))
-        new = x.join(same, "m").where("a <> b").groupBy("a", "b").agg(F.max("first").alias("new"))
-        after = settled(now.join(new, ["a", "b"], "left").select("a", "b", F.when(F.col("label") == 0, F.coalesce("new", F.lit(0))).otherwise(F.col("label")).alias("label"), F.col("label").alias("old")))
-        if not after.where("label <> old").limit(1).count():
-            break
-        now = after.select("a", "b", "label")
-    return now
+def extended(relations: DataFrame) -> DataFrame:
+    """relations (a, b, label) closed to the fixed point of two rules about a record x: x inside y and x same as z give z inside y, and
+    x same as y and x same as z give y same as z, where (x, y) is listed in that order and the other relation in either.
+
+    Only listed pairs are set: `inside` where the pair is listed in just that order, `same` in either order, also over a label
+    that is already there. A pair may be found to be both; then it is labelled inside and still counts as same. So found relations
+    only grow, and rounds go on until one finds nothing.
+    """
+    now = settled(relations.select("a", "b", (F.col("label") == 1).alias("same"), (F.col("label") == 2).alias("inside")))
+    while True:
+        listed = now.where("same").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        either = listed.unionByName(listed.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().withColumnRenamed("y", "z")
+        held = now.where("inside").select(F.col("a").alias("x"), F.col("b").alias("y")).join(either, "x").select(F.col("z").alias("a"), F.col("y").alias("b"), F.lit(False).alias("s"), F.lit(True).alias("i"))
+        like = listed.join(either, "x").where("y <> z").select("y", "z")
+        like = like.select(F.col("y").alias("a"), F.col("z").alias("b")).unionByName(like.select(F.col("z").alias("a"), F.col("y").alias("b")))
+        new = held.unionByName(like.select("a", "b", F.lit(True).alias("s"), F.lit(False).alias("i"))).groupBy("a", "b").agg(F.max("s").alias("s"), F.max("i").alias("i"))
+        both = now.join(new, ["a", "b"], "left").withColumns({"s": F.coalesce("s", F.lit(False)), "i": F.coalesce("i", F.lit(False))})
+        after = settled(both.select("a", "b", (F.col("same") | F.col("s")).alias("same"), (F.col("inside") | F.col("i")).alias("inside"), ((F.col("s") & ~F.col("same")) | (F.col("i") & ~F.col("inside"))).alias("grew")))
+        if not after.where("grew").limit(1).count():
+            return now.select("a", "b", F.when(F.col("inside"), 2).when(F.col("same"), 1).otherwise(0).alias("label"))
+        now = after.drop("grew")
 
 
 def repaired(relations: DataFrame, gap: float = GAP, doubt: float = DOUBT) -> DataFrame:

@@ -128,14 +128,11 @@ def aoi_gt_coverage(spark, sf_dir):
 
 
 def _pair_table(spark, sf_dir):
-    """Candidate pairs by arithmetic: pair_id, l_id, r_id."""
-    p = inputs.pois(spark, sf_dir)
-    left = p.where("belong = 0").select((F.col("k") % 100).alias("m"), F.col("k").alias("a"), F.col("id").alias("l_id"))
-    right = p.where("belong = 1 and k < 100").select((F.col("k") % 100).alias("m"), F.col("k").alias("b"), F.col("id").alias("r_id"))
-    return left.join(right, "m").select((F.col("a") * 1000 + F.col("b")).alias("pair_id"), "l_id", "r_id")
+    """All candidate pairs of the blocking, numbered: pair_id, l_id, r_id."""
+    return settled(candidates.numbered(candidate_pairs(spark, sf_dir).select("l_id", "r_id")))
 
 
-_PAIRS = f"WITH {inputs.sql()}, pairs AS (SELECT l.k * 1000 + r.k AS pair_id, l.id AS l_id, r.id AS r_id FROM pois l JOIN pois r ON l.belong = 0 AND r.belong = 1 AND r.k < 100 AND l.k % 100 = r.k)"
+_PAIRS = _candidates_sql("nj") + ", pairs AS (SELECT row_number() OVER (ORDER BY l_id, r_id) - 1 AS pair_id, l_id, r_id FROM candidates)"
 
 
 @query("pair_features")
@@ -163,8 +160,8 @@ def pair_features_encoded(spark, sf_dir):
 
 
 def _clustered(spark, sf_dir, method):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)])
-    return clustering.clustered(e, [f"f{i}" for i in range(4)], method)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    return clustering.clustered(e, [f"f{i}" for i in range(64)], method)
 
 
 for _method in ("hdbscan", "dbscan", "agglomerative", "kmeans"):
@@ -199,7 +196,11 @@ _CLUSTERS = _PAIRS + ", clusters AS (SELECT pair_id, (pair_id * 37 % 101 % 23)::
 
 
 def _clusters(spark, sf_dir):
-    return _pair_table(spark, sf_dir).select("pair_id", (F.col("pair_id") * 37 % 101 % 23).cast("int").alias("label"))
+    return _labelled(_pair_table(spark, sf_dir))
+
+
+def _labelled(pairs):
+    return pairs.select("pair_id", (F.col("pair_id") * 37 % 101 % 23).cast("int").alias("label"))
 
 
 _CHUNK = "SELECT (n // 16)::int AS batch_id, (n % 16)::int AS pos, pair_id FROM o"
@@ -222,25 +223,34 @@ def diverse_batches(spark, sf_dir):
 
 _ONE = "'Name: ' || {0}.name || ', Category: ' || {0}.category || ', Address: ' || coalesce({0}.address, 'nan')"
 _METRES = "regexp_replace(printf('%.2f', round(" + sql_haversine("a.longitude", "a.latitude", "b.longitude", "b.latitude") + ", 2)), '(\\.\\d)0$', '\\1')"
-_QUOTED = lambda s: s.replace("'", "''")
+_BOTH = "pairs JOIN pois a ON a.belong = 0 AND a.id = l_id JOIN pois b ON b.belong = 1 AND b.id = r_id"
 
 
-@query("render_prompt", _CLUSTERS + f", o AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id * 7919 % 1000003, pair_id) - 1 AS n FROM clusters), b AS ({_CHUNK}), q AS (SELECT batch_id, pos, 'Question ' || (pos + 1)::varchar || ':' || chr(10) || 'POI A : ' || {_ONE.format('a')} || chr(10) || 'POI B : ' || {_ONE.format('b')} || chr(10) || 'The distance between the POIs A and B is ' || {_METRES} || 'm.' || chr(10) || chr(10) AS q FROM b JOIN pairs USING (pair_id) JOIN pois a ON a.belong = 0 AND a.id = l_id JOIN pois b ON b.belong = 1 AND b.id = r_id) SELECT batch_id, count(*)::int AS n, md5('{_QUOTED(prompting.TASK)}' || string_agg(q, '' ORDER BY pos) || replace('{_QUOTED(prompting.WITH_CONFIDENCE)}', '{{n}}', count(*)::varchar)) AS digest FROM q GROUP BY batch_id")
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("render_prompt", _CLUSTERS + f", o AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id * 7919 % 1000003, pair_id) - 1 AS n FROM clusters), b AS ({_CHUNK}), t AS (SELECT pair_id, {_ONE.format('a')} AS l, {_ONE.format('b')} AS r, {_METRES} AS m FROM {_BOTH}), q AS (SELECT batch_id, pos, 'Question ' || (pos + 1)::varchar || ':' || chr(10) || 'First record = ' || l || chr(10) || 'Second record = ' || r || chr(10) || 'Metres apart = ' || m || chr(10) || chr(10) AS q FROM b JOIN t USING (pair_id)) SELECT batch_id, count(*)::int AS n, md5({_sql_text(prompting.TASK)} || string_agg(q, '' ORDER BY pos) || replace({_sql_text(prompting.WITH_CONFIDENCE)}, '{{n}}', count(*)::varchar)) AS digest, md5({_sql_text(prompting.TASK)} || string_agg(q, '' ORDER BY pos) || replace({_sql_text(prompting.WITHOUT_CONFIDENCE)}, '{{n}}', count(*)::varchar)) AS plain FROM q GROUP BY batch_id")
 def render_prompt(spark, sf_dir):
-    full = features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir))
-    return prompting.batch_prompts(batching.random_batches(_clusters(spark, sf_dir)), full).select("batch_id", "n", F.md5("prompt").alias("digest"))
+    pairs = _pair_table(spark, sf_dir)
+    full = features.joined(pairs, inputs.pois(spark, sf_dir))
+    batches = settled(batching.random_batches(_labelled(pairs)))
+    plain = prompting.batch_prompts(batches, full, confidence=False).select("batch_id", F.md5("prompt").alias("plain"))
+    return prompting.batch_prompts(batches, full).select("batch_id", "n", F.md5("prompt").alias("digest")).join(plain, "batch_id")
 
 
-@query("render_pair_prompt", _PAIRS + f" SELECT pair_id, '{_QUOTED(prompting.ONE_PAIR)}' || 'POI A : ' || {_ONE.format('a')} AS head FROM pairs JOIN pois a ON a.belong = 0 AND a.id = l_id")
+_AT = "' @ ' || printf('%.6f', {0}.latitude) || ' ' || printf('%.6f', {0}.longitude)"
+
+
+@query("render_pair_prompt", _PAIRS + f" SELECT pair_id, {_sql_text(prompting.ONE_PAIR)} || 'First record = ' || {_ONE.format('a')} || {_AT.format('a')} || chr(10) || 'Second record = ' || {_ONE.format('b')} || {_AT.format('b')} || chr(10) || {_sql_text(prompting.ONE_ANSWER)} AS prompt FROM {_BOTH}")
 def render_pair_prompt(spark, sf_dir):
-    full = features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir))
-    return prompting.pair_prompts(full).select("pair_id", F.substring_index("prompt", ", longitude: ", 1).alias("head"))
+    return prompting.pair_prompts(features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir)))
 
 
-@query("render_choice_prompt", _PAIRS + " SELECT r_id AS id, count(*)::int AS n FROM pairs GROUP BY r_id")
+@query("render_choice_prompt", _PAIRS + f", t AS (SELECT r_id, pair_id, {_ONE.format('b')} AS given, 'Option ' || pair_id::varchar || ' = ' || {_ONE.format('a')} || ', metres away = ' || {_METRES} || chr(10) AS t FROM {_BOTH}) SELECT r_id AS id, count(*)::int AS n, md5({_sql_text(prompting.CHOOSE)} || 'Sought = ' || any_value(given) || chr(10) || string_agg(t, '' ORDER BY pair_id) || {_sql_text(prompting.CHOICE_ANSWER)}) AS digest FROM t GROUP BY r_id")
 def render_choice_prompt(spark, sf_dir):
     full = features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir))
-    return prompting.choice_prompts(full, "r").select("id", "n")
+    return prompting.choice_prompts(full, "r").select("id", "n", F.md5("prompt").alias("digest"))
 
 
 #: Responses of many shapes, by event: good, reordered, with chatter, short, doubled, out of range, odd numbers.
@@ -275,11 +285,12 @@ def parse_list(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(prompting.parsed_list(items, F.lit(2)), lambda x: x.cast("string")), ",").alias("answers"))
 
 
-@query("mock_answers")
+#: The stand-in's rule: 1 if the names' first words agree, and a confidence from the distance; lines are read back by the strict parser.
+@query("mock_answers", _PAIRS + f", t AS (SELECT pair_id, a.name AS l, b.name AS r, {_METRES}::double AS m FROM {_BOTH}) SELECT pair_id, (split_part(l, ' ', 1) = split_part(r, ' ', 1))::int AS answer, printf('%.2f', greatest(0, 1 - m / 1000))::double AS confidence FROM t")
 def mock_answers(spark, sf_dir):
-    full = features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir))
-    b = batching.similar_batches(_clusters(spark, sf_dir))
-    return responding.flattened(b, responding.answered(prompting.batch_prompts(b, full)))
+    pairs = _pair_table(spark, sf_dir)
+    b = settled(batching.similar_batches(_labelled(pairs)))
+    return responding.flattened(b, settled(responding.answered(prompting.batch_prompts(b, features.joined(pairs, inputs.pois(spark, sf_dir))))))
 
 
 #: Answered pairs by arithmetic, with conflicts on both sides.
@@ -362,10 +373,11 @@ def client_stats(spark, sf_dir):
     return balancing.client_stats(_events(spark, sf_dir))
 
 
-@query("best_client", f"WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts DESC, event_id DESC) AS k FROM e WHERE event_id % 7 = 0), s AS (SELECT client, count(*) FILTER (NOT ok) AS errors, least(count(*), 5) AS queued, max(ts) AS last_used, coalesce(bool_or(timestamp '2024-01-20' - ts >= interval 60 second) FILTER (k = 5), true) AS free FROM r GROUP BY client) SELECT client FROM s WHERE errors <= 3 AND free ORDER BY errors, queued, last_used, client LIMIT 1")
+@query("best_client", f"WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts DESC, event_id DESC) AS k FROM e), s AS (SELECT client, CASE WHEN count(*) FILTER (NOT ok) > 3 THEN 0 ELSE count(*) FILTER (NOT ok) END AS errors, least(count(*), 5) AS queued, max(ts) AS last_used, coalesce(bool_or(timestamp '2024-02-01' - ts >= interval 60 second) FILTER (k = 5), true) AS free FROM r GROUP BY client) SELECT client FROM s WHERE free ORDER BY errors, queued, last_used, client LIMIT 1")
 def best_client(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id % 7 = 0").withColumn("provider", F.lit("p"))
-    return balancing.best_client(balancing.client_state(e, F.lit("2024-01-20 00:00:00").cast("timestamp")))
+    e = _events(spark, sf_dir).withColumn("provider", F.lit("p"))
+    states = balancing.client_state(e, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return balancing.best_client(balancing.reactivated(states))
 
 
 @query("parse_response_json", "SELECT conv_id, turn, text AS content, len(text)::bigint AS tokens FROM conversations")
@@ -392,11 +404,16 @@ def repair(spark, sf_dir):
     return refining.repaired(rel).select("a", "b", "label")
 
 
-@query("extend")
+#: For each supplier: what is listed (left, right, label) and what follows, by the two rules.
+_LISTED = [(0, 1, 2), (4, 0, 1), (4, 1, 0), (1, 4, 0), (2, 3, 1), (5, 2, 1), (3, 5, 0), (2, 6, 1), (3, 6, 0), (5, 6, 2), (7, 8, 0)]
+_FOUND = {(4, 1): 2, (3, 6): 2, (2, 6): 2, (3, 5): 1}
+
+
+@query("extend", f"SELECT (s_suppkey * 10 + i)::varchar AS a, (s_suppkey * 10 + j)::varchar AS b, v AS label FROM supplier, (VALUES {', '.join(str((i, j, _FOUND.get((i, j), v))) for i, j, v in _LISTED)}) t(i, j, v)")
 def extend(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    pair = lambda i, j, v: s.select((F.col("k") * 10 + i).cast("string").alias("a"), (F.col("k") * 10 + j).cast("string").alias("b"), F.lit(v).alias("label"))
-    return refining.extended(pair(0, 1, 2).unionByName(pair(1, 2, 1)).unionByName(pair(2, 3, 1)).unionByName(pair(1, 3, 0)).unionByName(pair(0, 2, 0)).unionByName(pair(0, 3, 0)).unionByName(pair(3, 0, 0)))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(v).alias("label")) for i, j, v in _LISTED])).alias("x")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), each)
+    return refining.extended(s.select((F.col("k") * 10 + F.col("x.i")).cast("string").alias("a"), (F.col("k") * 10 + F.col("x.j")).cast("string").alias("b"), "x.label"))
 
 
 @query("classify")
@@ -406,11 +423,11 @@ def classify(spark, sf_dir):
     return classifying.predicted(m, p.where("k % 5 = 4")).select("id", F.col("prediction").cast("int").alias("predicted"), F.col("e_type").cast("int").alias("e_type"))
 
 
-@query("word_vectors", "SELECT vec_id % 50 AS w, i, round(avg(v), 6) AS v FROM (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(embedding[1:8])::double AS v FROM embeddings) GROUP BY ALL")
+@query("word_vectors", "SELECT vec_id % 50 AS w, i, round(avg(v), 6) AS v FROM (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::double AS v FROM embeddings) GROUP BY ALL")
 def word_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("w"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("vec"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("w"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     words = e.groupBy("w").agg(F.collect_list("word").alias("words"))
-    got = classifying.looked_up(words, e.select("word", "vec"), "w", 8)
+    got = classifying.looked_up(words, e.select("word", "vec"), "w", 64)
     return got.select("w", F.posexplode("embedded").alias("i", "v")).select("w", (F.col("i") + 1).cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 

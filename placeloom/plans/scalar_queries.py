@@ -15,14 +15,16 @@ from .inputs import sql_chars, sql_clean, sql_haversine, sql_rounded, sql_tokens
 from .registry import query
 
 CTE = f"WITH {inputs.sql()} "
-#: All pairs of suppliers and those customers whose keys are congruent modulo 10.
-PAIRS = CTE + ", pairs AS (SELECT l.id AS l_id, r.id AS r_id, l.name AS l_name, r.name AS r_name, l.category AS l_category, r.category AS r_category, l.address AS l_address, r.address AS r_address, l.longitude AS l_lon, l.latitude AS l_lat, r.longitude AS r_lon, r.latitude AS r_lat FROM pois l JOIN pois r ON l.belong = 0 AND r.belong = 1 AND l.k % 100 = r.k % 100) "
+#: All pairs of suppliers and customers that lie within the blocking's distance of each other.
+_REACH = 400.0
+PAIRS = CTE + f", pairs AS (SELECT l.id AS l_id, r.id AS r_id, l.name AS l_name, r.name AS r_name, l.category AS l_category, r.category AS r_category, l.address AS l_address, r.address AS r_address, l.longitude AS l_lon, l.latitude AS l_lat, r.longitude AS r_lon, r.latitude AS r_lat FROM pois l JOIN pois r ON l.belong = 0 AND r.belong = 1 AND abs(l.latitude - r.latitude) < 0.0037 WHERE {sql_haversine('r.longitude', 'r.latitude', 'l.longitude', 'l.latitude')} < {_REACH}) "
 
 
 def pairs(spark, sf_dir):
     p = inputs.pois(spark, sf_dir)
-    side = lambda b, s: p.where(F.col("belong") == b).select((F.col("k") % 100).alias("m"), *[F.col(c).alias(f"{s}_{n}") for c, n in (("id", "id"), ("name", "name"), ("category", "category"), ("address", "address"), ("longitude", "lon"), ("latitude", "lat"))])
-    return side(0, "l").join(side(1, "r"), "m").drop("m")
+    side = lambda b, s: p.where(F.col("belong") == b).select(*[F.col(c).alias(f"{s}_{n}") for c, n in (("id", "id"), ("name", "name"), ("category", "category"), ("address", "address"), ("longitude", "lon"), ("latitude", "lat"))])
+    met = area_ops.near(p.where("belong = 1"), p.where("belong = 0"), _REACH).select(F.col("a_id").alias("r_id"), F.col("b_id").alias("l_id"))
+    return met.join(side(0, "l"), "l_id").join(side(1, "r"), "r_id")
 
 
 @query("web_mercator", CTE + "SELECT belong, id, round(x, 4) AS x, round(y, 4) AS y FROM pois")
@@ -150,7 +152,7 @@ def jaro_winkler(spark, sf_dir):
 _LCS = "list_last(list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda i: 0), list_transform(range(1, length(a) + 1), lambda i: [i])), lambda row, c: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda done, j: list_append(done, CASE WHEN a[c[1]] = b[j[1]] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], list_last(done)) END))))"
 
 
-@query("lcs", CTE + f", d AS (SELECT DISTINCT l.name AS a, r.name AS b FROM pois l JOIN pois r ON l.belong = 0 AND r.belong = 1 AND l.k % 100 = r.k % 100) SELECT a, b, {_LCS}::int AS lcs FROM d")
+@query("lcs", PAIRS + f", d AS (SELECT DISTINCT l_name AS a, r_name AS b FROM pairs) SELECT a, b, {_LCS}::int AS lcs FROM d")
 def lcs(spark, sf_dir):
     return pairs(spark, sf_dir).select(F.col("l_name").alias("a"), F.col("r_name").alias("b")).distinct().select("a", "b", likeness.lcs(F.col("a"), F.col("b")).alias("lcs"))
 
@@ -193,7 +195,7 @@ def pad_single(spark, sf_dir):
     return inputs.pois(spark, sf_dir).select("belong", "id", F.array_join(f["tokens"], " ").alias("tokens"), F.aggregate(f["mask"], F.lit(0).cast("bigint"), lambda s, x: s + x).alias("mask"))
 
 
-_PAIR_SQL = f""", t AS (SELECT l_id, r_id, {sql_tokens("l_address || ' ' || l_name")} AS a, {sql_tokens("r_address || ' ' || r_name")} AS b FROM pairs WHERE l_address IS NOT NULL),
+_PAIR_SQL = f""", t AS (SELECT l_id, r_id, {sql_tokens("coalesce(l_address, 'nan') || ' ' || l_name")} AS a, {sql_tokens("r_address || ' ' || r_name")} AS b FROM pairs),
 m AS (SELECT *, len(a) + len(b) + 3 - 12 AS more FROM t),
 k AS (SELECT l_id, r_id, CASE WHEN more <= 0 OR more < len(b) THEN a WHEN more < len(a) THEN a[1:len(a) - more] ELSE a[1:50] END AS a, CASE WHEN more <= 0 THEN b WHEN more < len(b) THEN b[1:len(b) - more] WHEN more < len(a) THEN b ELSE b[1:50] END AS b FROM m)
 SELECT l_id, r_id, array_to_string(list_concat(['[CLS]'], a, ['[SEP]'], b, ['[SEP]'], list_transform(range(0, 12), lambda i: '[PAD]'))[1:12], ' ') AS tokens, (len(b) + 1)::bigint AS second FROM k"""
@@ -201,8 +203,8 @@ SELECT l_id, r_id, array_to_string(list_concat(['[CLS]'], a, ['[SEP]'], b, ['[SE
 
 @query("pad_pair", PAIRS + _PAIR_SQL)
 def pad_pair(spark, sf_dir):
-    p = pairs(spark, sf_dir).where("l_address is not null")
-    f = text.framed_pair(text.tokens(F.concat("l_address", F.lit(" "), "l_name")), text.tokens(F.concat("r_address", F.lit(" "), "r_name")), 12)
+    p = pairs(spark, sf_dir)
+    f = text.framed_pair(text.tokens(F.concat(F.coalesce("l_address", F.lit("nan")), F.lit(" "), "l_name")), text.tokens(F.concat("r_address", F.lit(" "), "r_name")), 12)
     return p.select("l_id", "r_id", F.array_join(f["tokens"], " ").alias("tokens"), F.aggregate(f["segments"], F.lit(0).cast("bigint"), lambda s, x: s + x).alias("second"))
 
 
@@ -265,7 +267,7 @@ def eps_neighbors_poi(spark, sf_dir):
     return n.where("a_id <> b_id").select("a_id", "b_id", F.round("metres", 3).alias("metres"))
 
 
-@query("eps_percentile", "WITH s AS (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE label = 0), d AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT round(quantile_cont(d, 0.05), 6) AS eps FROM d")
+@query("eps_percentile", "WITH s AS (SELECT vec_id, embedding::double[] AS v FROM embeddings), d AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT round(quantile_cont(d, 0.05), 6) AS eps FROM d")
 def eps_percentile(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("id"), "embedding")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return clustering.distance_percentile(e, "embedding", 5).select(F.round("eps", 6).alias("eps"))

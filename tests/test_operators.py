@@ -360,8 +360,23 @@ def test_components(spark, seed):
 
 
 def test_refining(spark):
-    rel = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "d", 1), ("a", "c", 0), ("a", "d", 0), ("b", "d", 0)], "a string, b string, label int")
-    assert {(r.a, r.b): r.label for r in refining.extended(rel).collect()} == {("a", "b"): 2, ("b", "c"): 1, ("c", "d"): 1, ("a", "c"): 2, ("a", "d"): 2, ("b", "d"): 1}
+    rng = random.Random(3)
+    pairs = sorted({(f"n{i}", f"n{j}") for i, j in ((rng.randrange(9), rng.randrange(9)) for _ in range(45)) if i != j})
+    listed = [(a, b, rng.choice([0, 0, 0, 1, 2])) for a, b in pairs]
+    chain = 50  # n0 same as all, and each pair of neighbours is listed without a label
+    listed += [(f"c{k}", f"c{k + 1}", 1) for k in range(chain)] + [("c0", f"c{k}", 0) for k in range(2, chain + 1)] + [("d", "e", 2), ("d", "c0", 1)] + [(f"c{k}", "e", 0) for k in range(chain + 1)] + [("d", f"c{k}", 0) for k in range(1, chain + 1)]
+    same, inside = ({(a, b) for a, b, v in listed if v == k} for k in (1, 2))
+    names = {(a, b) for a, b, _ in listed}
+    while True:
+        either = same | {(b, a) for a, b in same}
+        more_in = {(z, y) for x, y in inside for x2, z in either if x == x2} & names
+        like = {(y, z) for x, y in same for x2, z in either if x == x2 and y != z}
+        more_same = (like | {(b, a) for a, b in like}) & names
+        if more_in <= inside and more_same <= same:
+            break
+        inside, same = inside | more_in, same | more_same
+    got = {(r.a, r.b): r.label for r in refining.extended(spark.createDataFrame(listed, "a string, b string, label int")).collect()}
+    assert got == {p: 2 if p in inside else 1 if p in same else 0 for p in names} and got["d", f"c{chain}"] == 1 and got[f"c{chain}", "e"] == 2
     p = spark.createDataFrame([("a", "x", 2, 0.9), ("a", "y", 2, 0.65), ("a", "z", 2, 0.85), ("b", "x", 2, 0.5), ("a", "w", 1, 0.1)], "a string, b string, label int, prob double")
     assert {(r.a, r.b) for r in refining.repaired(p).where("label = 0").collect()} == {("a", "y")}
 
@@ -479,3 +494,27 @@ def test_noise_that_is_left_goes_to_a_cluster(spark, method):
         return min(labels, key=lambda v: (-labels.count(v), v))
 
     assert all(got[i] == (v if v >= 0 else vote(i)) for i, v in without.items())
+
+
+def test_all_senders_together_keep_the_rate(spark, monkeypatch):
+    class Clock:
+        now = 0.0
+
+    calls = []
+
+    def send(prompt):
+        calls.append(Clock.now)
+        if prompt.endswith("7"):
+            raise OSError("busy")
+        return "Question 1: 0 1"
+
+    waits = []
+    bucket = responding.Bucket(1, clock=lambda: Clock.now, sleep=lambda s: (waits.append(s), setattr(Clock, "now", Clock.now + s)))
+    for k in range(6):  # failing calls and their repetitions pass the bucket too
+        responding.called(send, f"p{k if k else 7}", 3, pause=lambda s: None, before=bucket.wait)
+    assert len(calls) == 9 and all(b - a >= 60 for a, b in zip(calls, calls[1:]))
+    # at most as many senders as calls a minute, each with a whole part of them
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *c, f=type(spark.range(1)).repartition: seen.append(n) or f(self, n, *c))
+    responding.answered(spark.createDataFrame([(1, 1, "p")], "batch_id int, n int, prompt string"), model=responding.ModelConfig("m", 9, 4))
+    assert seen == [4]
