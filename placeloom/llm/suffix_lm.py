@@ -226,12 +226,24 @@ def walk(a, frequent: list, branching: list):
         live = marked(branching[k], suffix)
 
 
-def transitions(words: DataFrame, shared) -> DataFrame:
-    """ctx, w, s, c: how often a word follows a context of the last level that is broadcast; with w = -1 the context itself, how
-    often a word follows it, and in s its suffix. Words that are too rare after the suffix are so after the context, and are left out.
-    shared: bitmaps for walk and of those that are not too rare, and contexts so frequent that their words are dealt apart."""
+def dealt(ctx, part, buckets: int):
+    """The bucket of each context, or of one part of a context so frequent that its words are dealt apart."""
+    import numpy as np
 
-    def run(batches):
+    return (_hashed(ctx.view(np.uint64), part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
+    """ctx, w, c, size, s: how often (least times at least) a word follows a context of the last level that is broadcast, how often any
+    word follows it (often times at least), and its suffix; with w = -1 the context itself. Words that are too rare after the suffix
+    are so after the context, and are left out. shared: bitmaps for walk and of those that are not too rare, and contexts so frequent
+    that their words are dealt to 64 parts.
+
+    What a task has counted goes to buckets of contexts as sorted arrays, one row a bucket, and each bucket is added up by itself.
+    """
+    buckets = 4 * max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def counted(batches):
         import numpy as np
         import pyarrow as pa
 
@@ -245,14 +257,26 @@ def transitions(words: DataFrame, shared) -> DataFrame:
             on = marked(known, suffix)
             ctx, w = ctx[on], w[on]
             _, first, c = np.unique(g[on], return_index=True, return_counts=True)
-            none = np.full(len(own), -1, np.int64)
-            x = np.concatenate([ctx[first], own])
-            order = np.argsort(x, kind="stable")  # rows of one context together: they compress well
-            x, y = x[order], np.concatenate([w[first], none])[order]
-            z, c = np.concatenate([np.zeros(len(first), np.int64), s])[order], np.concatenate([c, size])[order]
-            part = np.where((found(heavy, x) >= 0) & (y >= 0), y & 63, 0).astype(np.int32)
-            for i in range(0, len(x), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 200_000]) for v in (x, part, y, z, c)], ["ctx", "part", "w", "s", "c"])
+            ctx, w = ctx[first], w[first]
+            at = dealt(ctx, np.where(found(heavy, ctx) >= 0, w & 63, 0), buckets)
+            order = np.lexsort((w, ctx, at))
+            many = found(heavy, own) >= 0
+            rows = np.concatenate([np.flatnonzero(~many), np.repeat(np.flatnonzero(many), 64)])
+            to = dealt(own[rows], np.concatenate([np.zeros((~many).sum(), np.int64), np.tile(np.arange(64), many.sum())]), buckets)
+            to, rows = np.unique(np.stack([to, rows]), axis=1) if len(rows) else (to, rows)
+            edges, heads = np.searchsorted(at[order], np.arange(buckets + 1)), np.searchsorted(to, np.arange(buckets + 1))
+            out = [[], []]
+            for k in np.unique(to):
+                i, j = order[edges[k] : edges[k + 1]], rows[heads[k] : heads[k + 1]]
+                x = ctx[i]
+                parts = [np.array([len(i), len(j)]), np.diff(x, prepend=0), w[i], np.diff(own[j], prepend=0), s[j], c[i].astype(np.uint32), size[j].astype(np.uint32)]
+                out[0].append(k)
+                out[1].append(b"".join(p.tobytes() for p in parts))
+                if len(out[0]) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "counts"])
+                    out = [[], []]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "counts"])
 
         for _, a, _ in runs(batches):
             for at, ctx, s, g, suffix in walk(a, frequent, branching):
@@ -266,8 +290,46 @@ def transitions(words: DataFrame, shared) -> DataFrame:
         if held:
             yield from flush()
 
-    t = words.select("ids").mapInArrow(run, "ctx long, part int, w long, s long, c long").repartition("ctx", "part")
-    return t.groupBy("ctx", "part", "w").agg(F.max("s").alias("s"), F.sum("c").alias("c")).drop("part")
+    def unpacked(blob):
+        import numpy as np
+
+        n, m = np.frombuffer(blob, np.int64, 2).tolist()
+        x = np.frombuffer(blob, np.int64, 2 * (n + m), 16)
+        y = np.frombuffer(blob, np.uint32, n + m, 16 * (1 + n + m))
+        return np.cumsum(x[:n]), x[n : 2 * n], y[:n], np.cumsum(x[2 * n : 2 * n + m]), x[2 * n + m :], y[n:]
+
+    def added(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def finished(bucket, held):
+            ctx, w, c, own, s, size = (np.concatenate(x) for x in zip(*map(unpacked, held), strict=True))
+            own, spot, back = np.unique(own, return_index=True, return_inverse=True)
+            s, size = s[spot], np.bincount(back, size).astype(np.int64)
+            order = np.lexsort((w, ctx))
+            ctx, w = ctx[order], w[order]
+            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])])[: len(ctx)])
+            c = np.add.reduceat(c[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+            ctx, w = ctx[new], w[new]
+            at = np.searchsorted(own, ctx)
+            on = (c >= least) & (size[at] >= often)
+            mine = (size >= often) & (dealt(own, np.zeros(len(own), np.int64), buckets) == bucket)
+            columns = [(ctx[on], own[mine]), (w[on], np.full(mine.sum(), -1)), (c[on], size[mine]), (size[at][on], size[mine]), (s[at][on], s[mine])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], ["ctx", "w", "c", "size", "s"])
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, counts in zip(batch.column("bucket").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield finished(now, held)
+                    held = []
+                now = bucket
+                held.append(counts)
+        if held:
+            yield finished(now, held)
+
+    t = words.select("ids").mapInArrow(counted, "bucket long, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    return t.mapInArrow(added, "ctx long, w long, c long, size long, s long")
 
 
 def found(keys, wanted):
@@ -346,14 +408,11 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
         tree.frequent.append(bitmap(contexts, "g"))
         heavy = np.sort(contexts.where(F.col("c") >= max(2, total / 2000)).toArrow().column("g").to_numpy())
         shared = sc.broadcast((tree.frequent, tree.branching, bitmap(shorter, "key"), heavy))
-        t = stored(transitions(words, shared).where((F.col("c") >= least) | (F.col("w") == -1)), "lm-counts", "zstd")
+        t = stored(transitions(words, shared, least, often), "lm-counts", "zstd")
         shared.destroy()
-        sizes = t.where(f"w = -1 and c >= {int(often)}").select("ctx", "s", F.col("c").alias("size"))
-        rows = t.where("w <> -1").select("ctx", "w", "c")
-        if len(tree.frequent) == 1:
-            rows = rows.join(shorter.hint("shuffle_hash"), F.col("w") == F.col("key")).join(sizes.drop("s").hint("shuffle_hash"), "ctx")
-        else:
-            rows = rows.join(sizes.hint("shuffle_hash"), "ctx").withColumn("key", F.xxhash64("s", "w")).join(shorter.hint("shuffle_hash"), "key")
+        sizes = t.where("w = -1").select("ctx", "size")
+        key = F.col("w") if len(tree.frequent) == 1 else F.xxhash64("s", "w")
+        rows = t.where("w <> -1").withColumn("key", key).join(shorter.hint("shuffle_hash"), "key")
         rows = rows.select("ctx", "w", "c", "size", F.log((F.col("c") - discount) / F.col("size")).alias("own"), "suffix").repartition("ctx")
         # What is left to the others changes by what is kept, and a word may differ from that alone.
         first = rows.where(differs(F.col("suffix"))).groupBy("ctx").agg(*mass).select("ctx", share.alias("left"))
