@@ -285,7 +285,7 @@ def test_prompt_round_trip(spark):
     batches = batching.similar_batches(spark.createDataFrame([(k, k % 3) for k in range(20)], "pair_id long, label int"))
     prompts = prompting.batch_prompts(batches, full)
     first = prompts.orderBy("batch_id").first()
-    assert first.n == 16 and "Question 16:\nPOI A : Name: " in first.prompt and "The last line is for Question 16." in first.prompt
+    assert first.n == 16 and "Question 16:\nFirst record = Name: " in first.prompt and "The last line is for Question 16." in first.prompt
     answers = responding.answered(prompts)
     assert {r.status for r in answers.collect()} == {"ok"} and responding.flattened(batches, answers).count() == 20
     assert "Question" not in prompting.batch_prompts(batches, full, has_category=False).first().prompt.split("Category")[0][:20]
