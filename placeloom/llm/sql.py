@@ -1,5 +1,5 @@
 """DuckDB SQL of the text operators that SQL can express whole: op3 and op10. The others hold models, a tokenizer or hash
-functions that DuckDB lacks; tests/llm compares them with brute force."""
+functions that DuckDB lacks; how tests/llm checks each is in the README."""
 
 from .secret_scan import ADDED, KINDS
 
