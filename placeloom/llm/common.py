@@ -49,11 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark removes a query's shuffle files when the query ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, so a lost executor repeats no earlier stage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read again: its lineage ends there, so a lost executor repeats no earlier stage.
+
+    The shuffle files behind it are removed with the write's end, for nothing reads them again (a plan that does makes them anew);
+    the session's setting for that is put back as it was."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark).rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by stored, which no plan that is still to run may read."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/placeloom/" in folder:
+                at = hadoop(folder)
+                at.getFileSystem(conf).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, stored
+from .common import discard, documents, remainder, stored
 
 #: The end of a text, counted as a word of its own.
 END = b""
@@ -435,11 +435,13 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
         if len(tree.frequent) == depth or not contexts.limit(1).count() or not more.limit(1).count():
             break
         tree.branching.append(bitmap(more, "ctx"))
+        discard(t, level)
         shorter = both.select(F.col("g").alias("key"), "suffix")
     enough = F.col("c") >= max(2, part * total)
     held = every.where(enough).select("key", "v").toArrow()
     tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()
-    tree.values = every.where(~enough).select("key", "v")
+    tree.values = stored(every.where(~enough).select("key", "v"), "lm-tree")
+    discard(every)
     tree.rest = bitmap(tree.values, "key")
     return tree, counts
 
@@ -484,8 +486,10 @@ def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 
     rows = stored(words.mapInArrow(run, "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores", "zstd")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
-    more = rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also"))
+    # Each sum is written by itself, so that the shuffles of one are gone before the other's begin.
+    more = stored(rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also")), "lm-rare")
     far = rows.select("row", F.explode("far").alias("key")).join(tree.values, "key").groupBy("row").agg((F.sum("v") / F.log(F.lit(10.0))).alias("far_gain"))
+    far = stored(far, "lm-far")
     both = rows.drop("rare", "times", "far").join(more, "row", "left").join(far, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     return both.select("doc_id", "learn", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("far_gain", F.lit(0.0))).alias("score"))
@@ -499,4 +503,5 @@ def run(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """
     words = in_words(documents(docs).withColumn("learn", remainder(F.col("doc_id"), folds) != held))
     s = scored(words, *learnt(words.where("learn")))
+    discard(words)
     return s.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
