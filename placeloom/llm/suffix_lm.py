@@ -196,12 +196,13 @@ def marked(bits, g):
     return (bits[(u >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (u & np.uint64(63))) & np.uint64(1) > 0
 
 
-def walk(a, frequent: list, branching: list):
+def walk(a, frequent: list, branching: list, every: bool = False):
     """By length of context, from one word: for each place whose preceding words may be a counted context, the place, the hashes of
     the context, of its longest proper suffix (0: the root), of context and word, and of suffix and word. a: word hashes, -1 between texts.
 
     frequent[k], branching[k]: bitmaps of the sequences of k + 1 words that are frequent, and of the contexts of as many words that
     more than one word follows. Where a context's suffix is followed by one word alone, context and word are as frequent as the context.
+    every: those places too, where a longer context may be counted.
     """
     import numpy as np
 
@@ -216,7 +217,8 @@ def walk(a, frequent: list, branching: list):
         on[on] = a[at[on] + 1] >= 0
         at, ctx, suffix, live = at[on] + 1, h[on], suffix[on], live[on]
         g, own = chained(ctx, a[at]), last[at]
-        yield at[live], ctx[live], suffix[live], g[live], own[live]
+        shown = live | every
+        yield at[shown], ctx[shown], suffix[shown], g[shown], own[shown]
         if k + 1 == len(frequent) or k >= len(branching):
             return
         last[at] = g
@@ -226,6 +228,44 @@ def walk(a, frequent: list, branching: list):
         live = marked(branching[k], suffix)
 
 
+def compacted(words: DataFrame, frequent: list, branching: list) -> DataFrame:
+    """ids: of each row of words, the runs of words that contexts of the last length and longer ones can be in, each with the word that
+    follows, and a -1 behind each run; stored. A frequent context's parts are frequent, so its places stay whole."""
+    k = len(frequent)
+    shared = words.sparkSession.sparkContext.broadcast((frequent, branching))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, a, starts in runs(batches):
+            for at, *_ in walk(a, *shared.value, every=True):
+                pass
+            keep = np.zeros(len(a) + 1, bool)
+            for back in range(k + 1):
+                keep[at - back] = True
+            stays = keep.copy()
+            stays[1:] |= keep[:-1]
+            out = np.where(keep, np.append(a, -1), -1)[stays]
+            ends = np.cumsum(stays)[np.append(starts[1:] - 1, len(a))]
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(0, ends * 8).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+            ids = ids.filter(pa.array(np.diff(ends, prepend=0) > 0))
+            yield pa.RecordBatch.from_arrays([ids], ["ids"])
+
+    return stored(words.select("ids").mapInArrow(run, "ids binary"), "lm-runs", "zstd")
+
+
+def grouped(keys):
+    """(code of each key's group, distinct keys in order of their first place, those places, sizes)."""
+    import numpy as np
+    import pandas as pd
+
+    codes, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return codes, distinct, first, np.bincount(codes, minlength=len(distinct))
+
+
 def dealt(ctx, part, buckets: int):
     """The bucket of each context, or of one part of a context so frequent that its words are dealt apart."""
     import numpy as np
@@ -252,14 +292,17 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
 
         def flush():
             ctx, w, s, g, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            own, spot, size = np.unique(ctx, return_index=True, return_counts=True)
-            s = s[spot]
-            on = marked(known, suffix)
-            ctx, w = ctx[on], w[on]
-            _, first, c = np.unique(g[on], return_index=True, return_counts=True)
-            ctx, w = ctx[first], w[first]
-            at = dealt(ctx, np.where(found(heavy, ctx) >= 0, w & 63, 0), buckets)
-            order = np.lexsort((w, ctx, at))
+            of, own, spot, size = grouped(ctx)
+            by = np.argsort(own)
+            rank = np.empty(len(own), np.int64)
+            rank[by] = np.arange(len(own))
+            of, own, s, size = rank[of], own[by], s[spot[by]], size[by]
+            on = np.flatnonzero(marked(known, suffix))
+            _, _, first, c = grouped(g[on])
+            first = on[first]
+            of, ctx, w = of[first], ctx[first], w[first]
+            at = dealt(ctx, np.where((found(heavy, own) >= 0)[of], w & 63, 0), buckets)
+            order = np.argsort(at * len(own) + of)
             many = found(heavy, own) >= 0
             rows = np.concatenate([np.flatnonzero(~many), np.repeat(np.flatnonzero(many), 64)])
             to = dealt(own[rows], np.concatenate([np.zeros((~many).sum(), np.int64), np.tile(np.arange(64), many.sum())]), buckets)
@@ -392,7 +435,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     """
     import numpy as np
 
-    sc = words.sparkSession.sparkContext
+    sc, deep = words.sparkSession.sparkContext, None
     counts = stored(word_counts(words), "lm-words")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
@@ -407,6 +450,8 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     while len(tree.frequent) < depth:
         tree.frequent.append(bitmap(contexts, "g"))
         heavy = np.sort(contexts.where(F.col("c") >= max(2, total / 2000)).toArrow().column("g").to_numpy())
+        if len(tree.frequent) == 3:  # few words are in a context so long, and all longer ones are there too
+            deep = words = compacted(words, tree.frequent, tree.branching)
         shared = sc.broadcast((tree.frequent, tree.branching, bitmap(shorter, "key"), heavy))
         t = stored(transitions(words, shared, least, often), "lm-counts", "zstd")
         shared.destroy()
@@ -441,7 +486,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     held = every.where(enough).select("key", "v").toArrow()
     tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()
     tree.values = stored(every.where(~enough).select("key", "v"), "lm-tree")
-    discard(every)
+    discard(every, *([deep] if deep is not None else []))
     tree.rest = bitmap(tree.values, "key")
     return tree, counts
 
