@@ -15,6 +15,7 @@ from placeloom.operators.components import settled
 from . import inputs
 from .inputs import sql_chars, sql_clean, sql_haversine, sql_rounded, table
 from .registry import query
+from .scalar_queries import sql_likenesses
 
 
 def _tree_sql(city: str, most: int = 2) -> str:
@@ -135,13 +136,17 @@ def _pair_table(spark, sf_dir):
 _PAIRS = _candidates_sql("nj") + ", pairs AS (SELECT row_number() OVER (ORDER BY l_id, r_id) - 1 AS pair_id, l_id, r_id FROM candidates)"
 
 
-@query("pair_features")
+_LIKE = _PAIRS + f", full_pairs AS (SELECT pair_id, {', '.join(f'{t}.{c} AS {p}_{c}' for t, p in (('a', 'l'), ('b', 'r')) for c in ('name', 'category', 'address'))}, {sql_haversine('a.longitude', 'a.latitude', 'b.longitude', 'b.latitude')} AS metres FROM pairs JOIN pois a ON a.belong = 0 AND a.id = l_id JOIN pois b ON b.belong = 1 AND b.id = r_id), {sql_likenesses('full_pairs', 'pair_id')}"
+_SCALED = lambda c: f"round(({c} - quantile_cont({c}, 0.5) OVER ()) / CASE WHEN quantile_cont({c}, 0.75) OVER () = quantile_cont({c}, 0.25) OVER () THEN 1 ELSE quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER () END, 6) AS {c}"
+
+
+@query("pair_features", _LIKE + f", f AS (SELECT pair_id, name_sim, category_sim, address_sim, -metres AS dist_sim FROM likenesses JOIN full_pairs USING (pair_id)) SELECT pair_id, {', '.join(map(_SCALED, ('name_sim', 'category_sim', 'address_sim', 'dist_sim')))} FROM f")
 def pair_features(spark, sf_dir):
     f = features.fused(features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir)))
     return f.select("pair_id", *[F.round(c, 6).alias(c) for c in f.columns if c != "pair_id"])
 
 
-@query("pair_features_raw")
+@query("pair_features_raw", _LIKE + " SELECT pair_id, round(name_sim, 6) AS name_sim, round(category_sim, 6) AS category_sim, round(address_sim, 6) AS address_sim FROM likenesses")
 def pair_features_raw(spark, sf_dir):
     f = features.extract(features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir)), "properties")
     return f.select("pair_id", *[F.round(c, 6).alias(c) for c in f.columns if c != "pair_id"])

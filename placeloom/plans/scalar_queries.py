@@ -99,7 +99,13 @@ def process_alphanumeric(spark, sf_dir):
 
 
 _CATEGORY_IN = "category || CASE k % 4 WHEN 0 THEN '/其他美食' WHEN 1 THEN '、亲子 更多亲子服务' WHEN 2 THEN ' 豪华型' ELSE '干锅＆香锅+' END"
-_CATEGORY_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace({_CATEGORY_IN}, '{text.CATEGORY_BREAKS}', ' ', 'g'), '{'|'.join(text.CATEGORY_STOPWORDS)}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _category_sql(s: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({s}, '{text.CATEGORY_BREAKS}', ' ', 'g'), '{'|'.join(text.CATEGORY_STOPWORDS)}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_CATEGORY_SQL = _category_sql(_CATEGORY_IN)
 
 
 def _category():
@@ -157,7 +163,20 @@ def lcs(spark, sf_dir):
     return pairs(spark, sf_dir).select(F.col("l_name").alias("a"), F.col("r_name").alias("b")).distinct().select("a", "b", likeness.lcs(F.col("a"), F.col("b")).alias("lcs"))
 
 
-@query("attribute_likeness")
+def sql_likenesses(source: str, key: str) -> str:
+    """CTEs over source (key columns, l_ and r_ name, category, address), the last of them likenesses (key, name_sim, category_sim, address_sim)."""
+    sides = lambda f: ", ".join(f(s) for s in "lr")
+    ordered = _ordered_sql(sql_tokens("l_plain"), sql_tokens("r_plain"))
+    return f"""ready AS (SELECT {key}, {sides(lambda s: f"coalesce({s}_name, '') AS {s}_name, {sql_clean(f"coalesce({s}_name, '')")} AS {s}_short, coalesce({s}_category, '') AS {s}_category, {_category_sql(f"coalesce({s}_category, '')")} AS {s}_plain, {_address_sql(sql_clean(f"coalesce({s}_address, 'nan')"))} AS {s}_way")} FROM {source}),
+each AS (SELECT {key}, 'n' AS kind, l_name = '' AS no_a, r_name = '' AS no_b, l_short AS a, r_short AS b, 0::double AS other FROM ready
+ UNION ALL SELECT {key}, 'c', l_category = '', r_category = '', replace(l_plain, ' ', ''), replace(r_plain, ' ', ''), {ordered} FROM ready
+ UNION ALL SELECT {key}, 'a', l_way = '', r_way = '', l_way, r_way, 0 FROM ready),
+unlike AS (SELECT a, b, {_LCS} AS k FROM (SELECT DISTINCT a, b FROM each) WHERE NOT (list_has_all({sql_chars("a")}, {sql_chars("b")}) OR list_has_all({sql_chars("b")}, {sql_chars("a")}))),
+judged_each AS (SELECT {key}, kind, CASE WHEN no_a AND no_b THEN 1 WHEN no_a OR no_b THEN 0 WHEN k IS NULL THEN 1 ELSE greatest(other, jaro_winkler_similarity(a, b), jaro_winkler_similarity(b, a), 2 * k / (length(a) + length(b))::double, k / greatest(length(a), length(b))::double) END AS sim FROM each LEFT JOIN unlike USING (a, b)),
+likenesses AS (SELECT {key}, max(sim) FILTER (kind = 'n') AS name_sim, max(sim) FILTER (kind = 'c') AS category_sim, max(sim) FILTER (kind = 'a') AS address_sim FROM judged_each GROUP BY {key})"""
+
+
+@query("attribute_likeness", PAIRS + f", {sql_likenesses('pairs', 'l_id, r_id')} SELECT l_id, r_id, round(name_sim, 6) AS name_sim, round(category_sim, 6) AS category_sim, round(address_sim, 6) AS address_sim FROM likenesses")
 def attribute_likeness(spark, sf_dir):
     p = pairs(spark, sf_dir)
     return p.select("l_id", "r_id", F.round(likeness.name_likeness(F.col("l_name"), F.col("r_name")), 6).alias("name_sim"), F.round(likeness.category_likeness(F.col("l_category"), F.col("r_category")), 6).alias("category_sim"), F.round(likeness.address_likeness(F.col("l_address"), F.col("r_address")), 6).alias("address_sim"))
