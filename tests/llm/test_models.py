@@ -240,6 +240,35 @@ def test_lm_equals_brute_force(spark):
     assert max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-6
 
 
+def test_compacted_words_keep_all_long_contexts(spark):
+    rng = random.Random(4)
+    verse = prose(rng, 12).split()
+    texts = [" ".join(" ".join([prose(rng, rng.randrange(1, 9)), *verse[rng.randrange(4) : rng.randrange(6, 12)]]) for _ in range(3)) for _ in range(120)] + ["", "one"]
+    a, _ = suffix_lm.lined_up(pa.array(texts, pa.large_string()))
+
+    def bits(keys):
+        out = np.zeros(1 << 14, np.uint64)
+        for k in np.asarray(keys, np.int64).view(np.uint64).tolist():
+            out[k >> 6 & (1 << 14) - 1] |= np.uint64(1 << (k & 63))
+        return out
+
+    often = lambda keys: [k for k, c in Counter(keys.tolist()).items() if c >= 20]
+    frequent, branching = [bits(often(a[a >= 0]))], []
+    for _ in range(2):
+        at, ctx, _, g, _ = list(suffix_lm.walk(a, frequent, branching))[-1]
+        after = defaultdict(set)
+        for c, w in zip(ctx.tolist(), a[at].tolist(), strict=True):
+            after[c].add(w)
+        frequent.append(bits([x for x in often(g) if x not in g[a[at] == suffix_lm.word_hash(b"")]]))
+        branching.append(bits([c for c, w in after.items() if len(w) > 1]))
+    words = suffix_lm.in_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).withColumn("learn", F.lit(True)))
+    kept = [np.frombuffer(r.ids, np.int64) for r in suffix_lm.compacted(words, frequent, branching).collect()]
+    short = np.concatenate([np.append(-1, x) for x in kept])
+    seen = lambda x: Counter(zip(*(y.tolist() for y in (lambda at, ctx, s, g, own: (ctx, x[at], s, g, own))(*list(suffix_lm.walk(x, frequent, branching))[-1])), strict=True))
+    assert seen(short) == seen(a) and len(seen(a)) > 5
+    assert 0 < (short >= 0).sum() < (a >= 0).sum()
+
+
 def test_words_are_split_at_ascii_blanks_alone():
     texts = ["", "  a\tB \x0b\x0cb\r\n ", "\u00a0x\u3000y z\x1cw\x85", "\n", "É é AÉ"]
     a, starts = suffix_lm.lined_up(pa.array(texts, pa.large_string()))
