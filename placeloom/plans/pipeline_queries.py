@@ -15,7 +15,7 @@ from placeloom.operators.components import settled
 from . import inputs
 from .inputs import sql_chars, sql_clean, sql_haversine, sql_rounded, table
 from .registry import query
-from .scalar_queries import sql_likenesses
+from .scalar_queries import sql_encoded, sql_likenesses, sql_serialized
 
 
 def _tree_sql(city: str, most: int = 2) -> str:
@@ -136,7 +136,8 @@ def _pair_table(spark, sf_dir):
 _PAIRS = _candidates_sql("nj") + ", pairs AS (SELECT row_number() OVER (ORDER BY l_id, r_id) - 1 AS pair_id, l_id, r_id FROM candidates)"
 
 
-_LIKE = _PAIRS + f", full_pairs AS (SELECT pair_id, {', '.join(f'{t}.{c} AS {p}_{c}' for t, p in (('a', 'l'), ('b', 'r')) for c in ('name', 'category', 'address'))}, {sql_haversine('a.longitude', 'a.latitude', 'b.longitude', 'b.latitude')} AS metres FROM pairs JOIN pois a ON a.belong = 0 AND a.id = l_id JOIN pois b ON b.belong = 1 AND b.id = r_id), {sql_likenesses('full_pairs', 'pair_id')}"
+_FULL = _PAIRS + f", full_pairs AS (SELECT pair_id, {', '.join(f'{t}.{c} AS {p}_{c}' for t, p in (('a', 'l'), ('b', 'r')) for c in ('name', 'category', 'address'))}, {sql_haversine('a.longitude', 'a.latitude', 'b.longitude', 'b.latitude')} AS metres FROM pairs JOIN pois a ON a.belong = 0 AND a.id = l_id JOIN pois b ON b.belong = 1 AND b.id = r_id)"
+_LIKE = f"{_FULL}, {sql_likenesses('full_pairs', 'pair_id')}"
 _SCALED = lambda c: f"round(({c} - quantile_cont({c}, 0.5) OVER ()) / CASE WHEN quantile_cont({c}, 0.75) OVER () = quantile_cont({c}, 0.25) OVER () THEN 1 ELSE quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER () END, 6) AS {c}"
 
 
@@ -152,13 +153,16 @@ def pair_features_raw(spark, sf_dir):
     return f.select("pair_id", *[F.round(c, 6).alias(c) for c in f.columns if c != "pair_id"])
 
 
-@query("pair_embeddings")
+@query("pair_embeddings", _FULL + f", said AS (SELECT pair_id AS key, {sql_serialized('l')} || ' [SEP] ' || {sql_serialized('r')} AS s FROM full_pairs), {sql_encoded('said')} SELECT p.key AS pair_id, string_agg(coalesce(round(v, 6), 0)::double::varchar, ',' ORDER BY n) AS vec FROM (SELECT key, unnest(range(64)) AS n FROM said) p LEFT JOIN coded c ON c.key = p.key AND c.i = p.n GROUP BY p.key")
 def pair_embeddings(spark, sf_dir):
     f = features.extract(features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir)), "semantic")
     return f.select("pair_id", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
 
 
-@query("pair_features_encoded")
+_COSINE = "greatest(-1, least(1, coalesce(dots.{0}, 0)))"
+
+
+@query("pair_features_encoded", _FULL + ", said AS (" + " UNION ALL ".join(f"SELECT pair_id::varchar || '{p}{c}' AS key, {p}_{c} AS s FROM full_pairs" for p in "lr" for c in ("name", "category", "address")) + f"), {sql_encoded('said')}, dots AS (SELECT pair_id, " + ", ".join(f"(SELECT sum(x.v * y.v) FROM coded x JOIN coded y USING (i) WHERE x.key = pair_id::varchar || 'l{c}' AND y.key = pair_id::varchar || 'r{c}') AS {c}" for c in ("name", "category", "address")) + " FROM full_pairs) SELECT pair_id, " + ", ".join(f"round({_COSINE.format(c)}, 6)::double AS {c}_sim" for c in ("name", "category", "address")) + " FROM dots")
 def pair_features_encoded(spark, sf_dir):
     f = features.extract(features.joined(_pair_table(spark, sf_dir), inputs.pois(spark, sf_dir)), "properties_encoded")
     return f.select("pair_id", *[F.round(c, 6).alias(c) for c in f.columns if c != "pair_id"])

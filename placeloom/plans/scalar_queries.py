@@ -185,6 +185,25 @@ def attribute_likeness(spark, sf_dir):
 _SERIAL = f"'[COL] name [VAL] ' || {sql_clean('name')} || ' [COL] category [VAL] ' || replace({_CATEGORY_SQL}, ' ', '/') || ' [COL] address [VAL] ' || " + _address_sql(sql_clean(f"lower(regexp_replace({_ADDRESS_IN}, '([A-Za-z])0+([1-9])', '\\1\\2', 'g'))"))
 
 
+def sql_serialized(side: str) -> str:
+    """The serialised record of one side (l or r) of a pair."""
+    n, c, a = (f"coalesce({side}_{x}, 'nan')" for x in ("name", "category", "address"))
+    way = _address_sql(sql_clean(f"lower(regexp_replace({a}, '([A-Za-z])0+([1-9])', '\\1\\2', 'g'))"))
+    return f"('[COL] name [VAL] ' || {sql_clean(n)} || ' [COL] category [VAL] ' || replace({_category_sql(c)}, ' ', '/') || ' [COL] address [VAL] ' || {way})"
+
+
+#: CRC-32 of an ASCII word, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(w) + 1), lambda i: ascii(w[i])::bigint)), lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda i: i)), lambda d, i: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END)), 4294967295)"
+
+
+def sql_encoded(source: str) -> str:
+    """CTEs over source (key, s), the last of them coded (key, i, v): what is not 0 of the default encoder's vector of s."""
+    return f"""worded AS (SELECT key, unnest({sql_tokens("s")}) AS w FROM {source}),
+numbered_words AS (SELECT w, {_CRC} AS h FROM (SELECT DISTINCT w FROM worded)),
+signed AS (SELECT key, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::double AS v FROM worded JOIN numbered_words USING (w) GROUP BY ALL),
+coded AS (SELECT key, i, v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS v FROM signed WHERE v <> 0)"""
+
+
 @query("serialize_entity", CTE + f"SELECT belong, id, {_SERIAL} AS s FROM pois")
 def serialize_entity(spark, sf_dir):
     return inputs.pois(spark, sf_dir).select("belong", "id", text.serialized(F.col("name"), _category(), _address()).alias("s"))
