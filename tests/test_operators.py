@@ -104,6 +104,16 @@ def test_robust_scale(spark):
     assert [r.x for r in features.robust_scaled(df, ["x"]).orderBy("i").collect()] == [-1, -0.5, 0, 0.5, 48.5]
     flat = spark.createDataFrame([(1, 5.0), (2, 5.0)], "i int, x double")
     assert {r.x for r in features.robust_scaled(flat, ["x"]).collect()} == {0.0}
+    assert features.robust_scaled(flat.where("i > 2"), ["x"]).count() == 0
+
+
+def test_quartiles_are_exact(spark):
+    rng = random.Random(3)
+    data = [(rng.gauss(0, 5), rng.choice([None, -1.0, 0.0, 0.0, 2.0]), 7.0 if i % 3 else None) for i in range(501)]
+    got = features.quartiles(spark.createDataFrame(data, "a double, hot double, one double"), ["a", "hot", "one"])
+    for i, q in enumerate(got):
+        want = np.quantile([r[i] for r in data if r[i] is not None], [0.25, 0.5, 0.75])
+        assert max(abs(x - y) for x, y in zip(q, want, strict=True)) < 1e-12
 
 
 def claims_by_loop(pois, aois, eps, least):
