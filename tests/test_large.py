@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom.config import CITIES
 from placeloom.functions import text
-from placeloom.operators import areas, candidates, valued
+from placeloom.operators import areas, candidates, features, valued
 from placeloom.plans import registry
 
 from .conftest import SF
@@ -71,3 +71,39 @@ def test_candidates_of_hand_made_blocks(spark, monkeypatch, most):
     assert {(r.l_id, r.r_id) for r in got.collect() if r.r_id[0] != "o" or r.r_id == "q"} == {("l", "q"), ("l", "r"), ("drawn", "q"), ("drawn", "r")}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"(Join \[|hashpartitioning\()[^\])]*\b([lr]_id|[ab]_id)#", plan)
+
+
+def _pairs(spark, n=400):
+    rows = [(i, str(i), str(i), f"cafe {i % 3}", f"house {i % 4}" if i % 5 else None, "food", "food/drink", None if i % 7 == 0 else f"road {i % 2}", "way 1", 118.8, 31.9, 118.8, 31.9) for i in range(n)]
+    return spark.createDataFrame(rows, "pair_id long, l_id string, r_id string, l_name string, r_name string, l_category string, r_category string, l_address string, r_address string, l_longitude double, l_latitude double, r_longitude double, r_latitude double")
+
+
+def test_equal_values_are_measured_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(a, b):
+        seen.add(1)
+        return float(len(a or "") - len(b or ""))
+
+    got = features.by_values(_pairs(spark), "l_name", "r_name", measure, "m").collect()
+    assert len(got) == 400 and seen.value == 15 and all(r.m == len(r.l_name) - len(r.r_name or "") for r in got)
+
+
+def test_equal_texts_are_encoded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return features.hashed_encoder(texts)
+
+    got = {r.pair_id: r for r in features.encoded_properties(_pairs(spark), encoder).collect()}
+    assert len(got) == 400 and seen.value == 8 + 2 + 4
+    for i, a, b in ((1, "cafe 1", "house 1"), (5, "cafe 2", ""), (7, "cafe 1", "house 3")):
+        x, y = features.hashed_encoder([a, b])
+        assert abs(got[i].name_sim - sum(p * q for p, q in zip(x, y, strict=True))) < 1e-12
+
+
+def test_prompts_are_made_in_one_pass(spark):
+    plan = registry.queries()["render_prompt"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [batch_id") == 1
