@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeloom.config import CITIES
-from placeloom.functions import text
-from placeloom.operators import areas, candidates, features, valued
+from placeloom.functions import text, vectors
+from placeloom.operators import areas, candidates, clustering, features, valued
 from placeloom.plans import registry
 
 from .conftest import SF
@@ -107,3 +107,53 @@ def test_equal_texts_are_encoded_once(spark):
 def test_prompts_are_made_in_one_pass(spark):
     plan = registry.queries()["render_prompt"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [batch_id") == 1
+
+
+def _vectors(n, seed=3):
+    import numpy as np
+
+    x = np.random.default_rng(seed).normal(size=(n, 5)).round(1)
+    x[::4] = x[0]  # copies
+    return x
+
+
+def test_nearest_rows_in_small_matrices(monkeypatch):
+    """Many copies tie, by `near`; no matrix is larger than asked for."""
+    import numpy as np
+    import pandas as pd
+
+    x, q = _vectors(300), _vectors(90, 4)
+    q[:9] = x[0]
+    near, sizes, real = np.random.default_rng(1).permutation(300), [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *k, **o: sizes.append(a.size) or real(a, *k, **o))
+    best = None
+    for k in range(0, 300, 50):
+        rows = pd.DataFrame({"near": near[k : k + 50], "label": near[k : k + 50] % 7, "v": list(x[k : k + 50])})
+        best = clustering.nearest_rows(rows, q, 5, best, width=20)
+    assert max(sizes) <= 50 * 20
+    got = {i: sorted(n for a, n in zip(best[0].tolist(), best[1].tolist(), strict=True) if a == i) for i in range(90)}
+    d = ((x[:, None, :] - q[None, :, :]) ** 2).sum(2).round(12)
+    assert got == {i: sorted(sorted(zip(d[:, i].tolist(), near.tolist(), strict=True))[k][1] for k in range(5)) for i in range(90)}
+
+
+def test_cosines_in_blocks_equal_those_of_pairs(spark):
+    rows = [(i % 3 if i % 50 else None, i, None if i == 7 else [0.0] * 5 if i == 8 else [float(t) for t in v]) for i, v in enumerate(_vectors(200))]
+    e = spark.createDataFrame(rows, "by int, i long, v array<float>")
+    got = vectors.pair_cosines(e, size=20)
+    assert "mapInPandas" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) or "FlatMapGroupsInPandas" in plan
+    b = e.where("v is not null").withColumnsRenamed({"i": "j", "v": "w"})
+    want = e.where("v is not null").join(b, "by").where("i < j").select("i", "j", vectors.cosine(F.col("v"), F.col("w")).alias("cosine"))
+    x, y = ({(r.i, r.j): r.cosine for r in d.collect()} for d in (got, want))
+    assert x.keys() == y.keys() and len(x) > 6000 and max(abs(x[k] - y[k]) for k in x) < 1e-12
+
+
+@pytest.mark.parametrize("percent", [0, 5, 50, 100])
+def test_percentile_by_counting(spark, percent):
+    import numpy as np
+
+    x = _vectors(150)
+    e = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))[np.triu_indices(len(x), 1)]
+    df = clustering.distance_percentile(e, "v", percent, size=40)
+    assert abs(df.first().eps - np.percentile(d, percent)) < 1e-7
+    assert clustering.distance_percentile(e.where("id = 900"), "v", percent).first().eps is None
