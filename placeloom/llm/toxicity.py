@@ -9,6 +9,8 @@ seen are judged by their parts. A text is scored by the difference of its two lo
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +33,15 @@ def expressions(vocabulary: list[bytes], order: int):
     begin mark), and the word's place."""
     import numpy as np
 
-    b = np.frombuffer(b"".join(BEGIN + w + END for w in vocabulary), np.uint8).astype(np.uint64)
+    b = np.frombuffer(b"".join(BEGIN + w + END for w in vocabulary), np.uint8)
     begin = b == BEGIN[0]
-    at = np.flatnonzero(begin)
-    place = np.arange(len(b)) - np.repeat(at, np.diff(np.append(at, len(b))))
+    at = np.flatnonzero(begin).astype(np.int32)
+    place = np.arange(len(b), dtype=np.int32) - np.repeat(at, np.diff(np.append(at, len(b))))
     key = np.zeros(len(b), np.uint64)
     for k in range(order - 1, -1, -1):
         key <<= np.uint64(8)
         key[k:] |= np.where(place[k:] >= k, b[: len(b) - k], 0)
-    return key[~begin], (np.cumsum(begin) - 1)[~begin]
+    return key[~begin], (np.cumsum(begin, dtype=np.int32) - 1)[~begin]
 
 
 def discount(counts) -> float:
@@ -119,7 +121,8 @@ def told_apart(vocabulary: list[bytes], order: int):
     import numpy as np
 
     key, word = expressions(vocabulary, order)
-    return *np.unique(key, return_inverse=True), word
+    every, back = np.unique(key, return_inverse=True)
+    return every, back.astype(np.int32), word
 
 
 def build(found, counts, order: int) -> Model:
@@ -164,8 +167,21 @@ def logistic(x, y, weight, rounds: int = 100, decay: float = 1e-6):
     return w
 
 
-def fitted(rows: list[tuple[int, list[bytes], list[int]]], parts: dict[int, int], folds: int = 4, weight_of_toxic: float = 3.0) -> Model:
+class Packed:
+    """Words kept in one piece of bytes, parted by blanks, and split each time they are read."""
+
+    __slots__ = ("packed",)
+
+    def __init__(self, packed: bytes):
+        self.packed = packed
+
+    def __iter__(self):
+        return iter(self.packed.split())
+
+
+def fitted(rows: list[tuple[int, Iterable[bytes], Iterable[int]]], parts: dict[int, int], folds: int = 4, weight_of_toxic: float = 3.0) -> Model:
     """A calibrated model of rows (label, distinct words, how often each occurs); parts: how many labels of each kind there are in all.
+    Words become numbers row by row, and one order's expressions are held at a time.
 
     In four folds, three quarters give counts and the last is scored; on those scores the calibration is fitted, with the classes
     weighted to their parts and a toxic text missed counting as weight_of_toxic ordinary ones lost, and the choice with the lowest
@@ -173,23 +189,33 @@ def fitted(rows: list[tuple[int, list[bytes], list[int]]], parts: dict[int, int]
     import numpy as np
 
     vocabulary: dict[bytes, int] = {}
-    flat = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for _, d, _ in rows for w in d), np.int64)
-    y, names = np.array([r[0] for r in rows], np.int64), list(vocabulary)
+    y, size, flat, times = np.array([r[0] for r in rows], np.int64), np.zeros(len(rows), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     if set(y.tolist()) != {0, 1}:
         return Model(1, *[np.zeros(0, np.uint64), np.zeros(0)] * 2)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    times = np.fromiter((n for r in rows for n in r[2]), float, len(flat))
-    symbols = np.maximum(np.bincount(doc, times * (1 + np.array([len(w) for w in names]))[flat], len(rows)), 1)
-    found = {order: told_apart(names, order) for order in {c[0] for c in CHOICES}}
+    for i, (_, own, n) in enumerate(rows):
+        flat.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int32))
+        size[i] = len(flat[-1])
+        times.append(np.asarray(n, np.int32))
+    names, flat, times = list(vocabulary), np.concatenate(flat), np.concatenate(times)
+    del vocabulary
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    symbols = np.maximum(np.bincount(doc, times * (1 + np.fromiter(map(len, names), np.int64, len(names)))[flat], len(rows)), 1)
+    found: dict = {}
+
+    def told(order):
+        if order not in found:
+            found.clear()
+            found[order] = told_apart(names, order)
+        return found[order]
 
     def model(on, order):
         real = on[doc]
-        return build(found[order], [np.bincount(flat[real & (y[doc] == c)], minlength=len(names)) for c in (1, 0)], order)
+        return build(told(order), [np.bincount(flat[real & (y[doc] == c)], minlength=len(names)) for c in (1, 0)], order)
 
     def tried(order: int, ratio: int):
         taken = (y == 1) | ((y == 0) & (np.cumsum(y == 0) <= ratio * (y == 1).sum()))
         x, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
-        every, back, word = found[order]
+        every, back, word = told(order)
         for k in range(folds):
             by_word = np.bincount(word, model(taken & (fold != k), order).of_expressions(every)[back], len(names))
             x = np.where(fold == k, np.bincount(doc, by_word[flat] * times, len(rows)) / symbols, x)
@@ -211,8 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int
     ids and so many that their texts hold at most most_bytes; texts that repeat count once.
 
     Labels that repeat an id count once, as the largest of them; null labels and ids teach nothing. Words are split, told apart and
-    counted on the executors; the driver gets the distinct words of the sample's texts, which the two bounds hold.
+    counted on the executors; the driver gets the distinct words of the sample's texts, which the two bounds hold, packed in bytes.
     """
+    import numpy as np
+
     own = pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     own = own.where((remainder(F.col("doc_id"), folds) != 0) & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     parts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -240,10 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int
 
     got: dict = {}
     for r in taken.select("y", "h", "text").mapInArrow(run, "y int, h long, words binary, times array<int>").toLocalIterator():
-        key = (bytes(r.words), tuple(r.times))
+        key = (bytes(r.words), np.array(r.times, ">i4").tobytes())
         if key not in got or (r.h, -r.y) < (got[key][1], -got[key][0]):
             got[key] = (r.y, r.h)
-    return fitted([(y, w.split(), list(n)) for (w, n), (y, _) in sorted(got.items(), key=lambda x: (x[1][1], x[0]))], parts)
+    return fitted([(y, Packed(w), np.frombuffer(n, ">i4")) for (w, n), (y, _) in sorted(got.items(), key=lambda x: (x[1][1], x[0]))], parts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

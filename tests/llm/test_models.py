@@ -300,3 +300,22 @@ def test_lm_grows_with_the_corpus(spark):
     pair = spark.createDataFrame([(i, "left right " * 3) for i in range(10)] + [(10 + i, "x " * 300_000) for i in range(10)], "doc_id long, text string")
     got = {r.doc_id: r for r in suffix_lm.scored(encoded(pair), *suffix_lm.learnt(encoded(pair))).collect()}
     assert got[0].score > got[0].base_score + 5
+
+
+def test_toxicity_is_fitted_in_little_memory(monkeypatch):
+    """pipeline: the driver holds words as numbers and the expressions of one order at a time."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghijklmnop", k=9)).encode() for _ in range(40_000)]
+    rows = []
+    for i in range(600):
+        own = rng.sample(names, 300)
+        rows.append((i % 2, toxicity.Packed(b" ".join(own)) if i % 3 else own, [1] * 300))
+    held, real = [], toxicity.told_apart
+    monkeypatch.setattr(toxicity, "told_apart", lambda *a: held.append(a[1]) or real(*a))
+    tracemalloc.start()
+    m = toxicity.fitted(rows, {0: 300, 1: 300})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.order in held and len(m.keys) and peak < 135 * sum(len(w) + 1 for w in {w for r in rows for w in r[1]})
