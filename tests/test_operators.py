@@ -137,6 +137,18 @@ def claims_by_loop(pois, aois, eps, least):
     return taken
 
 
+def test_points_with_few_neighbours_tie_no_claims(spark, monkeypatch):
+    p = [(f"{i:03d}", 118.80 + i * 0.0002, 31.93) for i in range(40)]  # one row of points, each with two neighbours
+    pois = spark.createDataFrame([(i, 0, x, y) for i, x, y in p], "id string, belong int, longitude double, latitude double")
+    a = [("a0", 118.80, 31.93), ("a1", 118.8062, 31.93)]
+    aois = spark.createDataFrame([(i, x, y, k) for k, (i, x, y) in enumerate(a)], "id string, longitude double, latitude double, aoi_ord long")
+    tied, real = [], areas.components
+    monkeypatch.setattr(areas, "components", lambda nodes, edges: tied.append(edges.count()) or real(nodes, edges))
+    got = {r.poi_id: r.aoi_id for r in areas.claims(pois, aois, 25.0, 3).collect()}
+    assert got == claims_by_loop(p, a, 25.0, 3)
+    assert tied == [5]  # the areas' own points only: two and three
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_claims_equal_the_loop(spark, seed):
     rng = random.Random(seed)
