@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, remainder, stored
+from .common import discard, documents, remainder, stored, tidy
 
 #: The end of a text, counted as a word of its own.
 END = b""
@@ -126,10 +126,10 @@ def in_words(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + len(texts)), pa.int64()), part.column("learn"), ids], ["doc_id", "row", "learn", "ids"])
             row += len(texts)
 
-    return stored(docs.select("doc_id", "text", "learn").mapInArrow(run, "doc_id long, row long, learn boolean, ids binary"), "lm-ids", "zstd")
+    return stored(docs.select("doc_id", "text", "learn").mapInArrow(tidy(run), "doc_id long, row long, learn boolean, ids binary"), "lm-ids", "zstd")
 
 
-def runs(batches, most: int = 12_000_000):
+def runs(batches, most: int = 2_000_000):
     """(batch, hashes with a -1 before each text, where each text starts): runs of rows of in_words with about `most` bytes."""
     import numpy as np
     import pyarrow as pa
@@ -174,7 +174,7 @@ def word_counts(words: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return words.select("ids").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return words.select("ids").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def bitmap(keys: DataFrame, column: str):
@@ -252,18 +252,7 @@ def compacted(words: DataFrame, frequent: list, branching: list) -> DataFrame:
             ids = ids.filter(pa.array(np.diff(ends, prepend=0) > 0))
             yield pa.RecordBatch.from_arrays([ids], ["ids"])
 
-    return stored(words.select("ids").mapInArrow(run, "ids binary"), "lm-runs", "zstd")
-
-
-def grouped(keys):
-    """(code of each key's group, distinct keys in order of their first place, those places, sizes)."""
-    import numpy as np
-    import pandas as pd
-
-    codes, distinct = pd.factorize(keys)
-    first = np.empty(len(distinct), np.int64)
-    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
-    return codes, distinct, first, np.bincount(codes, minlength=len(distinct))
+    return stored(words.select("ids").mapInArrow(tidy(run), "ids binary"), "lm-runs", "zstd")
 
 
 def dealt(ctx, part, buckets: int):
@@ -292,28 +281,39 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
 
         def flush():
             ctx, w, s, g, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            of, own, spot, size = grouped(ctx)
-            by = np.argsort(own)
-            rank = np.empty(len(own), np.int64)
-            rank[by] = np.arange(len(own))
-            of, own, s, size = rank[of], own[by], s[spot[by]], size[by]
+            held.clear()
+            # Each sequence once, in the order of contexts; sorting needs far less memory than hashing, and the parts go when they are used.
+            order = np.argsort(g)
+            g = g[order]
+            new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            first, c = order[new], np.diff(np.append(new, len(g)))
+            del g, order, new
+            by = np.argsort(ctx[first])
+            c, first = c[by], first[by]
+            ctx, w, s, suffix = ctx[first], w[first], s[first], suffix[first]
+            del by, first
+            head = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+            own, s, size = ctx[head], s[head], np.add.reduceat(c, head)
             on = np.flatnonzero(marked(known, suffix))
-            _, _, first, c = grouped(g[on])
-            first = on[first]
-            of, ctx, w = of[first], ctx[first], w[first]
-            at = dealt(ctx, np.where((found(heavy, own) >= 0)[of], w & 63, 0), buckets)
-            order = np.argsort(at * len(own) + of)
+            of = np.searchsorted(head, on, "right") - 1
+            ctx, w, c = ctx[on], w[on], c[on]
+            del suffix, on
             many = found(heavy, own) >= 0
+            to = dealt(own, np.zeros(len(own), np.int64), buckets)
+            at = to[of]
+            apart = np.flatnonzero(many[of])
+            at[apart] = dealt(ctx[apart], w[apart] & 63, buckets)
+            order = np.argsort(at.astype(np.uint16) if buckets < 2**16 else at, kind="stable")
             rows = np.concatenate([np.flatnonzero(~many), np.repeat(np.flatnonzero(many), 64)])
-            to = dealt(own[rows], np.concatenate([np.zeros((~many).sum(), np.int64), np.tile(np.arange(64), many.sum())]), buckets)
-            to, rows = np.unique(np.stack([to, rows]), axis=1) if len(rows) else (to, rows)
+            to = np.concatenate([to[~many], dealt(own[rows[(~many).sum() :]], np.tile(np.arange(64), many.sum()), buckets)])
+            to, rows = np.divmod(np.unique(to * len(own) + rows), len(own))
             edges, heads = np.searchsorted(at[order], np.arange(buckets + 1)), np.searchsorted(to, np.arange(buckets + 1))
             out = [[], []]
             for k in np.unique(to):
                 i, j = order[edges[k] : edges[k + 1]], rows[heads[k] : heads[k + 1]]
                 x = ctx[i]
                 parts = [np.array([len(i), len(j)]), np.diff(x, prepend=0), w[i], np.diff(own[j], prepend=0), s[j], c[i].astype(np.uint32), size[j].astype(np.uint32)]
-                out[0].append(k)
+                out[0].append(int(k))
                 out[1].append(b"".join(p.tobytes() for p in parts))
                 if len(out[0]) == 64:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "counts"])
@@ -329,7 +329,7 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
                 n += len(at)
             if n >= 2_500_000:
                 yield from flush()
-                held, n = [], 0
+                n = 0
         if held:
             yield from flush()
 
@@ -371,8 +371,8 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
         if held:
             yield finished(now, held)
 
-    t = words.select("ids").mapInArrow(counted, "bucket long, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-    return t.mapInArrow(added, "ctx long, w long, c long, size long, s long")
+    t = words.select("ids").mapInArrow(tidy(counted), "bucket long, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    return t.mapInArrow(tidy(added), "ctx long, w long, c long, size long, s long")
 
 
 def found(keys, wanted):
@@ -529,7 +529,7 @@ def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             lists.append(pa.ListArray.from_arrays(offsets, pa.array(key[order], pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("learn"), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists], ["doc_id", "row", "learn", "n", "known", "base", "gain", "rare", "times", "far"])
 
-    rows = stored(words.mapInArrow(run, "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores", "zstd")
+    rows = stored(words.mapInArrow(tidy(run), "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores", "zstd")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
     # Each sum is written by itself, so that the shuffles of one are gone before the other's begin.
     more = stored(rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also")), "lm-rare")

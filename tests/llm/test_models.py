@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -319,3 +321,40 @@ def test_toxicity_is_fitted_in_little_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert m.order in held and len(m.keys) and peak < 135 * sum(len(w) + 1 for w in {w for r in rows for w in r[1]})
+
+
+class _Captured:
+    """Stands for the words' table and keeps the functions that are mapped over it."""
+
+    def __init__(self):
+        self.runs, self.sparkSession = [], self
+        self.conf = {"spark.sql.shuffle.partitions": "50"}
+
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+
+def test_suffix_counts_hold_little_memory_and_are_right():
+    n, full = 400_000, np.full(1 << 10, 2**64 - 1, np.uint64)
+    a = np.minimum(np.random.default_rng(5).zipf(1.3, n), 50_000).astype(np.int64)
+    t = _Captured()
+    suffix_lm.transitions(t, SimpleNamespace(value=([full], [], full, np.array([1, 2]))), 1, 1)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(a, 400)], pa.binary())], ["ids"])]
+    list(t.runs[0](batches))
+    tracemalloc.start()
+    try:
+        packed = list(t.runs[0](batches))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 * n
+    rows = sorted((k, v) for b in packed for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    added = list(t.runs[1]([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "counts"])]))
+    got = Counter({(c, w): k for b in added for c, w, k in zip(*(b.column(x).to_pylist() for x in ("ctx", "w", "c")), strict=True) if w >= 0})
+    assert got == Counter((c, w) for x in np.split(a, 400) for c, w in zip(x[:-1].tolist(), x[1:].tolist(), strict=True))
