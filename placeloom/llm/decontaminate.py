@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mixed, pick, slices, stored, texts_of, word_ids
+from .common import MULTIPLIER, mixed, pick, slices, stored, texts_of, tidy, word_ids
 
 #: Masks: 1 is hashed, 0 is ignored. Fixed values.
 MASKS = ("11101011", "110110101", "1100101101", "10110100111")
@@ -217,11 +217,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, alike: float, share: float, ev
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "item", "equal_words", "item_words", "first_word", "end_word"])
 
-    met = stored(docs.mapInArrow(hits, "row long, doc_id long, digest binary, words binary, hash array<long>, at array<long>"), "leak-hits")
+    met = stored(docs.mapInArrow(tidy(hits), "row long, doc_id long, digest binary, words binary, hash array<long>, at array<long>"), "leak-hits")
     at = met.select("row", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("row", F.col("x.hash").alias("hash"), F.col("x.at").alias("at"))
     pairs = at.join(own, "hash").select("row", "item", (F.col("at") - F.col("spot")).alias("shift")).groupBy("row", "item").agg(F.collect_set("shift").alias("shifts"))
     laid = pairs.join(met.select("row", "words"), "row").join(items.select("item", F.col("words").alias("passage")), "item")
-    out = laid.mapInArrow(compared, "row long, item long, equal_words long, item_words long, first_word long, end_word long")
+    out = laid.mapInArrow(tidy(compared), "row long, item long, equal_words long, item_words long, first_word long, end_word long")
     return stored(out, "leak-overlaps").join(met.select("row", "doc_id", "digest"), "row").drop("row"), rows.join(items, "words").select("item", "item_id")
 
 

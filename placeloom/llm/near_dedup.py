@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from placeloom.operators.components import components as connected
 
-from .common import documents, shingle_hashes, slices, stored, texts_of, word_ids
+from .common import documents, shingle_hashes, slices, stored, texts_of, tidy, word_ids
 
 COLLECTIONS, ROWS = 14, 4
 #: Words are parted by these; A-Z count as a-z. (bytes.split() and bytes.lower() do just that.)
@@ -78,7 +78,7 @@ def profiles(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS)
                     parity.append([])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "content", "small", "parity"])
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(tidy(run), PROFILE)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_hashes(number.of(t.lower().split(), np.uint64)).tobytes() for t in texts_of(batch)], pa.binary())], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set binary")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

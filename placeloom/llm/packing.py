@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import pick, slices, stored, tidy
 
 #: What follows each document.
 END_ID = 1
@@ -80,7 +80,7 @@ def tokenized(docs: DataFrame, files: tuple[str, bytes, str], end_id: int = END_
                 before += len(a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64())], ["doc_id", "ids", "n", "part", "before"])
 
-    return stored(t.mapInArrow(run, "doc_id long, ids binary, n long, part long, before long"), "pack-ids")
+    return stored(t.mapInArrow(tidy(run), "doc_id long, ids binary, n long, part long, before long"), "pack-ids")
 
 
 def pack(docs: DataFrame, files: tuple[str, bytes, str] | None = None, window: int = 2048, keep_ids: bool = False) -> DataFrame:
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, files: tuple[str, bytes, str] | None = None, window: i
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[7]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * keep_ids)
 
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, remainder, slices, texts_of
+from .common import pick, remainder, slices, texts_of, tidy
 
 #: Everything in ASCII but letters, digits and ' parts words; A-Z count as a-z.
 SPLIT = bytes((c | 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c == 39 else 32 for c in range(256))
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array([b" ".join(c) for c in found], pa.binary()), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["y", "h", "words", "times"])
 
     got: dict = {}
-    for r in taken.select("y", "h", "text").mapInArrow(run, "y int, h long, words binary, times array<int>").toLocalIterator():
+    for r in taken.select("y", "h", "text").mapInArrow(tidy(run), "y int, h long, words binary, times array<int>").toLocalIterator():
         key = (bytes(r.words), np.array(r.times, ">i4").tobytes())
         if key not in got or (r.h, -r.y) < (got[key][1], -got[key][0]):
             got[key] = (r.y, r.h)
@@ -287,8 +287,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(texts_of(batch)), pa.float64())], ["doc_id", "score"])
+        m.known.clear()
 
-    return t.mapInArrow(run, "doc_id long, score double")
+    return t.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -305,5 +306,6 @@ def ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
         m = shared.value
         for batch in slices(batches, spot):
             yield batch.filter(pa.array(m.scores(texts_of(batch, spot)) < threshold, pa.bool_()))
+        m.known.clear()
 
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    return flat.mapInArrow(tidy(run), flat.schema).toDF(*names)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from placeloom.llm import quality, suffix_lm, toxicity
+from placeloom.llm import common, quality, suffix_lm, toxicity
 
 from .conftest import ODD, SCHEMA, prose, rows
 
@@ -358,3 +358,17 @@ def test_suffix_counts_hold_little_memory_and_are_right():
     added = list(t.runs[1]([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "counts"])]))
     got = Counter({(c, w): k for b in added for c, w, k in zip(*(b.column(x).to_pylist() for x in ("ctx", "w", "c")), strict=True) if w >= 0})
     assert got == Counter((c, w) for x in np.split(a, 400) for c, w in zip(x[:-1].tolist(), x[1:].tolist(), strict=True))
+
+
+def test_workers_hold_short_runs_and_give_memory_back():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 50)], ["text"])
+    runs = list(common.slices([batch]))
+    assert sum(r.num_rows for r in runs) == 50 and max(r.num_rows for r in runs) <= 20
+    assert list(common.tidy(common.slices)([batch])) == runs
+    model = toxicity.fitted([(i % 2, [b"good" if i % 2 else b"bad", b"word"], [1, 2]) for i in range(40)], {0: 20, 1: 20})
+    docs = _Captured()
+    docs.sparkContext, docs.columns, docs.schema = docs, ["text"], None
+    docs.broadcast, docs.toDF = lambda x: SimpleNamespace(value=x), lambda *_: docs
+    toxicity.ordinary(docs, model)
+    flat = pa.RecordBatch.from_arrays([pa.array(["good word", "bad word"])], ["c0"])
+    assert sum(b.num_rows for b in docs.runs[0]([flat])) == 1 and not model.known
