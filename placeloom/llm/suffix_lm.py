@@ -12,13 +12,14 @@ is frequent and its suffix is followed by more than one word: where a suffix has
 it, and nothing can diverge. So levels shrink, and the tree ends by itself at the first level without a state.
 
 A score is a sum: each transition and each state adds one value for each place it occurs at. The values of the most frequent ones
-(a bounded number) are broadcast, all others are joined; bitmaps of bounded size tell which sequences can have a value at all,
-and where they err the joins say so.
+(a bounded number) are broadcast, all others are asked for: a run of texts asks for each of its sequences once, in sorted arrays that
+go to ranges of keys, where the values are, and what comes back is a sum for each text. Bitmaps of bounded size tell which sequences
+can have a value at all, and where they err the values' ranges say so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, documents, remainder, stored, tidy
@@ -177,17 +178,81 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.select("ids").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def bitmap(keys: DataFrame, column: str):
-    """The bits of a column of hashes, put together on executors; at most SLOTS numbers come to the driver."""
+def packed(*arrays) -> bytes:
+    """Arrays of numbers as bytes, compressed: first the lengths, then all first bytes of an array's numbers, all second ones and so on."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays)
+    return np.array([len(x) for x in arrays], np.int64).tobytes() + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(blob, *kinds):
+    """What packed has made of arrays of these types."""
     import numpy as np
+    import pyarrow as pa
 
-    slots = min(SLOTS, 1 << (keys.count() // 4 + 64).bit_length())
-    out = np.zeros(slots, np.uint64)
-    t = keys.groupBy(F.expr(f"shiftright({column}, 6) & {slots - 1}L").alias("slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("bits")).toArrow()
-    out[t.column("slot").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+    sizes = np.frombuffer(blob, np.int64, len(kinds)).tolist()
+    widths = [np.dtype(k).itemsize for k in kinds]
+    total = sum(n * w for n, w in zip(sizes, widths, strict=True))
+    raw = np.frombuffer(pa.decompress(blob[8 * len(kinds) :], total, "zstd", asbytes=True) if total else b"", np.uint8)
+    out, at = [], 0
+    for n, w, k in zip(sizes, widths, kinds, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(k))
+        at += n * w
     return out
 
 
+def bitmap(keys: DataFrame, column: str):
+    """The bits of a column of hashes, put together on executors; at most SLOTS numbers come to the driver.
+
+    Tasks send the sorted places of their bits, cut into ranges."""
+    import numpy as np
+
+    slots, ranges = min(SLOTS, 1 << (keys.count() // 4 + 64).bit_length()), 64
+
+    def placed(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush():
+            at = np.unique(np.concatenate(held))
+            edges = np.searchsorted(at, np.arange(ranges + 1) * slots)
+            own = np.flatnonzero(np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(np.diff(at[edges[k] : edges[k + 1]], prepend=np.uint32(0))) for k in own], pa.binary())], ["part", "bits"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * slots - 1)).astype(np.uint32))
+            n += batch.num_rows
+            if n >= 4_000_000:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    def joined(batches):
+        import pyarrow as pa
+
+        now, bits = None, np.zeros(slots, bool)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, bits = part, np.zeros(slots, bool)
+                bits[np.cumsum(unpacked(blob, np.uint32)[0], dtype=np.int64) - part * slots] = True
+        if now is not None:
+            yield done()
+
+    out = np.zeros((ranges, slots // ranges), np.uint64)
+    t = keys.select(column).mapInArrow(tidy(placed), "part int, bits binary").repartition("part").sortWithinPartitions("part")
+    for part, bits in t.mapInArrow(tidy(joined), "part int, bits binary").collect():
+        out[part] = np.frombuffer(bits, np.uint64)
+    return out.reshape(-1)
+
+
 def marked(bits, g):
     """Whether the bit of each hash is set."""
     import numpy as np
@@ -264,7 +329,7 @@ def dealt(ctx, part, buckets: int):
 
 def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
     """ctx, w, c, size, s: how often (least times at least) a word follows a context of the last level that is broadcast, how often any
-    word follows it (often times at least), and its suffix; with w = -1 the context itself. Words that are too rare after the suffix
+    word follows it (often times at least), and its suffix; with w = -1 the context itself (without a suffix). Words that are too rare after the suffix
     are so after the context, and are left out. shared: bitmaps for walk and of those that are not too rare, and contexts so frequent
     that their words are dealt to 64 parts.
 
@@ -311,10 +376,9 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
             out = [[], []]
             for k in np.unique(to):
                 i, j = order[edges[k] : edges[k + 1]], rows[heads[k] : heads[k + 1]]
-                x = ctx[i]
-                parts = [np.array([len(i), len(j)]), np.diff(x, prepend=0), w[i], np.diff(own[j], prepend=0), s[j], c[i].astype(np.uint32), size[j].astype(np.uint32)]
+                next_words = np.bincount(np.searchsorted(own[j], ctx[i]), minlength=len(j))
                 out[0].append(int(k))
-                out[1].append(b"".join(p.tobytes() for p in parts))
+                out[1].append(packed(np.diff(own[j], prepend=0), next_words.astype(np.uint32), size[j].astype(np.uint32), s[j][next_words > 0], w[i].view(np.uint8), c[i].astype(np.uint32)))
                 if len(out[0]) == 64:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "counts"])
                     out = [[], []]
@@ -333,22 +397,17 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def unpacked(blob):
-        import numpy as np
-
-        n, m = np.frombuffer(blob, np.int64, 2).tolist()
-        x = np.frombuffer(blob, np.int64, 2 * (n + m), 16)
-        y = np.frombuffer(blob, np.uint32, n + m, 16 * (1 + n + m))
-        return np.cumsum(x[:n]), x[n : 2 * n], y[:n], np.cumsum(x[2 * n : 2 * n + m]), x[2 * n + m :], y[n:]
-
     def added(batches):
         import numpy as np
         import pyarrow as pa
 
         def finished(bucket, held):
-            ctx, w, c, own, s, size = (np.concatenate(x) for x in zip(*map(unpacked, held), strict=True))
-            own, spot, back = np.unique(own, return_index=True, return_inverse=True)
-            s, size = s[spot], np.bincount(back, size).astype(np.int64)
+            own, times, size, s, w, c = (np.concatenate(x) for x in zip(*((np.cumsum(d), *more) for d, *more in (unpacked(b, np.int64, np.uint32, np.uint32, np.int64, np.uint8, np.uint32) for b in held)), strict=True))
+            ctx, w = np.repeat(own, times), w.view(np.int64)
+            led, spot = np.unique(own[times > 0], return_index=True)
+            s = s[spot]
+            own, back = np.unique(own, return_inverse=True)
+            size = np.bincount(back, size).astype(np.int64)
             order = np.lexsort((w, ctx))
             ctx, w = ctx[order], w[order]
             new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])])[: len(ctx)])
@@ -357,7 +416,7 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
             at = np.searchsorted(own, ctx)
             on = (c >= least) & (size[at] >= often)
             mine = (size >= often) & (dealt(own, np.zeros(len(own), np.int64), buckets) == bucket)
-            columns = [(ctx[on], own[mine]), (w[on], np.full(mine.sum(), -1)), (c[on], size[mine]), (size[at][on], size[mine]), (s[at][on], s[mine])]
+            columns = [(ctx[on], own[mine]), (w[on], np.full(mine.sum(), -1)), (c[on], size[mine]), (size[at][on], size[mine]), (s[np.searchsorted(led, ctx[on])], np.zeros(mine.sum(), np.int64))]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], ["ctx", "w", "c", "size", "s"])
 
         now, held = None, []
@@ -389,7 +448,7 @@ class Tree:
     """hashes and counts of the frequent words; by level that has a state: how many contexts, states and kept next words.
 
     values: key (the hash of a sequence, or ~ that of a state) and its value v, a table; keys and gain: those broadcast. frequent and
-    branching: bitmaps for walk; rest: the bitmap of the values that are joined."""
+    branching: bitmaps for walk; rest: the bitmap of the values that are asked for."""
 
     def __init__(self, hashes, counts, total: int, distinct: int):
         self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
@@ -400,7 +459,7 @@ class Tree:
         return self.__dict__ | {"values": None}
 
     def looked_up(self, a, places=None):
-        """For word hashes with -1 between texts: each place's sum of broadcast values as a natural logarithm, and place and key of every value to be joined."""
+        """For word hashes with -1 between texts: each place's sum of broadcast values as a natural logarithm, and place and key of every value to be asked for."""
         import numpy as np
         import pandas as pd
 
@@ -431,7 +490,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     needs; least: what a next word needs in it, and evidence: how many nats its count must diverge (as a Poisson count) from what the
     suffix foretells for it to be kept; diverge: what a state must gain in all, for itself and each kept next word. part: of all words, what a sequence
     needs for its value to be broadcast (at most depth / part of them, 16 bytes each, and far fewer in text); known_part: the same
-    for a word's count. What is rarer is joined.
+    for a word's count. What is rarer is asked for (values) or joined (counts).
     """
     import numpy as np
 
@@ -443,8 +502,9 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     tree = Tree(top.column("h").to_numpy(), top.column("c").to_numpy(), total, distinct)
     shorter = counts.where(F.col("c") >= least).select(F.col("h").alias("key"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
     contexts = counts.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("g"), "c")
-    mass = [F.sum(F.exp("own")).alias("took"), F.sum(F.exp("suffix")).alias("had")]
-    share = F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12)))
+    whole = Window.partitionBy("ctx")
+    mass = lambda on: {"took": F.sum(F.when(on, F.exp("own"))).over(whole), "had": F.sum(F.when(on, F.exp("suffix"))).over(whole)}
+    share = F.when(F.col("took").isNotNull(), F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12))))
     differs = lambda q: F.col("c") * (F.col("own") - q) - (F.col("c") - discount - F.col("size") * F.exp(q)) >= evidence
     every = words.sparkSession.createDataFrame([], "key long, v double, c long")
     while len(tree.frequent) < depth:
@@ -457,31 +517,31 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
         shared.destroy()
         sizes = t.where("w = -1").select("ctx", "size")
         key = F.col("w") if len(tree.frequent) == 1 else F.xxhash64("s", "w")
-        rows = t.where("w <> -1").withColumn("key", key).join(shorter.hint("shuffle_hash"), "key")
-        rows = rows.select("ctx", "w", "c", "size", F.log((F.col("c") - discount) / F.col("size")).alias("own"), "suffix").repartition("ctx")
-        # What is left to the others changes by what is kept, and a word may differ from that alone.
-        first = rows.where(differs(F.col("suffix"))).groupBy("ctx").agg(*mass).select("ctx", share.alias("left"))
-        keep = differs(F.col("suffix")) | F.coalesce(differs(F.col("suffix") + F.col("left")), F.lit(False))
-        level = stored(rows.join(first.hint("shuffle_hash"), "ctx", "left").select("ctx", "w", "c", "size", "own", "suffix", keep.alias("keep")), "lm-level", "zstd")
-        s = level.where("keep").groupBy("ctx", "size").agg(*mass, F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("own") - F.col("suffix"))).alias("better"), F.count("*").alias("k")).withColumn("share", share)
-        s = s.where((F.col("better") + (F.col("size") - F.col("n")) * F.col("share") > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1))
-        states = stored(s.select("ctx", "size", "share", "k"), "lm-states")
+        rows = t.where("w <> -1").withColumn("key", key).join(shorter.hint("shuffle_hash"), "key").select("ctx", "w", "c", "size", "suffix")
+        rows = rows.repartition("ctx").withColumn("own", F.log((F.col("c") - discount) / F.col("size")))
+        # All of a context is in one place now. What is left to the others changes by what is kept, and a word may differ from that alone.
+        rows = rows.withColumns(mass(differs(F.col("suffix")))).withColumn("left", share)
+        rows = rows.withColumn("keep", differs(F.col("suffix")) | F.coalesce(differs(F.col("suffix") + F.col("left")), F.lit(False))).drop("took", "had", "left")
+        of = lambda x: F.when(F.col("keep"), x)
+        rows = rows.withColumns(mass(F.col("keep")) | {"n": F.sum(of(F.col("c"))).over(whole), "better": F.sum(of(F.col("c") * (F.col("own") - F.col("suffix")))).over(whole), "k": F.count(of(F.lit(1))).over(whole), "lead": F.min(of(F.col("w"))).over(whole)})
+        is_state = (F.col("better") + (F.col("size") - F.col("n")) * share > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1)
+        rows = rows.withColumn("share", F.when(is_state, share))
+        level = rows.select("ctx", F.xxhash64("ctx", "w").alias("g"), "c", F.when(F.col("share").isNull(), F.col("suffix")).when(F.col("keep"), F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"), of(F.col("own") - F.col("suffix") - F.col("share")).alias("v"), (F.col("w") != word_hash(END)).alias("goes_on"), (F.col("c") == F.col("size")).alias("alone"), F.when(F.col("w") == F.col("lead"), F.col("share")).alias("share"), "size", "k")
+        level = stored(level, "lm-level", "zstd")
+        states = level.where("share is not null")
         n, kept = states.agg(F.count("*"), F.sum("k")).first()
         if not n:
             tree.frequent.pop()
             break
         tree.levels.append({"contexts": sizes.count(), "state": np.int64(n), "kept": int(kept)})
-        g = F.xxhash64("ctx", "w")
-        both = level.join(states.select("ctx", "share").hint("shuffle_hash"), "ctx", "left").withColumn("g", g)
-        both = stored(both.select("ctx", "g", "c", F.when(F.col("share").isNull(), F.col("suffix")).when(F.col("keep"), F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"), F.when(F.col("keep"), F.col("own") - F.col("suffix") - F.col("share")).alias("v"), (F.col("w") != word_hash(END)).alias("goes_on"), (F.col("c") == F.col("size")).alias("alone")), "lm-values", "zstd")
-        every = every.unionByName(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c"))).unionByName(both.where("v is not null").select(F.col("g").alias("key"), "v", "c"))
-        contexts = both.where((F.col("c") >= often) & F.col("goes_on")).select("g", "c")
-        more = sizes.select("ctx").join(both.where("alone").select("ctx"), "ctx", "left_anti")
+        every = every.unionByName(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c"))).unionByName(level.where("v is not null").select(F.col("g").alias("key"), "v", "c"))
+        contexts = level.where((F.col("c") >= often) & F.col("goes_on")).select("g", "c")
+        more = stored(sizes.select("ctx").join(level.where("alone").select("ctx"), "ctx", "left_anti"), "lm-branching")
         if len(tree.frequent) == depth or not contexts.limit(1).count() or not more.limit(1).count():
             break
         tree.branching.append(bitmap(more, "ctx"))
-        discard(t, level)
-        shorter = both.select(F.col("g").alias("key"), "suffix")
+        discard(t, more)
+        shorter = level.select(F.col("g").alias("key"), "suffix")
     enough = F.col("c") >= max(2, part * total)
     held = every.where(enough).select("key", "v").toArrow()
     tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()
@@ -491,13 +551,126 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     return tree, counts
 
 
-def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+def ranged(keys, buckets: int):
+    """Where the ranges of keys begin, in sorted keys (uint64) of which each bucket has one range, and where the last ends."""
+    import numpy as np
+
+    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def questions(key, row, buckets: int):
+    """(bucket, blob) of the values that rows ask for: the first row, each distinct key of the bucket, how many rows ask for it and which."""
+    import numpy as np
+
+    # A blob counts rows from its first one in 32 bits.
+    part, out = (row - row.min()) >> 32, []
+    for p in np.unique(part):
+        mine = np.flatnonzero(part == p)
+        u, r = key[mine].view(np.uint64), row[mine]
+        order = np.argsort(u)
+        u, r, first = u[order], r[order], r.min()
+        at = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        edges, ends = ranged(u[at], buckets), np.append(at, len(u))
+        times, ref = np.diff(ends).astype(np.uint32), (r - first).astype(np.uint32)
+        u = u[at]
+        for k in np.flatnonzero(np.diff(edges)):
+            i, j = edges[k], edges[k + 1]
+            out.append((int(k), packed(np.array([first]), np.diff(u[i:j], prepend=np.uint64(0)), times[i:j], ref[ends[i] : ends[j]])))
+    return out
+
+
+def answered(asked: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
+    """row, far_gain (log10): the sums of the values (key, v) that rows ask for (bucket, asked: blobs of questions); each value meets a
+    run of texts once, and what goes back is one number for each text of the run and bucket."""
+
+    def told(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush():
+            key, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key, v = key[order], v[order]
+            edges = ranged(key, buckets)
+            own = np.flatnonzero(np.diff(edges))
+            blobs = [packed(np.diff(key[edges[k] : edges[k + 1]], prepend=np.uint64(0)), v[edges[k] : edges[k + 1]]) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.zeros(len(own)), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+        for batch in batches:
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("v").to_numpy()))
+            n += batch.num_rows
+            if n >= 1_000_000:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    def met(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, held, key, v = None, [], np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            out = [[], []]
+            for bucket, kind, blob in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "blob")), strict=True):
+                if bucket != now:
+                    now, held, key, v = bucket, [], np.zeros(0, np.uint64), np.zeros(0)
+                if kind == 0:
+                    d, x = unpacked(blob, np.uint64, np.float64)
+                    held.append((np.cumsum(d), x))
+                    continue
+                if held:
+                    key, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(key)
+                    key, v, held = key[order], v[order], []
+                first, d, times, ref = unpacked(blob, np.int64, np.uint64, np.uint32, np.uint32)
+                at = np.repeat(found(key, np.cumsum(d)), times)
+                at, ref = at[at >= 0], ref[at >= 0]
+                if len(at):
+                    ref, back = np.unique(ref, return_inverse=True)
+                    out[0].append(int(first[0]))
+                    out[1].append(packed(np.diff(ref, prepend=np.uint32(0)), np.bincount(back, v[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["first", "sums"])
+
+    def added(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def finished(first, held):
+            ref, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            ref, back = np.unique(ref, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(first + ref.astype(np.int64)), pa.array(np.bincount(back, v) / np.log(10))], ["row", "far_gain"])
+
+        now, held = None, []
+        for batch in batches:
+            for first, blob in zip(batch.column("first").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                if first != now and held:
+                    yield finished(now, held)
+                    held = []
+                now = first
+                d, v = unpacked(blob, np.uint32, np.float64)
+                held.append((np.cumsum(d, dtype=np.uint32), v))
+        if held:
+            yield finished(now, held)
+
+    both = values.select("key", "v").mapInArrow(tidy(told), "bucket int, kind int, blob binary").unionAll(asked.select("bucket", F.lit(1).alias("kind"), F.col("asked").alias("blob")))
+    sums = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidy(met), "first long, sums binary")
+    return sums.repartition("first").sortWithinPartitions("first").mapInArrow(tidy(added), "row long, far_gain double")
+
+
+def scored(words: DataFrame, tree: Tree, counts: DataFrame, last: bool = False) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of every row of in_words, over its whole text (log10).
+    last: words are deleted when they have been read.
 
     Words whose count the tree carries are looked up on the spot; each text's rarer ones, counted once a text, are joined to all
-    counts, and its sequences whose values the tree does not carry to the table of values, so that nothing that grows is broadcast.
+    counts, and the values that the tree does not carry are asked for (see answered), so that nothing that grows is broadcast.
     """
-    shared = words.sparkSession.sparkContext.broadcast(tree)
+    sc = words.sparkSession.sparkContext
+    shared = sc.broadcast(tree)
+    buckets = max(1, min(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(sc.defaultParallelism, tree.values.count() >> 17)))
 
     def run(batches):
         import numpy as np
@@ -506,6 +679,13 @@ def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 
         tree = shared.value
         known, places, logs = pd.Index(tree.hashes), pd.Index(tree.keys), np.log10(tree.counts + 1.0)
+        held, n = [], 0
+
+        def asked():
+            blobs = questions(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+            none = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
+
         for batch, a, starts in runs(batches):
             real = a >= 0
             at = known.get_indexer(a)
@@ -524,18 +704,27 @@ def scored(words: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[first], times)]
             number_of = lambda x: np.add.reduceat(x, starts)
             gain, place, key = tree.looked_up(a, places.get_indexer)
-            order = np.argsort(place, kind="stable")
-            offsets = pa.array(np.searchsorted(place[order], np.append(starts, len(a)), "left"), pa.int32())
-            lists.append(pa.ListArray.from_arrays(offsets, pa.array(key[order], pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("learn"), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists], ["doc_id", "row", "learn", "n", "known", "base", "gain", "rare", "times", "far"])
-
-    rows = stored(words.mapInArrow(tidy(run), "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, far array<long>"), "lm-scores", "zstd")
+            held.append((key, batch.column("row").to_numpy()[np.searchsorted(starts, place, "right") - 1]))
+            n += len(key)
+            none = [pa.nulls(len(starts), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("learn"), pa.array(size, pa.int64()), pa.array(number_of(on.astype(np.int64)), pa.int64()), pa.array(number_of(log)), pa.array(number_of(gain) / np.log(10)), *lists, *none], names)
+            if n >= 1_500_000:
+                yield asked()
+                held, n = [], 0
+        if n:
+            yield asked()
+
+    names = ["doc_id", "row", "learn", "n", "known", "base", "gain", "rare", "times", "bucket", "asked"]
+    both = stored(words.mapInArrow(tidy(run), "doc_id long, row long, learn boolean, n long, known long, base double, gain double, rare array<long>, times array<long>, bucket int, asked binary"), "lm-scores", "zstd")
+    shared.destroy()
+    if last:
+        discard(words)
+    rows = both.where("bucket is null").drop("bucket", "asked")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("f"))
     # Each sum is written by itself, so that the shuffles of one are gone before the other's begin.
     more = stored(rare.join(counts, "h").groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("more"), F.sum("f").alias("also")), "lm-rare")
-    far = rows.select("row", F.explode("far").alias("key")).join(tree.values, "key").groupBy("row").agg((F.sum("v") / F.log(F.lit(10.0))).alias("far_gain"))
-    far = stored(far, "lm-far")
-    both = rows.drop("rare", "times", "far").join(more, "row", "left").join(far, "row", "left")
+    far = stored(answered(both.where("bucket is not null").select("bucket", "asked"), tree.values, buckets), "lm-far")
+    both = rows.drop("rare", "times").join(more, "row", "left").join(far, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     return both.select("doc_id", "learn", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("far_gain", F.lit(0.0))).alias("score"))
 
@@ -547,6 +736,5 @@ def run(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     An empty table gives no rows. Other columns are not read, whatever their names. With nothing to learn from, a score is the base.
     """
     words = in_words(documents(docs).withColumn("learn", remainder(F.col("doc_id"), folds) != held))
-    s = scored(words, *learnt(words.where("learn")))
-    discard(words)
+    s = scored(words, *learnt(words.where("learn")), last=True)
     return s.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

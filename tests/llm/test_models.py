@@ -372,3 +372,47 @@ def test_workers_hold_short_runs_and_give_memory_back():
     toxicity.ordinary(docs, model)
     flat = pa.RecordBatch.from_arrays([pa.array(["good word", "bad word"])], ["c0"])
     assert sum(b.num_rows for b in docs.runs[0]([flat])) == 1 and not model.known
+
+
+def test_values_asked_for_by_runs_equal_a_join(spark):
+    """op9_suffix_lm: a run asks for each key once, whatever its sign and place, and gets one sum for each row; keys without a value add nothing."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.append(rng.integers(-(2**63), 2**63 - 1, 3000), [-(2**63), -1, 0, 2**63 - 1]))
+    own = dict(zip(keys[::2].tolist(), rng.normal(size=len(keys[::2])).tolist(), strict=True))
+    blobs, want, asks = [], defaultdict(float), 0
+    for run in range(6):
+        key, row = rng.choice(keys, 4000), run * 100 + rng.integers(0, 60, 4000) + (rng.integers(0, 2, 4000) << 36)
+        asks += len(key)
+        for k, r in zip(key.tolist(), row.tolist(), strict=True):
+            if k in own:
+                want[r] += own[k] / math.log(10)
+        blobs += suffix_lm.questions(key, row, 7)
+    assert {k for k, _ in blobs} == set(range(7)) and sum(len(b) for _, b in blobs) < 12 * asks
+    asked = spark.createDataFrame([(k, bytearray(b)) for k, b in blobs], "bucket int, asked binary")
+    values = spark.createDataFrame(list(own.items()), "key long, v double").repartition(3)
+    got = suffix_lm.answered(asked, values, 7)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == len(want) == len({r.row for r in rows}) and all(abs(want[r.row] - r.far_gain) < 1e-9 for r in rows)
+    assert suffix_lm.answered(asked.limit(0), values, 7).count() == suffix_lm.answered(asked, values.limit(0), 7).count() == 0
+
+
+def test_bitmap_has_the_bits_of_its_keys(spark):
+    keys = [*np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000).tolist(), 0, -1, 5, 5]
+    bits = suffix_lm.bitmap(spark.createDataFrame([(k,) for k in keys], "g long").repartition(3), "g")
+    assert set(np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")).tolist()) == {k & (64 * len(bits) - 1) for k in keys}
+    assert suffix_lm.marked(bits, np.array(keys)).all() and not suffix_lm.bitmap(spark.createDataFrame([], "g long"), "g").any()
+
+
+def test_counts_of_several_runs_of_words_are_added(spark):
+    """op9_suffix_lm: what tasks have counted apart is decoded by itself; each context's size and suffix come with it."""
+    texts = [f"a{i % 3} b{i % 2} c d{i % 5}" for i in range(60)]
+    words = suffix_lm.in_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).withColumn("learn", F.lit(True)))
+    h = lambda w: suffix_lm.word_hash(w.encode())
+    full = np.full(1 << 10, 2**64 - 1, np.uint64)
+    shared = spark.sparkContext.broadcast(([full], [], full, np.array([h("c")])))
+    got = suffix_lm.transitions(words, shared, 1, 1).collect()
+    data = [[*t.split(), ""] for t in texts]
+    size, both = Counter(w for d in data for w in d[:-1]), Counter(x for d in data for x in zip(d, d[1:], strict=False))
+    assert {(r.ctx, r.w): (r.c, r.size, r.s) for r in got if r.w != -1} == {(h(a), h(b)): (c, size[a], 0) for (a, b), c in both.items()}
+    assert sorted((r.ctx, r.size) for r in got if r.w == -1) == sorted((h(w), n) for w, n in size.items())
