@@ -111,10 +111,14 @@ def pieces(batches, most: int = 8_000_000):
 
 
 def in_words(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of its own), learn, ids (the hashes of the words and the end, as bytes) of docs (doc_id, text, learn); stored."""
+    """doc_id, row (numbers of their own): arrays, learn, ids, by blocks of docs (doc_id, text, learn) that are alike in learn; stored.
+
+    ids.block: each text's number of words and its end, the hashes of the distinct ones, the most frequent first, and all words
+    by their place in that: a third of what the hashes take."""
 
     def run(batches):
         import numpy as np
+        import pandas as pd
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -122,22 +126,69 @@ def in_words(docs: DataFrame) -> DataFrame:
         for batch, begin, end, texts in pieces(batches):
             a, starts = lined_up(texts)
             size = np.diff(np.append(starts, len(a))) - 1
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int64)), pa.py_buffer(a[a >= 0])]).cast(pa.binary())
             part = batch.slice(begin, end - begin)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + len(texts)), pa.int64()), part.column("learn"), ids], ["doc_id", "row", "learn", "ids"])
+            learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            of = np.repeat(learn, size + 1)
+            for kind in (True, False):
+                own = np.flatnonzero(learn == kind)
+                if not len(own):
+                    continue
+                codes, h = pd.factorize(a[(of == kind) & (a >= 0)])
+                order = np.argsort(-np.bincount(codes), kind="stable")
+                place = np.empty(len(h), np.uint32)
+                place[order] = np.arange(len(h))
+                ids = pa.StructArray.from_arrays([pa.array([packed(size[own].astype(np.uint32), h[order], place[codes])], pa.binary())], ["block"])
+                lists = [pa.ListArray.from_arrays([0, len(own)], x) for x in (part.column("doc_id").take(pa.array(own)), pa.array(row + own))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([kind]), ids], ["doc_id", "row", "learn", "ids"])
             row += len(texts)
 
-    return stored(docs.select("doc_id", "text", "learn").mapInArrow(tidy(run), "doc_id long, row long, learn boolean, ids binary"), "lm-ids", "zstd")
+    return stored(docs.select("doc_id", "text", "learn").mapInArrow(tidy(run), "doc_id array<long>, row array<long>, learn boolean, ids struct<block: binary>"), "lm-ids", "zstd")
+
+
+def unfolded(batch, most: int):
+    """The same as runs, of blocks of in_words; doc_id, row and learn are told by text, if batch has them."""
+    import numpy as np
+    import pyarrow as pa
+
+    for k, blob in enumerate(batch.column("ids").field(0).to_pylist()):
+        size, h, codes = unpacked(blob, np.uint32, np.int64, np.uint32)
+        size = size.astype(np.int64)
+        ends = np.cumsum(size)
+        begin = 0
+        while begin < len(size):
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(8 * ends, 8 * done + most, "right")))
+            own = size[begin:end]
+            starts = np.cumsum(own + 1) - own - 1
+            out = np.empty(int(own.sum()) + len(own), np.int64)
+            real = np.ones(len(out), bool)
+            real[starts] = False
+            out[starts], out[real] = -1, h[codes[done : ends[end - 1]]]
+            rest = [batch.column(c)[k].values.slice(begin, end - begin) for c in ("doc_id", "row") if c in batch.schema.names]
+            rest = [*rest, pa.array(np.full(len(own), batch.column("learn")[k].as_py()))] if rest else [pa.nulls(len(own))]
+            yield pa.RecordBatch.from_arrays(rest, ["doc_id", "row", "learn"][: len(rest)]), out, starts
+            begin = end
 
 
 def runs(batches, most: int = 2_000_000):
-    """(batch, hashes with a -1 before each text, where each text starts): runs of rows of in_words with about `most` bytes."""
+    """(batch, hashes with a -1 before each text, where each text starts): runs of texts of in_words, or of rows of plain hashes (ids,
+    as bytes), with about `most` bytes."""
     import numpy as np
     import pyarrow as pa
 
     from .common import slices
 
-    for batch in slices(batches, "ids", most):
+    def plain():
+        for batch in batches:
+            if pa.types.is_struct(batch.column("ids").type):
+                yield from unfolded(batch, most)
+            else:
+                yield from ((x, None, None) for x in slices([batch], "ids", most))
+
+    for batch, out, starts in plain():
+        if out is not None:
+            yield batch, out, starts
+            continue
         ids = batch.column("ids")
         first, n = ids.offset, len(ids)
         width = np.int64 if pa.types.is_large_binary(ids.type) else np.int32
@@ -327,21 +378,24 @@ def dealt(ctx, part, buckets: int):
     return (_hashed(ctx.view(np.uint64), part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
+def transitions(words: DataFrame, shared, least: int, often: int, contexts: DataFrame | None = None) -> DataFrame:
     """ctx, w, c, size, s: how often (least times at least) a word follows a context of the last level that is broadcast, how often any
     word follows it (often times at least), and its suffix; with w = -1 the context itself (without a suffix). Words that are too rare after the suffix
     are so after the context, and are left out. shared: bitmaps for walk and of those that are not too rare, and contexts so frequent
-    that their words are dealt to 64 parts.
+    that their words are dealt to 64 parts; also, the most frequent words by rank, which are sent as that. contexts: g, c, s (hash, size and suffix) of all contexts of the last level, if they are known;
+    else sizes are counted and sent along.
 
     What a task has counted goes to buckets of contexts as sorted arrays, one row a bucket, and each bucket is added up by itself.
     """
-    buckets = 4 * max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets, told = 4 * max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), contexts is not None
 
     def counted(batches):
         import numpy as np
+        import pandas as pd
         import pyarrow as pa
 
-        frequent, branching, known, heavy = shared.value
+        frequent, branching, known, heavy, *common = shared.value
+        rank_of = pd.Index(common[0] if common else np.zeros(0, np.int64)).get_indexer
         held, n = [], 0
 
         def flush():
@@ -363,6 +417,7 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
             of = np.searchsorted(head, on, "right") - 1
             ctx, w, c = ctx[on], w[on], c[on]
             del suffix, on
+            rank = (rank_of(w) + 1).astype(np.uint32)
             many = found(heavy, own) >= 0
             to = dealt(own, np.zeros(len(own), np.int64), buckets)
             at = to[of]
@@ -378,7 +433,7 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
                 i, j = order[edges[k] : edges[k + 1]], rows[heads[k] : heads[k + 1]]
                 next_words = np.bincount(np.searchsorted(own[j], ctx[i]), minlength=len(j))
                 out[0].append(int(k))
-                out[1].append(packed(np.diff(own[j], prepend=0), next_words.astype(np.uint32), size[j].astype(np.uint32), s[j][next_words > 0], w[i].view(np.uint8), c[i].astype(np.uint32)))
+                out[1].append(packed(np.diff(own[j], prepend=0), next_words.astype(np.uint32), size[j] * (not told), s[j][(next_words > 0) & (not told)], rank[i], w[i[rank[i] == 0]].view(np.uint8), c[i].astype(np.uint32)))
                 if len(out[0]) == 64:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "counts"])
                     out = [[], []]
@@ -388,6 +443,9 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
         for _, a, _ in runs(batches):
             for at, ctx, s, g, suffix in walk(a, frequent, branching):
                 pass
+            if told:
+                on = np.flatnonzero(marked(known, suffix))
+                at, ctx, s, g, suffix = at[on], ctx[on], s[on], g[on], suffix[on]
             if len(at):
                 held.append((ctx, a[at], s, g, suffix))
                 n += len(at)
@@ -397,14 +455,43 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
         if held:
             yield from flush()
 
+    def placed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        _, branching, _, heavy, *_ = shared.value
+        held = [tuple(batch.column(x).to_numpy() for x in ("g", "c", "s")) for batch in batches if batch.num_rows]
+        if held:
+            own, size, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = np.flatnonzero(marked(branching[-1], s)) if branching else np.arange(len(own))  # as walk does
+            many = found(heavy, own[rows]) >= 0
+            rows = np.concatenate([rows[~many], np.repeat(rows[many], 64)])
+            to = dealt(own[rows], np.concatenate([np.zeros((~many).sum(), np.int64), np.tile(np.arange(64), many.sum())]), buckets)
+            to, rows = np.divmod(np.unique(to * len(own) + np.argsort(np.argsort(own))[rows]), len(own))
+            rows = np.argsort(own)[rows]
+            edges = np.searchsorted(to, np.arange(buckets + 1))
+            none = np.zeros(0, np.uint32)
+            for k in np.unique(to):
+                j = rows[edges[k] : edges[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(np.diff(own[j], prepend=0), np.zeros(len(j), np.uint32), size[j], s[j], none, none.view(np.uint8), none)], pa.binary())], ["bucket", "counts"])
+
     def added(batches):
         import numpy as np
         import pyarrow as pa
 
+        def opened(blob):
+            d, times, size, s, rank, rest, c = unpacked(blob, np.int64, np.uint32, np.int64, np.int64, np.uint32, np.uint8, np.uint32)
+            own, w = np.cumsum(d), np.empty(len(rank), np.int64)
+            far = rank == 0
+            w[far] = rest.view(np.int64)
+            if not far.all():
+                w[~far] = shared.value[4][rank[~far] - 1]
+            return own, times, size, own if len(s) == len(own) else own[times > 0][: len(s)], s, w, c
+
         def finished(bucket, held):
-            own, times, size, s, w, c = (np.concatenate(x) for x in zip(*((np.cumsum(d), *more) for d, *more in (unpacked(b, np.int64, np.uint32, np.uint32, np.int64, np.uint8, np.uint32) for b in held)), strict=True))
-            ctx, w = np.repeat(own, times), w.view(np.int64)
-            led, spot = np.unique(own[times > 0], return_index=True)
+            own, times, size, led, s, w, c = (np.concatenate(x) for x in zip(*map(opened, held), strict=True))
+            ctx = np.repeat(own, times)
+            led, spot = np.unique(led, return_index=True)
             s = s[spot]
             own, back = np.unique(own, return_inverse=True)
             size = np.bincount(back, size).astype(np.int64)
@@ -430,7 +517,10 @@ def transitions(words: DataFrame, shared, least: int, often: int) -> DataFrame:
         if held:
             yield finished(now, held)
 
-    t = words.select("ids").mapInArrow(tidy(counted), "bucket long, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    t = words.select("ids").mapInArrow(tidy(counted), "bucket long, counts binary")
+    if told:
+        t = t.unionAll(contexts.select("g", "c", "s").mapInArrow(tidy(placed), "bucket long, counts binary"))
+    t = t.repartition("bucket").sortWithinPartitions("bucket")
     return t.mapInArrow(tidy(added), "ctx long, w long, c long, size long, s long")
 
 
@@ -501,7 +591,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     top = counts.where(F.col("c") >= max(2, known_part * total)).toArrow()
     tree = Tree(top.column("h").to_numpy(), top.column("c").to_numpy(), total, distinct)
     shorter = counts.where(F.col("c") >= least).select(F.col("h").alias("key"), F.log((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("suffix"))
-    contexts = counts.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("g"), "c")
+    contexts = counts.where((F.col("c") >= often) & (F.col("h") != word_hash(END))).select(F.col("h").alias("g"), "c", F.lit(0).cast("long").alias("s"))
     whole = Window.partitionBy("ctx")
     mass = lambda on: {"took": F.sum(F.when(on, F.exp("own"))).over(whole), "had": F.sum(F.when(on, F.exp("suffix"))).over(whole)}
     share = F.when(F.col("took").isNotNull(), F.log(F.greatest(1 - F.col("took"), F.lit(1e-12)) / F.greatest(1 - F.col("had"), F.lit(1e-12))))
@@ -512,8 +602,9 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
         heavy = np.sort(contexts.where(F.col("c") >= max(2, total / 2000)).toArrow().column("g").to_numpy())
         if len(tree.frequent) == 3:  # few words are in a context so long, and all longer ones are there too
             deep = words = compacted(words, tree.frequent, tree.branching)
-        shared = sc.broadcast((tree.frequent, tree.branching, bitmap(shorter, "key"), heavy))
-        t = stored(transitions(words, shared, least, often), "lm-counts", "zstd")
+        shared = sc.broadcast((tree.frequent, tree.branching, bitmap(shorter, "key"), heavy, tree.hashes[np.argsort(-tree.counts)]))
+        # A context of two words is followed by a word wherever it occurs, so its size is its count; longer ones need not have been counted.
+        t = stored(transitions(words, shared, least, often, contexts if len(tree.frequent) <= 2 else None), "lm-counts", "zstd")
         shared.destroy()
         sizes = t.where("w = -1").select("ctx", "size")
         key = F.col("w") if len(tree.frequent) == 1 else F.xxhash64("s", "w")
@@ -526,7 +617,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
         rows = rows.withColumns(mass(F.col("keep")) | {"n": F.sum(of(F.col("c"))).over(whole), "better": F.sum(of(F.col("c") * (F.col("own") - F.col("suffix")))).over(whole), "k": F.count(of(F.lit(1))).over(whole), "lead": F.min(of(F.col("w"))).over(whole)})
         is_state = (F.col("better") + (F.col("size") - F.col("n")) * share > diverge * (1 + F.col("k"))) & (F.col("had") < 1) & (F.col("took") < 1)
         rows = rows.withColumn("share", F.when(is_state, share))
-        level = rows.select("ctx", F.xxhash64("ctx", "w").alias("g"), "c", F.when(F.col("share").isNull(), F.col("suffix")).when(F.col("keep"), F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"), of(F.col("own") - F.col("suffix") - F.col("share")).alias("v"), (F.col("w") != word_hash(END)).alias("goes_on"), (F.col("c") == F.col("size")).alias("alone"), F.when(F.col("w") == F.col("lead"), F.col("share")).alias("share"), "size", "k")
+        level = rows.select("ctx", "w", F.xxhash64("ctx", "w").alias("g"), "c", F.when(F.col("share").isNull(), F.col("suffix")).when(F.col("keep"), F.col("own")).otherwise(F.col("suffix") + F.col("share")).alias("suffix"), of(F.col("own") - F.col("suffix") - F.col("share")).alias("v"), (F.col("w") != word_hash(END)).alias("goes_on"), (F.col("c") == F.col("size")).alias("alone"), F.when(F.col("w") == F.col("lead"), F.col("share")).alias("share"), "size", "k")
         level = stored(level, "lm-level", "zstd")
         states = level.where("share is not null")
         n, kept = states.agg(F.count("*"), F.sum("k")).first()
@@ -535,7 +626,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
             break
         tree.levels.append({"contexts": sizes.count(), "state": np.int64(n), "kept": int(kept)})
         every = every.unionByName(states.select(F.bitwise_not("ctx").alias("key"), F.col("share").alias("v"), F.col("size").alias("c"))).unionByName(level.where("v is not null").select(F.col("g").alias("key"), "v", "c"))
-        contexts = level.where((F.col("c") >= often) & F.col("goes_on")).select("g", "c")
+        contexts = level.where((F.col("c") >= often) & F.col("goes_on")).select("g", "c", F.col("w").alias("s"))
         more = stored(sizes.select("ctx").join(level.where("alone").select("ctx"), "ctx", "left_anti"), "lm-branching")
         if len(tree.frequent) == depth or not contexts.limit(1).count() or not more.limit(1).count():
             break
@@ -662,7 +753,7 @@ def answered(asked: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
 
 
 def scored(words: DataFrame, tree: Tree, counts: DataFrame, last: bool = False) -> DataFrame:
-    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of every row of in_words, over its whole text (log10).
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score of every text of in_words, whole (log10).
     last: words are deleted when they have been read.
 
     Words whose count the tree carries are looked up on the spot; each text's rarer ones, counted once a text, are joined to all
