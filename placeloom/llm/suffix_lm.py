@@ -113,8 +113,8 @@ def pieces(batches, most: int = 8_000_000):
 def in_words(docs: DataFrame) -> DataFrame:
     """doc_id, row (numbers of their own): arrays, learn, ids, by blocks of docs (doc_id, text, learn) that are alike in learn; stored.
 
-    ids.block: each text's number of words and its end, the hashes of the distinct ones, the most frequent first, and all words
-    by their place in that: a third of what the hashes take."""
+    ids.block: each text's number of words and its end, the differences of the hashes of the distinct ones, the most frequent first, and
+    all words by their place in that: about a third of what the hashes take."""
 
     def run(batches):
         import numpy as np
@@ -122,25 +122,37 @@ def in_words(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
-        for batch, begin, end, texts in pieces(batches):
-            a, starts = lined_up(texts)
-            size = np.diff(np.append(starts, len(a))) - 1
-            part = batch.slice(begin, end - begin)
-            learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            of = np.repeat(learn, size + 1)
+        row, held, n = TaskContext.get().partitionId() << 36, [], 0
+
+        def flush():
+            *numbers, doc = zip(*held, strict=True)
+            a, size, learn = (np.concatenate(x) for x in numbers)
+            doc = pa.concat_arrays(doc)
+            of = np.repeat(learn, size)
             for kind in (True, False):
                 own = np.flatnonzero(learn == kind)
                 if not len(own):
                     continue
-                codes, h = pd.factorize(a[(of == kind) & (a >= 0)])
-                order = np.argsort(-np.bincount(codes), kind="stable")
+                codes, h = pd.factorize(a[of == kind])
+                count = np.bincount(codes)
+                order = np.lexsort((np.where(count < 4, h, 0), -count))
                 place = np.empty(len(h), np.uint32)
                 place[order] = np.arange(len(h))
-                ids = pa.StructArray.from_arrays([pa.array([packed(size[own].astype(np.uint32), h[order], place[codes])], pa.binary())], ["block"])
-                lists = [pa.ListArray.from_arrays([0, len(own)], x) for x in (part.column("doc_id").take(pa.array(own)), pa.array(row + own))]
+                ids = pa.StructArray.from_arrays([pa.array([packed(size[own].astype(np.uint32), np.diff(h[order], prepend=0), place[codes])], pa.binary())], ["block"])
+                lists = [pa.ListArray.from_arrays([0, len(own)], x) for x in (doc.take(pa.array(own)), pa.array(row + own))]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([kind]), ids], ["doc_id", "row", "learn", "ids"])
-            row += len(texts)
+
+        for batch, begin, end, texts in pieces(batches):
+            a, starts = lined_up(texts)
+            part = batch.slice(begin, end - begin)
+            held.append((a[a >= 0], np.diff(np.append(starts, len(a))) - 1, part.column("learn").to_numpy(zero_copy_only=False).astype(bool), part.column("doc_id")))
+            n += len(a)
+            if n >= 4_000_000:
+                yield from flush()
+                row += sum(len(x[1]) for x in held)
+                held, n = [], 0
+        if held:
+            yield from flush()
 
     return stored(docs.select("doc_id", "text", "learn").mapInArrow(tidy(run), "doc_id array<long>, row array<long>, learn boolean, ids struct<block: binary>"), "lm-ids", "zstd")
 
@@ -152,7 +164,7 @@ def unfolded(batch, most: int):
 
     for k, blob in enumerate(batch.column("ids").field(0).to_pylist()):
         size, h, codes = unpacked(blob, np.uint32, np.int64, np.uint32)
-        size = size.astype(np.int64)
+        size, h = size.astype(np.int64), np.cumsum(h)
         ends = np.cumsum(size)
         begin = 0
         while begin < len(size):
@@ -538,7 +550,8 @@ class Tree:
     """hashes and counts of the frequent words; by level that has a state: how many contexts, states and kept next words.
 
     values: key (the hash of a sequence, or ~ that of a state) and its value v, a table; keys and gain: those broadcast. frequent and
-    branching: bitmaps for walk; rest: the bitmap of the values that are asked for."""
+    branching: bitmaps for walk; rest and also: bitmaps of the values that are asked for, by
+    their keys and by a hash of them."""
 
     def __init__(self, hashes, counts, total: int, distinct: int):
         self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
@@ -562,6 +575,7 @@ class Tree:
                 log[at[on]] += self.gain[hit[on]]
                 far = np.flatnonzero(~on)
                 far = far[marked(self.rest, key[far])]
+                far = far[marked(self.also, _hashed(key[far].view(np.uint64), np.uint64(42)).view(np.int64))]
                 spots.append(at[far])
                 wanted.append(key[far])
         return log, np.concatenate(spots), np.concatenate(wanted)
@@ -638,7 +652,7 @@ def learnt(words: DataFrame, depth: int = 6, least: int = 3, often: int = 20, ev
     tree.keys, tree.gain = held.column("key").to_numpy(), held.column("v").to_numpy()
     tree.values = stored(every.where(~enough).select("key", "v"), "lm-tree")
     discard(every, *([deep] if deep is not None else []))
-    tree.rest = bitmap(tree.values, "key")
+    tree.rest, tree.also = bitmap(tree.values, "key"), bitmap(tree.values.select(F.xxhash64("key").alias("key")), "key")
     return tree, counts
 
 
